@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, one module each, and their queries."""
 
-from . import decontaminate
+from . import decontaminate, language, neardup, packing, secret_scan, suffix_dedup
 
-MODULES = (decontaminate,)
+MODULES = (language, decontaminate, neardup, packing, suffix_dedup, secret_scan)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:

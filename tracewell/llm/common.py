@@ -39,3 +39,25 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(sizes, limit: int):
+    """Bounds of runs of rows whose sizes add up to about ``limit``; a larger row is a run of its own."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def texts_of(batch, column: str = "text", limit: int = 2 << 20):
+    """From an Arrow batch with a binary column: (rows, list of bytes) for runs of about ``limit`` bytes; null: empty."""
+    import pyarrow.compute as pc
+
+    col = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes, limit):
+        yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
