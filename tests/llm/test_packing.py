@@ -17,7 +17,7 @@ def tokenizer():
     return Tokenizer.from_file(packing.tokenizer_path(packing.VOCABULARY))
 
 
-TEXTS = ["", None, "Hello, World's end!  É́x ß İstanbul ΑΣ \x85 a b", "<|endoftext|> x<|startoftext|>y <|endo", "a " * 50, "12345 $$$*** don't we'll", "　 \x1c\x1d", "word " * 700 + "tail", "naïve\tcafé\r\n\x0bq\x0cz", "a"]
+TEXTS = ["", None, "Hello, World's end!  É́x ß İstanbul ΑΣ \x85 a b", "<|endoftext|> x<|startoftext|>y <|endo", "a " * 50, "12345 $$$*** don't we'll", "　 \x1c\x1d", "word " * 700 + "tail", "naïve\tcafé\r\n\x0bq\x0cz", "a", "(word) idiot### $$x$$ 'sword it's ΟΔΟΣ é́ cafe\u0301 <a> |b| x_y -9- ª² ÀÉ.", "ﬁ ǅ ʰ ٣ a\u0338= =\u0338"]
 
 
 def test_chunks_equal_whole_texts(tokenizer):
