@@ -15,9 +15,12 @@ an empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,62 +29,117 @@ from pyspark.sql import functions as F
 
 from .common import partitions, saved, table, texts_of
 
-VOCABULARY, SPLIT, SPLIT_ID, CACHE = "word_bpe_49k.json", "<|endoftext|>", 49407, 300_000
+VOCABULARY, CACHE = "word_bpe_49k.json", 800_000
+#: Marks that stand alone beside a word: not the apostrophe, which starts endings, nor what special tokens are made of.
+MARKS = ".,;:!?\"()[]{}*#$%&/-_+=@~^"
 
 
 class ChunkTokenizer:
-    """Ids of texts, by chunks between white space: no token crosses white space, so chunks can be kept in a bounded cache."""
+    """Ids of texts, by chunks between white space and, within most chunks, by words and marks around them.
+
+    No token crosses white space, nor the border of a run of letters and a run of marks, so both can be kept
+    in bounded caches. Each word's last token, and no other, ends with the end mark of the vocabulary, so many
+    words are encoded in one call and told apart by it. Chunks of other shapes are encoded as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 20, np.uint32), np.zeros(CACHE * 4, np.int64), np.zeros(CACHE * 4, np.int64), 0
+        self.chunks, self.words = Known(), Known()
+
+    def parts(self, chunk: bytes) -> tuple[str, ...] | None:
+        """Marks, word and marks in lower case, if that is what the chunk is made of."""
+        text = chunk.decode()
+        if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+            return None
+        low = text.lower()
+        if low.isalpha():
+            return (low,)
+        word = low.rstrip(MARKS)
+        if word.isalpha():
+            return (word, low[len(word) :])
+        word = low.strip(MARKS)
+        if word.isalpha():
+            at = low.find(word)
+            return tuple(x for x in (low[:at], word, low[at + len(word) :]) if x)
+        return None
+
+    def learn_words(self, new: list[str]) -> None:
+        for k in range(0, len(new), 20_000):
+            own = new[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self.words.put(own, ids, np.diff(ends, prepend=0))
 
     def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > len(self.starts):
-            n = max(2 * len(self.starts), len(self.known) + len(new))
-            self.starts, self.lens = np.resize(self.starts, n), np.resize(self.lens, n)
-        plain = [x for x in new if b"<|" not in x]
-        for k in range(0, len(plain), 5000):
-            part = plain[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(SPLIT.join(x.decode() for x in part), add_special_tokens=False).ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == SPLIT_ID), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            self.put(part, ids, starts, ends - starts)
-        for x in new:
-            if b"<|" in x:
-                ids = np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32)
-                self.put([x], ids, np.zeros(1, np.int64), np.array([len(ids)]))
-
-    def put(self, chunks: list[bytes], ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros(len(self.flat), np.uint32))
-        at = len(self.known)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + len(chunks)], self.lens[at : at + len(chunks)] = starts + self.used, lens
-        self.used += len(ids)
-        self.known.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        found = list(map(self.parts, new))
+        split = [p for p in found if p]
+        if split:
+            flat = [w for p in split for w in p]
+            ids, lens = self.words.ids(self.words.find(flat, self.learn_words))
+            first = np.cumsum([0, *map(len, split)])[:-1]
+            self.chunks.put([x for x, p in zip(new, found, strict=True) if p], ids, np.add.reduceat(lens, first))
+        for x in [x for x, p in zip(new, found, strict=True) if not p]:
+            ids = np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32)
+            self.chunks.put([x], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
-        if len(self.known) > CACHE:
+        if len(self.chunks.index) > CACHE:
             self.clear()
         chunks = [x.split() for x in texts]
-        every = [c for x in chunks for c in x]
-        if new := list({c for c in every if c not in self.known}):
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        ids, lens = self.chunks.ids(self.chunks.find([c for x in chunks for c in x], self.learn))
+        bounds = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum([len(x) for x in chunks], dtype=np.int64))]
+        return ids, np.diff(bounds)
+
+
+class Known:
+    """Strings and their ids, in one growing array."""
+
+    def __init__(self):
+        self.index: dict = {}
+        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def put(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+        at, n = len(self.index), len(keys)
+        if at + n > len(self.starts):
+            more = max(2 * len(self.starts), at + n)
+            self.starts, self.lens = np.resize(self.starts, more), np.resize(self.lens, more)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + n], self.lens[at : at + n] = self.used + np.cumsum(lens) - lens, lens
+        self.used += len(ids)
+        self.index.update(zip(keys, range(at, at + n), strict=True))
+
+    def find(self, keys: list, learn) -> np.ndarray:
+        """Where each key is; ``learn`` is told the unknown ones first."""
+        get = self.index.get
+        at = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            learn(list({keys[k] for k in missing}))
+            at[missing] = [get(keys[k]) for k in missing]
+        return at
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.lens[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.append(0, ends)[np.append(0, np.cumsum([len(x) for x in chunks], dtype=np.int64))]
-        return ids, np.diff(bounds)
+        return self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)], lens
+
+
+@lru_cache(1)
+def tokens_of(path: str) -> ChunkTokenizer:
+    """One tokenizer for each Python worker, so that its caches serve all of the worker's tasks."""
+    return ChunkTokenizer(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -97,7 +155,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        tokens = ChunkTokenizer(path)
+        tokens = tokens_of(path)
         for batch in batches:
             for rows, texts in texts_of(batch):
                 ids, counts = tokens.encode(texts)
