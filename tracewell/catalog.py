@@ -2,11 +2,288 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import facts, lines, relational
+from .plans import rules
+from .streaming import limiter, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Canonical entities of the redacted documents."""
+    redacted = lines.redact(lines.split_lines(read(spark, sf_dir, "documents")))
+    return facts.entities(facts.extract(redacted)).select("field_type", "canonical_value", "masked_value", "n_facts", "n_docs", "first_doc")
+
+
+# ---- relational read models over the star schema and the events
+
+
+@query("""SELECT c.c_custkey, count(o.o_orderkey) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def status_counts_per_parent(spark, sf_dir):
+    return relational.status_counts(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderstatus", {"open": "O", "finished": "F", "pending": "P"})
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def latest_child_per_parent(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return relational.latest(orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT c.c_custkey, n.n_name AS nation, coalesce(t.n_orders, 0) AS n_orders, t.latest_order, t.latest_status, t.latest_status IS NOT NULL AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = t.latest_order AND l.l_returnflag = 'R') AS latest_has_return
+FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest_order, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS latest_status FROM orders GROUP BY o_custkey) t ON t.o_custkey = c.c_custkey""")
+def parent_overview(spark, sf_dir):
+    orders, at = read(spark, sf_dir, "orders"), F.struct("o_orderdate", "o_orderkey")
+    top = orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max_by("o_orderkey", at).alias("latest_order"), F.max_by("o_orderstatus", at).alias("latest_status"))
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("latest_order"), F.lit(True).alias("returned")).distinct()
+    customers = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    out = customers.join(top, F.col("c_custkey") == F.col("o_custkey"), "left").join(returned, "latest_order", "left")
+    return out.select("c_custkey", F.col("n_name").alias("nation"), F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "latest_order", "latest_status", F.coalesce("returned", F.lit(False)).alias("latest_has_return"))
+
+
+@query("""SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS type_counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+def type_count_map(spark, sf_dir):
+    counts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    return counts.groupBy("user_id").agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["event_type"], F.lit(":"), p["n"].cast("string"))), ",").alias("type_counts"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def orphan_parents(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return facts.orphans(read(spark, sf_dir, "customer").select("c_custkey"), orders, on=["c_custkey"])
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def supported_parents(spark, sf_dir):
+    used = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_semi")
+
+
+@query("""SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 49)
+AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9990)""")
+def two_way_orphans(spark, sf_dir):
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 9990").select(F.col("c_nationkey").alias("s_nationkey"))
+    return supplier.join(returned, "s_suppkey", "left_anti").join(rich, "s_nationkey", "left_anti").select("s_suppkey")
+
+
+@query("""SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1997-01-01', 0) ORDER BY orders.o_orderdate DESC, o_orderkey DESC LIMIT 51""")
+def keyset_page(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp_ntz"))
+    page = relational.keyset_page(orders.where("at < timestamp_ntz'1997-01-01' or (at = timestamp_ntz'1997-01-01' and o_orderkey < 0)"), ["at", "o_orderkey"], 51)
+    return page.select("o_orderkey", "o_custkey", F.date_format("at", "yyyy-MM-dd").alias("order_day"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS signup_event FROM events""")
+def nearest_preceding_signup(spark, sf_dir):
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return read(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(before).alias("signup_event"))
+
+
+@query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS supersedes FROM events")
+def supersedes_prev(spark, sf_dir):
+    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(own).alias("supersedes"))
+
+
+@query("""SELECT a.l_suppkey AS supplier_a, b.l_suppkey AS supplier_b, count(DISTINCT a.l_orderkey) AS n_orders FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL""")
+def co_occurrence_pairs(spark, sf_dir):
+    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    a, b = pairs.withColumnRenamed("l_suppkey", "supplier_a"), pairs.withColumnRenamed("l_suppkey", "supplier_b")
+    return a.join(b, "l_orderkey").where("supplier_a < supplier_b").groupBy("supplier_a", "supplier_b").agg(F.count("*").alias("n_orders"))
+
+
+@query("SELECT l_orderkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
+def exactly_one_guard(spark, sf_dir):
+    return relational.exactly_one(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query("""SELECT l_orderkey, (SELECT min(i) FROM range(1, 21) t(i) WHERE NOT list_contains(s, i)) AS free_slot FROM (SELECT l_orderkey, list(CAST(l_linenumber AS BIGINT)) AS s FROM lineitem GROUP BY l_orderkey)""")
+def lowest_free_slot(spark, sf_dir):
+    return relational.lowest_free_slot(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 20)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_last_hour FROM events")
+def sliding_hour_count(spark, sf_dir):
+    events = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
+    return events.select("event_id", F.count("*").over(hour).alias("in_last_hour"))
+
+
+@query("SELECT l_suppkey, l_partkey, count(DISTINCT l_orderkey) AS support, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL")
+def edge_merge_support(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count_distinct("l_orderkey").alias("support"), F.min("l_orderkey").alias("first_order"))
+
+
+@query("""SELECT DISTINCT a.l_suppkey, a.l_partkey FROM lineitem a WHERE year(a.l_shipdate) = 1995 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE year(b.l_shipdate) = 1996 AND b.l_suppkey = a.l_suppkey AND b.l_partkey = a.l_partkey)""")
+def stale_edges(spark, sf_dir):
+    edges = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"))
+    return edges.where("y = 1995").select("l_suppkey", "l_partkey").distinct().join(edges.where("y = 1996"), ["l_suppkey", "l_partkey"], "left_anti")
+
+
+@query("""SELECT l_suppkey, l_partkey, CASE WHEN a AND b THEN 'keep' WHEN b THEN 'insert' ELSE 'delete' END AS change
+FROM (SELECT l_suppkey, l_partkey, bool_or(year(l_shipdate) = 1995) AS a, bool_or(year(l_shipdate) = 1996) AS b FROM lineitem WHERE year(l_shipdate) IN (1995, 1996) GROUP BY ALL)""")
+def reconcile_edges(spark, sf_dir):
+    edges = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"))
+    return relational.reconcile(edges.where("y = 1995"), edges.where("y = 1996"), ["l_suppkey", "l_partkey"])
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
+AND a.l_shipdate < b.l_shipdate + INTERVAL 5 DAY AND b.l_shipdate < a.l_shipdate + INTERVAL 5 DAY""")
+def interval_overlap_pairs(spark, sf_dir):
+    row = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    a, b = (row.select("l_orderkey", F.col("l_linenumber").alias(f"line_{x}"), F.col("l_shipdate").alias(f"start_{x}"), (F.col("l_shipdate") + F.expr("interval 5 days")).alias(f"end_{x}")) for x in "ab")
+    return a.join(b, "l_orderkey").where("line_a < line_b and start_a < end_b and start_b < end_a").select("l_orderkey", "line_a", "line_b")
+
+
+@query("""SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def set_algebra(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    poor = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    return poor.union(orders.where("o_totalprice > 400000").select("o_custkey")).distinct().exceptAll(orders.where("o_orderstatus = 'P'").select("o_custkey").distinct().join(poor.union(orders.where("o_totalprice > 400000").select("o_custkey")).distinct().withColumnRenamed("k", "o_custkey"), "o_custkey", "left_semi"))
+
+
+@query("""SELECT CASE WHEN grouping(l_returnflag) = 1 THEN '*' ELSE l_returnflag END AS flag, CASE WHEN grouping(l_linestatus) = 1 THEN '*' ELSE l_linestatus END AS status, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube_counts(spark, sf_dir):
+    star = lambda c: F.when(F.grouping(c) == 1, "*").otherwise(F.col(c))
+    return read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), star("l_returnflag").alias("flag"), star("l_linestatus").alias("status")).select("flag", "status", "n", "quantity")
+
+
+@query("""SELECT doc_id, failed_check FROM (SELECT doc_id, unnest(list_filter([CASE WHEN length(text) > 20000 THEN 'text_at_most_20000' END, CASE WHEN length(text) < 10 THEN 'text_at_least_10' END, CASE WHEN NOT regexp_matches(lang, '^[a-z]{2}$') THEN 'lang_is_two_letters' END, CASE WHEN n_chars <> length(text) THEN 'n_chars_is_length' END], lambda x: x IS NOT NULL)) AS failed_check FROM documents)""")
+def constraint_violations(spark, sf_dir):
+    size = F.length("text")
+    return relational.violations(read(spark, sf_dir, "documents"), {"text_at_most_20000": size <= 20000, "text_at_least_10": size >= 10, "lang_is_two_letters": F.col("lang").rlike("^[a-z]{2}$"), "n_chars_is_length": F.col("n_chars") == size}, "doc_id")
+
+
+# ---- text
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, sha256(sha256(text) || 'PARSE') AS step_hash FROM documents")
+def sha_fingerprints(spark, sf_dir):
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return read(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), F.sha2(F.concat(sha, F.lit("PARSE")).cast("binary"), 256).alias("step_hash"))
+
+
+@query("""WITH p AS (SELECT doc_id, regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n') AS l FROM documents)
+SELECT doc_id, count(*) AS n_lines, sum(length(x)) AS n_chars_in_lines FROM (SELECT doc_id, unnest(l) AS x FROM p) WHERE trim(x) <> '' AND length(x) <= 1000 GROUP BY doc_id""")
+def doc_line_counts(spark, sf_dir):
+    short = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.length(x) <= 1000).alias("l"))
+    return lines.split_lines(short.select("doc_id", F.array_join("l", "\n").alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars_in_lines"))
+
+
+@query()
+def doc_lines(spark, sf_dir):
+    return lines.split_lines(read(spark, sf_dir, "documents"))
+
+
+EMAIL_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}')) AS raw_value FROM documents"
+
+
+def document_facts(spark, sf_dir):
+    return facts.extract(lines.redact(lines.split_lines(read(spark, sf_dir, "documents"))))
+
+
+@query(f"SELECT doc_id, raw_value, lower(raw_value) AS normalized_value FROM ({EMAIL_SQL})")
+def emails(spark, sf_dir):
+    return document_facts(spark, sf_dir).where("field_type = 'EMAIL'").select("doc_id", "raw_value", "normalized_value")
+
+
+@query(f"""SELECT lower(raw_value) AS canonical_value, count(*) AS n_facts, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, substr(lower(raw_value), 1, 1) || '***' || substr(lower(raw_value), strpos(raw_value, '@')) AS masked_value FROM ({EMAIL_SQL}) GROUP BY ALL""")
+def email_entities(spark, sf_dir):
+    return facts.entities(document_facts(spark, sf_dir).where("field_type = 'EMAIL'")).select("canonical_value", "n_facts", "n_docs", "first_doc", "masked_value")
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d(?:[ -]?\\d){12,18}\\b')) AS raw FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_reverse(string_split(regexp_replace(raw, '[ -]', '', 'g'), '')) AS g FROM c),
+s AS (SELECT r, doc_id, list_sum(list_transform(g, lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN CAST(x AS INTEGER) * 2 > 9 THEN CAST(x AS INTEGER) * 2 - 9 ELSE CAST(x AS INTEGER) * 2 END)) AS total FROM d)
+SELECT doc_id, count(*) AS n_cards FROM s WHERE total % 10 = 0 GROUP BY doc_id""")
+def redacted_cards(spark, sf_dir):
+    found = lines.redact(lines.split_lines(read(spark, sf_dir, "documents"))).select("doc_id", F.explode("detections").alias("d")).where("d.kind = 'CARD_NUMBER'")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_cards"))
+
+
+@query()
+def document_entities(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+URL_SQL = r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '(?i)^(utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src)$')) AS q FROM pages),
+u AS (SELECT page_id, host, scheme || '://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/$', '') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS normalized_url FROM p)"""
+
+
+@query(URL_SQL + " SELECT page_id, normalized_url, host FROM u")
+def url_normalized(spark, sf_dir):
+    url = T.normal_url(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", url.alias("normalized_url"), T.url_host(url).alias("host"))
+
+
+@query(URL_SQL + " SELECT normalized_url AS url, host, count(DISTINCT page_id) AS n_docs, min(page_id) AS first_doc FROM u GROUP BY ALL")
+def hosted_on_edges(spark, sf_dir):
+    located = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("line_number"), F.col("url").alias("text"))
+    return facts.hosted_on(facts.extract(located))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_prop(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents)
+SELECT sha256(x) AS line_hash, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l WHERE x <> '' AND length(x) <= 1000 GROUP BY x HAVING count(DISTINCT doc_id) > 1""")
+def repeated_lines(spark, sf_dir):
+    one = lines.split_lines(read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) <= 1000), "\n").alias("text")))
+    counts = one.groupBy(F.trim("text").alias("x")).agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs")).where("n_docs > 1")
+    return counts.select(F.sha2(F.col("x").cast("binary"), 256).alias("line_hash"), "n_lines", "n_docs")
+
+
+# ---- rules, state and streams
+
+
+@query("""WITH e AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, epoch_us(ts) AS t FROM events),
+g AS (SELECT user_id, event_type, d, min(t) AS lo, max(t) AS hi, count(*) AS n FROM e GROUP BY ALL)
+SELECT user_id, event_type, n, (hi - lo) // 1000000 AS spread_s FROM g WHERE hi - lo > 120000000""")
+def time_contradictions(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("d"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rules.spread_over(events, ["user_id", "event_type", "d"], "t", 120_000_000).select("user_id", "event_type", "n", F.expr("spread div 1000000").alias("spread_s"))
+
+
+@query("""WITH g AS (SELECT o_custkey, max(o_totalprice) AS top, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN pending > 0 AND top > 300000 THEN 'HIGH' WHEN pending > 0 OR top > 300000 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM g""")
+def urgency_levels(spark, sf_dir):
+    signals = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "P").alias("a"), F.bool_or(F.col("o_totalprice") > 300000).alias("b"))
+    return signals.select("o_custkey", rules.urgency(F.col("a") & F.col("b"), F.col("a") | F.col("b")).alias("level"))
+
+
+@query()
+def rate_limited_events(spark, sf_dir):
+    return limiter.limit_events(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window_s=3600)
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
+def daily_windows(spark, sf_dir):
+    return windows.tumbling(read(spark, sf_dir, "events"), "ts", "1 day", "event_type", "value")
