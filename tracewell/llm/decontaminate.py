@@ -12,25 +12,25 @@ row; empty tables give clean or no documents; other columns are never read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in lower case and in any case.
+GAP, GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows are broadcast up to this many rows and bytes of words; beyond, the same join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def _hash_at(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(length), *[F.get(words, at + F.lit(k)) for k in range(length)])
+def _window(length) -> Column:
+    """The words from a position on; a short expression, so that the generated code stays small enough to be compiled."""
+    return F.slice("w", F.col("pos") + 1, length)
 
 
 def windows_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -47,20 +47,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     windows = windows_of(benchmark, n)
     size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("window", " "))), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(size["lengths"])  # n values at most
-    keyed = reduce(lambda e, k: F.when(F.col("length") == k, _hash_at(F.col("window"), F.lit(0), k)).otherwise(e), lengths, F.lit(None).cast("long"))
-    windows = windows.select(keyed.alias("h"), "window", F.col("length").alias("win_length"), "items")
+    windows = windows.select(F.xxhash64("window").alias("h"), "window", F.col("length").alias("win_length"), "items")
     if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
     text = F.col(text_col)
     spots = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("w"))
     spots = spots.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word")).drop("word")
     if len(lengths) == 1:
-        spots = spots.withColumn("length", F.lit(lengths[0])).where(F.col("pos") + F.col("length") <= F.size("w")).withColumn("h", _hash_at(F.col("w"), F.col("pos"), lengths[0]))
+        spots = spots.withColumn("length", F.lit(lengths[0])).where(F.col("pos") + F.col("length") <= F.size("w")).withColumn("h", F.xxhash64(_window(lengths[0])))
     else:
-        probes = [F.struct(F.lit(k).alias("length"), _hash_at(F.col("w"), F.col("pos"), k).alias("h")) for k in lengths]
+        probes = [F.struct(F.lit(k).alias("length"), F.xxhash64(_window(k)).alias("h")) for k in lengths]
         probes = F.array(*probes) if probes else F.expr("cast(array() as array<struct<length:int,h:bigint>>)")
         spots = spots.select("*", F.inline(probes)).where(F.col("pos") + F.col("length") <= F.size("w"))
-    same = (F.col("length") == F.col("win_length")) & (F.slice("w", F.col("pos") + 1, F.col("length")) == F.col("window"))
+    same = (F.col("length") == F.col("win_length")) & (_window(F.col("length")) == F.col("window"))
     return spots.join(windows, "h").where(same).select("doc_id", "text_hash", "pos", "length", "items")
 
 
@@ -72,7 +71,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "do
     step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["pos"] + s["length"] - F.greatest(a["end"], s["pos"]))).alias("n"), F.greatest(a["end"], s["pos"] + s["length"]).alias("end"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("spans", zero, step, lambda a: a["n"]).alias("n_hit"), "items", "spans")
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP_ANY_CASE), "")).cast("long").alias("n_words"))
     out = base.join(hits, base["doc_id"].eqNullSafe(hits["hit_id"]) & (base["text_hash"] == hits["hit_hash"]), "left")
     items = F.coalesce(F.col("items"), F.expr("cast(array() as array<string>)"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
