@@ -126,8 +126,11 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, lang_pred string, score double, n_letters long")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """``docs`` without those that have no letters or are far from every language learnt from them; columns as they were."""
+def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """``docs`` without those that have no letters or score below ``min_score``; columns as they were.
+
+    Short clean texts can score low, so by default only texts in no language at all go.
+    """
     profiles = prototypes(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     found = identify(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"), profiles)
     bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()

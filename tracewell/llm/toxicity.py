@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-The labels say only toxic or not, so severity grades are made from them: a labelled toxic document has the
-grade 1, 2 or 3 by how many different words it holds that the toxic training documents use far more often
-than the others (one at most, two, more). The model is log P(grade >= k) / P(grade < k) = w.x - t_k: one
+A feature is a word, or a stem (the first 4 to 7 letters of a word), and that it occurs once at least, or 3 or
+6 times. The labels say only toxic or not, so severity grades are made from them: toxic training documents
+have the grade 1, 2 or 3 by thirds of how many features they hold that toxic documents have far more often
+than the others. The model is log P(grade >= k) / P(grade < k) = w.x - t_k: one
 weight for each word, shared by all thresholds, and ordered thresholds. The result is the expected grade.
 
 Labelled training rows are bounded by ``SAMPLE`` (those with the smallest hash of their id); counts of words
@@ -15,6 +16,7 @@ repeated rows each get their row; null ids match no label; other columns are nev
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,31 @@ from pyspark.sql import functions as F
 from .common import crc_mod, saved, table, texts_of
 from .quality import labels_of
 
-SAMPLE, FEATURES, GRADES, STEPS, L2 = 20_000, 2048, 3, 300, 2e-4
+SAMPLE, FEATURES, GRADES, STEPS, L2, CACHE = 20_000, 4096, 3, 300, 2e-4, 300_000
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII; A-Z become lower case.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.translate(TO_WORDS).split())
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(TO_WORDS).split()
+
+
+def stems_of(word: bytes) -> list[bytes]:
+    text = word.decode("utf-8", "replace")
+    return [word + b"$", *(text[:n].encode() for n in range(4, 8) if len(text) >= n)]
+
+
+def levels(stems: dict[bytes, int]) -> list[bytes]:
+    """Features of a text with these counts of stems."""
+    return [s + b"\0%d" % n for s, c in stems.items() for n in (1, 3, 6) if c >= n]
+
+
+def features_of(text: bytes) -> list[bytes]:
+    stems: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for s in stems_of(word):
+            stems[s] += n
+    return sorted(levels(stems))
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -39,12 +59,12 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, y, word``: the distinct words of labelled documents."""
+    """``doc_id, y, words``: the features of labelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in texts_of(batch):
-                words = [sorted(words_of(t)) for t in texts]
+                words = [features_of(t) for t in texts]
                 ends = np.append(0, np.cumsum([len(w) for w in words])).astype(np.int32)
                 flat = pa.array([x for w in words for x in w], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "y", "words"])
@@ -55,11 +75,24 @@ def word_rows(docs: DataFrame) -> DataFrame:
 class Model:
     def __init__(self, words: list[bytes], weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = dict(zip(words, weights.tolist(), strict=True)), thresholds
+        self.stems = {w.rpartition(b"\0")[0] for w in words}
+        self.known: dict[bytes, tuple[bytes, ...]] = {}  # stems of words that have some in the model; bounded
+
+    def sum_of(self, text: bytes) -> float:
+        known, stems = self.known, {}
+        for word, n in Counter(words_of(text)).items():
+            own = known.get(word)
+            if own is None:
+                if len(known) > CACHE:
+                    known.clear()
+                own = known[word] = tuple(s for s in stems_of(word) if s in self.stems)
+            for s in own:
+                stems[s] = stems.get(s, 0) + n
+        return sum(self.weights.get(f, 0.0) for f in levels(stems))
 
     def severity(self, texts: list[bytes]) -> np.ndarray:
         """For each text the probabilities of a grade of 1, 2, ... at least; their sum is the expected grade."""
-        weights = self.weights
-        x = np.array([sum(map(weights.__getitem__, weights.keys() & words_of(t))) for t in texts])
+        x = np.array([self.sum_of(t) for t in texts])
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.thresholds, -40, 40)))
 
 
@@ -115,7 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     data = labelled.select("y", "words").mapInArrow(keep, "y int, cols array<int>").collect()  # ``sample`` short rows at most
     data.sort(key=lambda r: (r["y"], r["cols"]))
-    grades = np.array([r["y"] * max(1, min(GRADES, int(strong[r["cols"]].sum()))) for r in data])
+    hits = np.array([int(strong[r["cols"]].sum()) for r in data])
+    toxic = np.array([r["y"] for r in data])
+    thirds = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
+    grades = toxic * (1 + (hits[:, None] > thirds).sum(axis=1))
     rows = np.repeat(np.arange(len(data)), [len(r["cols"]) for r in data])
     cols = np.array([c for r in data for c in r["cols"]], np.int64)
     return Model(list(index), *fit_ordinal(rows, cols, grades, len(index)))
