@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import relational
-from tracewell.plans import case, rules
+from tracewell.plans import case, graph, rules
 from tracewell.sources import files
 from tracewell.streaming import limiter, windows
 
@@ -130,3 +130,20 @@ def test_entry_without_llm(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_graph_and_timeline(spark):
+    times = [("c", 1, None, "INFERRED_ORDER_ONLY", "E02", 1), ("c", 2, datetime(2026, 1, 2), "EXACT", "E01", 3), ("c", 3, datetime(2026, 1, 1), "APPROXIMATE", "E01", 1), ("c", 4, datetime(2026, 1, 1), "EXACT", "E03", 1)]
+    order = graph.timeline(spark.createDataFrame(times, "case_id string, event_id int, at timestamp, precision string, evidence_ref string, line_number int"))
+    assert [r.event_id for r in order.orderBy("position").collect()] == [4, 3, 2, 1]
+    facts = [("c", "e1", 1, 0, "DATE", "2026-01-01"), ("c", "e1", 2, 0, "TIME", "T10:00"), ("c", "e2", 1, 0, "TIME", "T11:00"), ("d", "e3", 1, 0, "TIME", "T12:00")]
+    got = graph.assign_times(spark.createDataFrame(facts, "case_id string, evidence_id string, line_number int, start int, kind string, value string"))
+    assert rows_of(got.select("evidence_id", "day", "precision").na.fill("-")) == [("e1", "2026-01-01", "EXACT"), ("e2", "2026-01-01", "APPROXIMATE"), ("e3", "-", "INFERRED_ORDER_ONLY")]
+    sections = spark.createDataFrame([("c", "b", "2"), ("c", "a", "1")], "case_id string, section string, content string")
+    assert graph.snapshot(sections).first().snapshot == '{"a":"1","b":"2"}'
+    cases, evidence = spark.createDataFrame([("c",)], "case_id string"), spark.createDataFrame([("c", 1)], "case_id string, evidence_id int")
+    entities = spark.createDataFrame([("c", 7, "a***")], "case_id string, entity_id int, masked_value string")
+    assert rows_of(graph.nodes(cases, evidence, entities).select("node_id", "label")) == [("c:c", "c"), ("e:1", "1"), ("n:7", "a***")]
+    appears = spark.createDataFrame([("c", 7, 1), ("c", 7, 1)], "case_id string, entity_id int, evidence_id int")
+    relations = spark.createDataFrame([("c", 7, 8, "PAID_TO")], "case_id string, from_entity int, to_entity int, relation string")
+    assert rows_of(graph.edges(appears, relations).select("from_node", "to_node", "kind")) == [("n:7", "e:1", "APPEARS_IN"), ("n:7", "n:8", "PAID_TO")]

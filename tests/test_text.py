@@ -138,3 +138,31 @@ def test_urls(spark):
     }
     assert column(spark, list(cases), T.normal_url) == list(cases.values())
     assert column(spark, ["INR 8500.00", "INR 0.05"], T.amount_minor) == [850000, 5]
+
+
+def test_times(spark):
+    from tracewell.functions.temporal import TEMPORAL, normalize
+
+    cases = {
+        "24 Sep 2026 at 12:19 PM": ("2026-09-24T12:19+05:30", "DATETIME", "EXACT"),
+        "Thursday, 24 September 2026": ("2026-09-24", "DATE", "EXACT"),
+        "2026-02-30": None,
+        "03/04/69": ("2069-04-03", "DATE", "EXACT"),
+        "03-04-70, around 9:05": ("1970-04-03T09:05+05:30", "DATETIME", "APPROXIMATE"),
+        "~ 12:00 a.m.": ("T00:00", "TIME", "APPROXIMATE"),
+        "23:59": ("T23:59", "TIME", "EXACT"),
+        "24:00": None,
+        "13:00 pm": None,
+    }
+    got = column(spark, list(cases), normalize)
+    assert [x and (x.value, x.kind, x.precision) for x in got] == list(cases.values())
+    assert got[0].at.isoformat().startswith("2026-09-24T06:49") and got[1].at is None
+    found = column(spark, ["On 24 Sep 2026, 12:03 PM and about 5:10pm; ratio 3:4x 1/2/2026-5"], lambda t: T.find_spans(t, TEMPORAL))
+    assert [s.value for s in found[0]] == ["24 Sep 2026, 12:03 PM", "about 5:10pm"]
+
+
+def test_labelled_names(spark):
+    rows = spark.createDataFrame([(1, 1, "Paid by: Asha K. Rao, then left"), (1, 2, "Bank name: Demo & Sons Wallet"), (1, 3, "debited from First Demo Bank on 3"), (1, 4, "Name: ")], "doc_id int, line_number int, text string")
+    got = {(r.line_number, r.field_type, r.normalized_value) for r in facts.extract(rows).collect()}
+    assert {(1, "PERSON", "Asha K. Rao"), (3, "BANK_OR_WALLET", "First Demo Bank")} <= got
+    assert (2, "BANK_OR_WALLET", "Demo") in got and not any(n == 4 for n, _, _ in got)

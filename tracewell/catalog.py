@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import facts, lines, relational
+from .operators import facts, lines, relational, sequences
 from .plans import rules
 from .streaming import limiter, windows
 
@@ -203,18 +203,18 @@ def doc_lines(spark, sf_dir):
 EMAIL_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}')) AS raw_value FROM documents"
 
 
-def document_facts(spark, sf_dir):
-    return facts.extract(lines.redact(lines.split_lines(read(spark, sf_dir, "documents"))))
+def document_facts(spark, sf_dir, *kinds):
+    return facts.extract(lines.redact(lines.split_lines(read(spark, sf_dir, "documents"))), kinds or None)
 
 
 @query(f"SELECT doc_id, raw_value, lower(raw_value) AS normalized_value FROM ({EMAIL_SQL})")
 def emails(spark, sf_dir):
-    return document_facts(spark, sf_dir).where("field_type = 'EMAIL'").select("doc_id", "raw_value", "normalized_value")
+    return document_facts(spark, sf_dir, "EMAIL").select("doc_id", "raw_value", "normalized_value")
 
 
 @query(f"""SELECT lower(raw_value) AS canonical_value, count(*) AS n_facts, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, substr(lower(raw_value), 1, 1) || '***' || substr(lower(raw_value), strpos(raw_value, '@')) AS masked_value FROM ({EMAIL_SQL}) GROUP BY ALL""")
 def email_entities(spark, sf_dir):
-    return facts.entities(document_facts(spark, sf_dir).where("field_type = 'EMAIL'")).select("canonical_value", "n_facts", "n_docs", "first_doc", "masked_value")
+    return facts.entities(document_facts(spark, sf_dir, "EMAIL")).select("canonical_value", "n_facts", "n_docs", "first_doc", "masked_value")
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d(?:[ -]?\\d){12,18}\\b')) AS raw FROM documents),
@@ -245,7 +245,7 @@ def url_normalized(spark, sf_dir):
 @query(URL_SQL + " SELECT normalized_url AS url, host, count(DISTINCT page_id) AS n_docs, min(page_id) AS first_doc FROM u GROUP BY ALL")
 def hosted_on_edges(spark, sf_dir):
     located = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("line_number"), F.col("url").alias("text"))
-    return facts.hosted_on(facts.extract(located))
+    return facts.hosted_on(facts.extract(located, ("URL", "DOMAIN")))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -287,3 +287,35 @@ def rate_limited_events(spark, sf_dir):
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
 def daily_windows(spark, sf_dir):
     return windows.tumbling(read(spark, sf_dir, "events"), "ts", "1 day", "event_type", "value")
+
+
+@query("""SELECT event_id, f AS failures_before, f >= 3 AS locked FROM (SELECT event_id, count(*) FILTER (WHERE value < 10) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM events)""")
+def locked_attempts(spark, sf_dir):
+    found = sequences.locked_attempts(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") < 10, 3)
+    return found.select("event_id", "failures_before", "locked")
+
+
+@query("""SELECT event_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
+FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 7200000000 THEN 0 ELSE 1 END AS b FROM events)""")
+def event_sessions(spark, sf_dir):
+    return sequences.sessions(read(spark, sf_dir, "events"), "user_id", "ts", ["ts", "event_id"], 7200).select("event_id", "session")
+
+
+@query("""WITH p AS (SELECT DISTINCT conv_id, role FROM conversations) SELECT a.role AS role_a, b.role AS role_b, count(*) AS n_conversations FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.role < b.role GROUP BY ALL""")
+def conversation_roles(spark, sf_dir):
+    pairs = read(spark, sf_dir, "conversations").select("conv_id", "role").distinct()
+    a, b = pairs.withColumnRenamed("role", "role_a"), pairs.withColumnRenamed("role", "role_b")
+    return a.join(b, "conv_id").where("role_a < role_b").groupBy("role_a", "role_b").agg(F.count("*").alias("n_conversations"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS r FROM orders) SELECT o_custkey, min(r) AS lowest_rank, count(*) FILTER (WHERE r < 3) AS before_last FROM o GROUP BY o_custkey""")
+def enum_order(spark, sf_dir):
+    """Statuses compare by their declared order, not by their letters."""
+    place = F.array_position(F.array(F.lit("P"), F.lit("O"), F.lit("F")), F.col("o_orderstatus")).cast("int")
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(place).alias("lowest_rank"), F.count_if(place < 3).alias("before_last"))
+
+
+@query("""SELECT p_brand, p_partkey, p_retailprice FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3""")
+def top_three_per_brand(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey"))
+    return read(spark, sf_dir, "part").withColumn("r", rank).where("r <= 3").select("p_brand", "p_partkey", "p_retailprice")

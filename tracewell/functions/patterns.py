@@ -23,6 +23,13 @@ SMS_SENDER = r"^[A-Z]{2}-[A-Z0-9]{3,9}$"
 HANDLE = rf"(?<![\w.@/-])@[A-Za-z0-9_][A-Za-z0-9_.]{{2,31}}(?<!\.)(?![\w@])|{B}t\.me/[A-Za-z0-9_]{{3,32}}(?!\w)"
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src)$"
 
+# Names after their labels.
+NAME = r"(?-i:\p{L}[\p{L}\p{M}.'&-]*(?: \p{Lu}[\p{L}\p{M}.'&-]*){0,4})"
+PERSON_LABEL = rf"(?i){B}(?:Paid by|Paid to|Name){S}*:{S}*"
+BANK_LABEL = rf"(?i){B}(?:Bank(?:{S}+name)?|Wallet){S}*:{S}*"
+DEBITED_NAME = rf"((?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank)$"
+DEBITED_FROM = rf"{B}[Dd]ebited{S}+from{S}+(?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank{B}"
+
 # What is redacted before anything else reads a line.
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 ACCOUNT_CUE = rf"(?i)(?:{B}a/c(?:{S}*no\.?)?|{B}account{S}*(?:no|number)\.?|{B}acct(?:{S}*no\.?)?){S}*[:.#-]?{S}*\d{{9,18}}(?!\d)"

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.temporal import TEMPORAL
+from ..functions.temporal import normalize as normal_time
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Every match of every type in one pass over the lines."""
+def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Every match of the given types, or of all, in one pass over the lines."""
     text = F.col("text")
 
     def of(kind, spans):
@@ -34,23 +36,38 @@ def candidates(lines: DataFrame) -> DataFrame:
         out = F.transform(spans, lambda s: F.struct(raw(s).alias("value"), at(s).alias("start"), (at(s) + F.length(raw(s))).alias("end")))
         return F.filter(out, lambda s: T.known_tld(s["value"]))
 
+    def names(spans):
+        value = lambda s: F.regexp_replace(F.regexp_extract(s["value"], rf"(?i)^[^:]*:{P.S}*(.*)$", 1), r"[.'&-]+$", "")
+        at = lambda s: s["end"] - F.length(F.regexp_extract(s["value"], rf"(?i)^[^:]*:{P.S}*(.*)$", 1))
+        return F.transform(spans, lambda s: F.struct(value(s).alias("value"), at(s).alias("start"), (at(s) + F.length(value(s))).alias("end")))
+
     none = F.array().cast(T.SPANS)
     with_digit = text.rlike(r"\d")
     urls = F.when(text.rlike("(?i)https?://"), trimmed(T.find_spans(text, P.URL))).otherwise(none)
-    bare = F.when(text.contains("."), F.filter(trimmed(T.find_spans(text, P.BARE_HOST)), lambda s: T.known_tld(T.url_host(s["value"])))).otherwise(none)
+    host_like = text.rlike(r"(?i)https?://|[a-z0-9]\.[a-z]{2}")
+    bare = F.when(host_like, F.filter(trimmed(T.find_spans(text, P.BARE_HOST)), lambda s: T.known_tld(T.url_host(s["value"])))).otherwise(none)
     both = F.concat(urls, bare)
     hint = r"([Xx*]{2,}\d{3,4}|(?i:ending\s+(?:in\s+)?\d{4}))$"
     transaction = F.filter(tail(T.find_spans(text, P.TRANSACTION), r"([A-Za-z0-9]{8,22})$"), lambda s: s["value"].rlike(r"\d"))
     sender = F.trim(text)
-    found = F.concat(
-        F.when(with_digit, of("PHONE", T.find_spans(text, P.PHONE))).otherwise(of("PHONE", none)),
-        of("URL", both),
-        of("DOMAIN", hosts(both)),
-        F.when(text.contains("@"), F.concat(of("EMAIL", T.find_spans(text, P.EMAIL)), of("UPI_ID", T.find_spans(text, P.UPI_ID)))).otherwise(of("EMAIL", none)),
-        F.when(with_digit, F.concat(of("AMOUNT", T.find_spans(text, P.AMOUNT)), of("TRANSACTION", transaction), of("ACCOUNT_HINT", tail(T.find_spans(text, P.ACCOUNT_HINT), hint)))).otherwise(of("AMOUNT", none)),
-        F.when(text.contains("@") | text.contains("t.me/"), of("MESSAGING_HANDLE", T.find_spans(text, P.HANDLE))).otherwise(of("MESSAGING_HANDLE", none)),
-        F.when(sender.rlike(P.SMS_SENDER), of("SMS_SENDER_HEADER", F.array(F.struct(sender.alias("value"), (F.instr(text, sender) - 1).alias("start"), (F.instr(text, sender) - 1 + F.length(sender)).alias("end"))))).otherwise(of("SMS_SENDER_HEADER", none)),
-    )
+    # by the types that a part can yield; a part runs its pattern only where a cheap test lets it
+    parts = [
+        ({"PHONE"}, with_digit, lambda: of("PHONE", T.find_spans(text, P.PHONE))),
+        ({"URL"}, host_like, lambda: of("URL", both)),
+        ({"DOMAIN"}, host_like, lambda: of("DOMAIN", hosts(both))),
+        ({"EMAIL"}, text.contains("@"), lambda: of("EMAIL", T.find_spans(text, P.EMAIL))),
+        ({"UPI_ID"}, text.contains("@"), lambda: of("UPI_ID", T.find_spans(text, P.UPI_ID))),
+        ({"AMOUNT"}, with_digit, lambda: of("AMOUNT", T.find_spans(text, P.AMOUNT))),
+        ({"TRANSACTION"}, with_digit, lambda: of("TRANSACTION", transaction)),
+        ({"ACCOUNT_HINT"}, with_digit, lambda: of("ACCOUNT_HINT", tail(T.find_spans(text, P.ACCOUNT_HINT), hint))),
+        ({"MESSAGING_HANDLE"}, text.contains("@") | text.contains("t.me/"), lambda: of("MESSAGING_HANDLE", T.find_spans(text, P.HANDLE))),
+        ({"DATETIME"}, text.rlike(r"\d:\d|\d[-/]\d|\d{4}"), lambda: of("DATETIME", T.find_spans(text, TEMPORAL))),
+        ({"PERSON"}, text.contains(":"), lambda: of("PERSON", names(T.find_spans(text, P.PERSON_LABEL + P.NAME)))),
+        ({"BANK_OR_WALLET"}, text.contains(":"), lambda: of("BANK_OR_WALLET", names(T.find_spans(text, P.BANK_LABEL + P.NAME)))),
+        ({"BANK_OR_WALLET"}, text.contains("ebited"), lambda: of("BANK_OR_WALLET", tail(T.find_spans(text, P.DEBITED_FROM), P.DEBITED_NAME))),
+        ({"SMS_SENDER_HEADER"}, sender.rlike(P.SMS_SENDER), lambda: of("SMS_SENDER_HEADER", F.array(F.struct(sender.alias("value"), (F.instr(text, sender) - 1).alias("start"), (F.instr(text, sender) - 1 + F.length(sender)).alias("end"))))),
+    ]
+    found = F.concat(*[F.when(test, make()).otherwise(of("", none)) for kind, test, make in parts if kinds is None or kind & set(kinds)])
     return lines.select("doc_id", "line_number", F.inline(found))
 
 
@@ -63,16 +80,16 @@ def longest_first(found: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "line_number", "field_type", F.inline(kept)).drop("size")
 
 
-def extract(lines: DataFrame) -> DataFrame:
-    """Facts with canonical values; values that can't be normalised have null."""
-    return longest_first(candidates(lines)).withColumn("normalized_value", T.normalize(F.col("field_type"), F.col("raw_value")))
+def extract(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of the given types, or of all, with canonical values; values that can't be normalised have null."""
+    return longest_first(candidates(lines, kinds)).withColumn("normalized_value", F.when(F.col("field_type") == "DATETIME", normal_time(F.col("raw_value"))["value"]).otherwise(T.normalize(F.col("field_type"), F.col("raw_value"))))
 
 
 def entities(facts: DataFrame) -> DataFrame:
     """One row for each type and canonical value: spelling of the first fact, mask, counts, documents."""
     first = F.struct("doc_id", "line_number", "start", "raw_value")
     key = F.when(F.col("field_type") == "BANK_OR_WALLET", F.lower("normalized_value")).otherwise(F.col("normalized_value"))
-    some = facts.where("normalized_value is not null").withColumn("entity_key", key)
+    some = facts.where("normalized_value is not null and field_type <> 'DATETIME'").withColumn("entity_key", key)
     out = some.groupBy("field_type", "entity_key").agg(F.min_by("normalized_value", first).alias("canonical_value"), F.min_by("raw_value", first).alias("first_raw"), F.count("*").alias("n_facts"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     return out.withColumn("masked_value", T.mask(F.col("field_type"), F.col("canonical_value")))
 
