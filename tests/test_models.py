@@ -147,3 +147,50 @@ def test_graph_and_timeline(spark):
     appears = spark.createDataFrame([("c", 7, 1), ("c", 7, 1)], "case_id string, entity_id int, evidence_id int")
     relations = spark.createDataFrame([("c", 7, 8, "PAID_TO")], "case_id string, from_entity int, to_entity int, relation string")
     assert rows_of(graph.edges(appears, relations).select("from_node", "to_node", "kind")) == [("n:7", "e:1", "APPEARS_IN"), ("n:7", "n:8", "PAID_TO")]
+
+
+def test_gates(spark):
+    now = datetime(2026, 1, 1, 12)
+    rows = [(1, "UPLOADING", now - timedelta(minutes=16), None, now), (2, "UPLOADING", now - timedelta(minutes=5), None, now), (3, "FAILED", now, True, now), (4, "FAILED", now, False, now), (5, "UPLOADED", now, None, now + timedelta(hours=1))]
+    evidence = spark.createDataFrame(rows, "evidence_id int, processing_status string, created_at timestamp, failure_retryable boolean, uploaded_at timestamp")
+    assert [r.evidence_id for r in case.abandoned(evidence, F.lit(now)).collect()] == [1]
+    assert [r.evidence_id for r in case.planned_evidence(evidence, F.lit(now)).collect()] == [3]
+    item = "item_id int, sha256 string"
+    assert rows_of(case.input_changes(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], item), spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], item))) == [(2, "CHANGED"), (3, "REMOVED"), (4, "ADDED")]
+    steps = [("r", 1, "PARSE", "SUCCEEDED", None), ("r", 2, "EXTRACT", "FAILED", "X"), ("r", 3, "NORMALIZE", "FAILED", "CASE_CHANGED"), ("s", 1, "PARSE", "SKIPPED", None), ("t", 1, "PARSE", "PLANNED", None)]
+    got = case.run_outcomes(spark.createDataFrame(steps, "run_id string, sequence_no int, step_name string, status string, failure_code string"))
+    assert rows_of(got.na.fill("-")) == [("r", "FAILED", "NORMALIZE"), ("s", "SUCCEEDED", "-"), ("t", "RUNNING", "-")]
+    audit = spark.createDataFrame([(1, "LOGIN", {"ip": "1.2.3.4", "extra": "x"})], "audit_id int, action string, metadata map<string,string>")
+    allowed = spark.createDataFrame([("LOGIN", "ip", r"^[0-9.]+$")], "action string, key string, pattern string")
+    assert rows_of(case.audit_violations(audit, allowed)) == [(1, "extra")]
+    challenges = spark.createDataFrame([(1, None, now + timedelta(hours=1), 0), (2, now, now + timedelta(hours=1), 0), (3, None, now, 0), (4, None, now + timedelta(hours=1), 5)], "id int, consumed_at timestamp, expires_at timestamp, attempts int")
+    assert sorted(r.id for r in case.expired(challenges, F.lit(now), 5).collect()) == [2, 3, 4]
+    one, two = (spark.createDataFrame(x, "g int, a int") for x in ([(1, 2), (1, 1)], [(1, 1), (1, 2)]))
+    assert case.ordered_fingerprint(one, "g", ["a"]).collect() == case.ordered_fingerprint(two, "g", ["a"]).collect()
+
+
+def test_labels_actions_and_facts(spark):
+    from tracewell.operators import facts
+
+    labels = spark.createDataFrame([("a", "X", True), ("a", "Y", False), ("b", "X", True), ("b", "UNKNOWN_OTHER", False), ("c", "X", False)], "case_id string, label string, is_primary boolean")
+    assert rows_of(rules.label_violations(labels)) == [("b",), ("c",)]
+    triggers = spark.createDataFrame([("a", "money"), ("a", "link")], "case_id string, trigger string")
+    templates = spark.createDataFrame([("money", "CALL_BANK", 1), ("link", "REPORT_LINK", 2), ("link", "CALL_BANK", 5)], "trigger string, action string, rank int")
+    assert rows_of(rules.ranked_actions(triggers, templates)) == [("a", "CALL_BANK", 1), ("a", "REPORT_LINK", 2)]
+    lines = spark.createDataFrame([(1, 1, "urgent: pay a@b.example [REDACTED:OTP] now"), (1, 2, "blocked, pay")], "doc_id int, line_number int, text string")
+    assert rows_of(rules.indicators(lines)) == [(1, "ACCOUNT_THREAT", 2), (1, "CREDENTIAL_REQUEST", 1), (1, "PAYMENT_REQUEST", 1), (1, "URGENT_LANGUAGE", 1)]
+    proposed = [(1, 1, "EMAIL", "a@b.example"), (1, 9, "EMAIL", "a@b.example"), (1, 1, "EMAIL", "x@b.example"), (1, 1, "PERSON", "[REDACTED:OTP]"), (1, 1, "PHONE", "urgent")]
+    got = facts.validate(spark.createDataFrame(proposed, "doc_id int, line_number int, field_type string, raw_value string"), lines)
+    assert sorted((r.line_number, r.raw_value, r.rejection or "") for r in got.collect()) == [(1, "[REDACTED:OTP]", "REDACTED_SPAN"), (1, "a@b.example", ""), (1, "urgent", "FORMAT"), (1, "x@b.example", "NOT_LITERAL"), (9, "a@b.example", "FOREIGN_LINE")]
+    row = spark.createDataFrame([("x" * 150 + "HIT" + "y" * 150, [0.9, None], 0.95)], "t string, o array<double>, j double")
+    made = row.select(facts.snippet(F.col("t"), F.lit(150), F.lit(153)).alias("s"), facts.confidence(F.col("o")).alias("c"), facts.confidence(F.col("o"), F.col("j")).alias("d"), rules.event_key(F.lit("PAID"), F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("k")).first()
+    assert len(made.s) == 200 and "HIT" in made.s and (made.c, made.d, made.k) == (0.9, 0.84, "PAID|a,b")
+
+
+def test_first_deliveries(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    data = spark.createDataFrame([(1, start), (1, start + timedelta(minutes=1)), (2, start)], "event_id int, ts timestamp")
+    data.write.parquet(str(tmp_path / "in"))
+    stream = windows.first_deliveries(spark.readStream.schema(data.schema).parquet(str(tmp_path / "in")), ["event_id"], "ts", "1 hour")
+    stream.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.event_id for r in spark.table("firsts").collect()) == [1, 2]

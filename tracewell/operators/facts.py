@@ -135,3 +135,33 @@ def nearest_date(facts: DataFrame) -> DataFrame:
     """For each fact the last DATE before it in its document."""
     before = Window.partitionBy("doc_id").orderBy("line_number", "start").rowsBetween(Window.unboundedPreceding, -1)
     return facts.withColumn("date_context", F.last(F.when(F.col("field_type") == "DATE", F.col("normalized_value")), ignorenulls=True).over(before))
+
+
+def validate(proposed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Proposed facts (``doc_id, line_number, field_type, raw_value``) with ``rejection``: the first rule that one breaks, null if none.
+
+    The line must be one of the document's; the value must stand in it literally; it must touch no redaction
+    token; it must have its type's form.
+    """
+    known = lines.select("doc_id", "line_number", "text")
+    found = proposed.join(known, ["doc_id", "line_number"], "left")
+    form = F.when(F.col("field_type") == "DATETIME", normal_time(F.col("raw_value")).isNotNull()).otherwise(T.normalize(F.col("field_type"), F.col("raw_value")).isNotNull())
+    rejection = (
+        F.when(F.col("text").isNull(), "FOREIGN_LINE")
+        .when((F.col("raw_value") == "") | (F.instr("text", F.col("raw_value")) == 0), "NOT_LITERAL")
+        .when(F.col("raw_value").contains("[REDACTED:") | F.col("raw_value").rlike(r"^[^\[]*\]$"), "REDACTED_SPAN")
+        .when(~form, "FORMAT")
+    )
+    return found.withColumn("rejection", rejection).drop("text")
+
+
+def snippet(text, start, end, most: int = 200):
+    """At most ``most`` characters of a line around a span."""
+    left = F.greatest(F.lit(0), F.least(start - F.floor((most - (end - start)) / 2), F.length(text) - most)).cast("int")
+    return F.when(F.length(text) <= most, text).otherwise(F.substr(text, left + 1, F.lit(most)))
+
+
+def confidence(ocr, judgement=None):
+    """The weakest line's confidence (certain without OCR), capped by a judgement, which itself never counts as high; three places."""
+    source = F.coalesce(F.array_min(F.transform(ocr, lambda x: F.coalesce(x, F.lit(1.0)))), F.lit(1.0))
+    return F.round(source if judgement is None else F.least(source, F.coalesce(F.greatest(F.lit(0.0), F.least(judgement, F.lit(1.0))), F.lit(0.5)), F.lit(0.84)), 3)

@@ -68,3 +68,46 @@ def verify_integrity(evidence: DataFrame, files: DataFrame) -> DataFrame:
     found = files.select("evidence_id", F.sha2("content", 256).alias("found"))
     result = F.when(F.col("found").isNull(), "COULD_NOT_COMPLETE").when(F.col("found") == F.col("sha256"), "MATCH").otherwise("MISMATCH")
     return evidence.join(found, "evidence_id", "left").select("evidence_id", result.alias("result"))
+
+
+def expired(rows: DataFrame, now: Column, max_attempts: int) -> DataFrame:
+    """Challenges that can't be used any more: consumed, out of time or out of attempts."""
+    return rows.where(F.col("consumed_at").isNotNull() | (F.col("expires_at") <= now) | (F.col("attempts") >= max_attempts))
+
+
+def abandoned(evidence: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+    """Uploads that never finished within their time."""
+    return evidence.where((F.col("processing_status") == "UPLOADING") & (F.unix_seconds("created_at") < F.unix_seconds(now) - minutes * 60))
+
+
+def planned_evidence(evidence: DataFrame, run_created_at: Column) -> DataFrame:
+    """Items that a run takes up: uploaded before it, and new or failed in a way that may be retried."""
+    fresh = (F.col("processing_status") == "UPLOADED") | ((F.col("processing_status") == "FAILED") & F.col("failure_retryable"))
+    return evidence.where((F.col("uploaded_at") <= run_created_at) & fresh)
+
+
+def input_changes(planned: DataFrame, current: DataFrame) -> DataFrame:
+    """Items that were added, removed or changed since a plan was made: ``item_id, change``."""
+    a, b = planned.select(F.col("item_id"), F.col("sha256").alias("was")), current.select(F.col("item_id"), F.col("sha256").alias("now"))
+    change = F.when(F.col("was").isNull(), "ADDED").when(F.col("now").isNull(), "REMOVED").when(F.col("was") != F.col("now"), "CHANGED")
+    return a.join(b, "item_id", "full").select("item_id", change.alias("change")).where("change is not null")
+
+
+def ordered_fingerprint(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """A hash of each group's rows in order."""
+    text = F.to_json(F.array_sort(F.collect_list(F.struct(*order))))
+    return rows.groupBy(by).agg(F.sha2(text.cast("binary"), 256).alias("fingerprint"))
+
+
+def run_outcomes(steps: DataFrame) -> DataFrame:
+    """SUCCEEDED, FAILED or RUNNING for each run, and the step a failure is laid to: the first in order, but a changed case before all."""
+    failed = F.struct((F.col("failure_code") != "CASE_CHANGED").alias("later"), "sequence_no", "step_name")
+    out = steps.groupBy("run_id").agg(F.bool_and(F.col("status").isin("SUCCEEDED", "SKIPPED")).alias("done"), F.min(F.when(F.col("status") == "FAILED", failed)).alias("first"))
+    return out.select("run_id", F.when(F.col("first").isNotNull(), "FAILED").when(F.col("done"), "SUCCEEDED").otherwise("RUNNING").alias("outcome"), F.col("first.step_name").alias("failed_step"))
+
+
+def audit_violations(audit: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Metadata of audit rows that no (action, key, pattern) allows: ``audit_id, key``. ``audit``: ``audit_id, action, metadata`` (a map)."""
+    rows = audit.select("audit_id", "action", F.explode("metadata").alias("key", "value"))
+    good = rows.join(F.broadcast(allowed), ["action", "key"]).where(F.regexp_like("value", F.col("pattern"))).select("audit_id", "key")
+    return rows.select("audit_id", "key").join(good, ["audit_id", "key"], "left_anti")

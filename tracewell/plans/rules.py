@@ -48,3 +48,37 @@ def checklist(cases: DataFrame, present: DataFrame, required: DataFrame) -> Data
 def capped_confidence(confidence: Column, precision: Column) -> Column:
     cap = F.when(precision == "APPROXIMATE", CONFIDENCE_CAPS["APPROXIMATE"]).when(precision == "INFERRED_ORDER_ONLY", CONFIDENCE_CAPS["INFERRED_ORDER_ONLY"]).otherwise(1.0)
     return F.least(confidence, cap)
+
+
+def event_key(kind: Column, ids: Column) -> Column:
+    """Type and sorted distinct ids: equal for the same occurrence."""
+    return F.concat_ws("|", kind, F.array_join(F.array_sort(F.array_distinct(ids)), ","))
+
+
+# Our choice: cues of indicators; none are prescribed.
+INDICATORS = {
+    "URGENT_LANGUAGE": r"(?i)\b(?:urgent|immediately|within 24 hours|last warning)\b",
+    "ACCOUNT_THREAT": r"(?i)\b(?:blocked|suspended|deactivated)\b",
+    "CREDENTIAL_REQUEST": r"(?i)\b(?:otp|pin|password|cvv)\b",
+    "PAYMENT_REQUEST": r"(?i)\b(?:pay|transfer|send money|upi id)\b",
+}
+
+
+def indicators(lines: DataFrame) -> DataFrame:
+    """``doc_id, indicator, line_number`` of the first line with each cue."""
+    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in INDICATORS.items()]))
+    return lines.select("doc_id", "line_number", F.explode(found).alias("indicator")).groupBy("doc_id", "indicator").agg(F.min("line_number").alias("line_number"))
+
+
+def label_violations(labels: DataFrame) -> DataFrame:
+    """Cases whose labels don't fit: exactly one is primary, and UNKNOWN_OTHER stands alone. ``labels``: ``case_id, label, is_primary``."""
+    out = labels.groupBy("case_id").agg(F.count_if("is_primary").alias("primaries"), F.count("*").alias("n"), F.bool_or(F.col("label") == "UNKNOWN_OTHER").alias("unknown"))
+    return out.where((F.col("primaries") != 1) | (F.col("unknown") & (F.col("n") > 1))).select("case_id")
+
+
+def ranked_actions(triggers: DataFrame, templates: DataFrame) -> DataFrame:
+    """Actions of each case in the order of their templates' ranks: ``case_id, action, position``."""
+    from pyspark.sql import Window
+
+    hit = triggers.select("case_id", "trigger").distinct().join(F.broadcast(templates), "trigger").groupBy("case_id", "action").agg(F.min("rank").alias("rank"))
+    return hit.select("case_id", "action", F.row_number().over(Window.partitionBy("case_id").orderBy("rank", "action")).alias("position"))

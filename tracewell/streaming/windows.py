@@ -22,3 +22,8 @@ def session_stream(events: DataFrame, ts: str, gap: str, late: str, by: str) ->
     """Sessions of a group: events less than ``gap`` apart."""
     some = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
     return some.groupBy(F.session_window("at", gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+
+
+def first_deliveries(events: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:
+    """A stream without repeated deliveries that come within ``late`` of the first."""
+    return events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(key)
