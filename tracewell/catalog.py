@@ -188,11 +188,11 @@ def sha_fingerprints(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), F.sha2(F.concat(sha, F.lit("PARSE")).cast("binary"), 256).alias("step_hash"))
 
 
-@query("""WITH p AS (SELECT doc_id, regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n') AS l FROM documents)
-SELECT doc_id, count(*) AS n_lines, sum(length(x)) AS n_chars_in_lines FROM (SELECT doc_id, unnest(l) AS x FROM p) WHERE trim(x) <> '' AND length(x) <= 1000 GROUP BY doc_id""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS x FROM documents)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(length(x)) AS BIGINT) AS n_chars_in_lines, max(length(x)) AS longest FROM l WHERE regexp_matches(x, '\\S') GROUP BY doc_id""")
 def doc_line_counts(spark, sf_dir):
-    short = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.length(x) <= 1000).alias("l"))
-    return lines.split_lines(short.select("doc_id", F.array_join("l", "\n").alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars_in_lines"))
+    found = read(spark, sf_dir, "documents").select("doc_id", F.explode(lines.not_blank(F.col("text"))).alias("x"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("x")).alias("n_chars_in_lines"), F.max(F.length("x")).alias("longest"))
 
 
 @query()
@@ -253,12 +253,13 @@ def json_prop(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents)
-SELECT sha256(x) AS line_hash, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l WHERE x <> '' AND length(x) <= 1000 GROUP BY x HAVING count(DISTINCT doc_id) > 1""")
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)))) AS x FROM documents)
+SELECT sha256(x) AS line_hash, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l WHERE regexp_matches(x, '\\S') GROUP BY x HAVING count(DISTINCT doc_id) > 1""")
 def repeated_lines(spark, sf_dir):
-    one = lines.split_lines(read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) <= 1000), "\n").alias("text")))
-    counts = one.groupBy(F.trim("text").alias("x")).agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs")).where("n_docs > 1")
-    return counts.select(F.sha2(F.col("x").cast("binary"), 256).alias("line_hash"), "n_lines", "n_docs")
+    one = read(spark, sf_dir, "documents").select("doc_id", F.explode(lines.not_blank(F.col("text"))).alias("x"))
+    # by hash, so that long lines are not shuffled; counts come from one aggregation by line and document
+    per = one.groupBy(F.sha2(F.trim("x").cast("binary"), 256).alias("line_hash"), "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("line_hash").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs")).where("n_docs > 1")
 
 
 # ---- rules, state and streams

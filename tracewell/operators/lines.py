@@ -26,10 +26,15 @@ def segments(line: Column) -> Column:
     return F.transform(pieces, lambda p, i: F.when(i < last, F.regexp_replace(p, r"(?U)\s$", "")).otherwise(p))
 
 
+def not_blank(text: Column) -> Column:
+    """The lines of a text that hold more than white space, at their full length."""
+    ends = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    return F.filter(F.split(ends, "\n"), lambda x: F.regexp_replace(x, S, "") != "")
+
+
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_number, text``."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n")
-    some = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, S, "") != "")
+    some = not_blank(F.col(text_col))
     cut = F.flatten(F.transform(some, lambda x: F.when(F.length(x) > MAX_LINE, segments(x)).otherwise(F.array(x))))
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("line_number", "text")).withColumn("line_number", F.col("line_number") + 1)
 
