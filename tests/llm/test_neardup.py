@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tracewell.llm import neardup
 
 
@@ -46,9 +48,12 @@ def test_against_brute_force(spark):
         assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, size, percent)
 
 
-def test_chain_and_blocks(spark, monkeypatch):
-    """A chain of small edits is one component though its ends are far apart; keys with many documents go through several blocks."""
+@pytest.mark.parametrize("loose", [24, 3, -1])
+def test_chain_and_blocks(spark, monkeypatch, loose):
+    """A chain of small edits is one component though its ends are far apart; keys and clusters with many documents go through several blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "LOOSE_DISTANCE", loose)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", loose)
     rng = random.Random(9)
     doc, rows = [f"v{rng.randrange(500)}" for _ in range(120)], []
     order = list(range(40))

@@ -9,10 +9,13 @@ all pairs within the distance share a key. At a similarity of 0.85 a symbol diff
 and 16 or more of 32 differ with a probability of about 3e-6. Every link is confirmed on the full sets.
 
 Equal sets are one class; only class representatives (smallest id) are joined, so copies are never expanded.
-A key's documents are first compared with one of them only (its smallest id), in counts that grow with the
-documents, not with the square of a group. What that joins is one component already, and pairs inside a
-component need no further comparison; the documents of a key that still lie in different components are
-then compared with each other, on signatures first, in blocks of rows dealt out by (key, block, block).
+What shares a key is first compared, on signatures, with one document of the key only (its smallest id), in
+counts that grow with the documents, and not with the square of a group. The loose components of these
+comparisons are clusters. Candidates within a cluster are confirmed where the cluster's sets are: all members
+against the cluster's first document; then those that this leaves apart, block by block of ``BLOCK`` members,
+against the others. A block gives out links of a spanning forest, never all pairs, and two blocks that are in
+one component already are not compared. Candidates across clusters, the few that are left, are found key by
+key and confirmed by joins.
 
 Defined cases: null or empty texts have the empty set and are linked with nothing; rows with a null id are
 never linked and keep a null component; repeated rows are one class; empty tables give no rows; other
@@ -28,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, saved, table, texts_of
+from .common import LOWER, UPPER, discard, partitions, saved, table, texts_of
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 32, 4, 15
-#: Rows of a key that one task compares with as many others.
-BLOCK = 512
+#: Distance up to which a document joins the cluster of its key's first document.
+LOOSE_DISTANCE = 24
+#: Members of a cluster or key that one task compares with as many others.
+BLOCK = 256
+#: Ids are broadcast up to this many; beyond, the same join shuffles.
+BROADCAST_IDS = 2_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,8 +89,8 @@ def sets_of(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> Iterator[tu
 
 def _signature(s: np.ndarray, seeds: np.ndarray) -> bytes:
     low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(s), 4096):
-        low = np.minimum(low, mix(s[k : k + 4096, None] ^ seeds).min(axis=0))
+    for k in range(0, len(s), 2048):  # shingles are well mixed, so odd multipliers are enough to order them anew
+        low = np.minimum(low, (s[k : k + 2048, None] * (seeds | np.uint64(1)) + (seeds >> np.uint64(7))).min(axis=0))
     return mix(low).astype("<u2").tobytes()
 
 
@@ -143,49 +150,140 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(F.col("both") * (100 + percent) >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, component``: the smallest id reachable. Each round hooks neighbouring labels and then jumps to the label's label."""
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``rep, component`` of all that has a link: the smallest id reachable. Each round hooks neighbouring labels and then jumps to the label's label."""
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     ends = both.select(F.col("a").alias("rep")).distinct()
     label = saved(ends.select("rep", F.col("rep").alias("component")), "labels")
     while True:
         near = both.join(label.select(F.col("rep").alias("b"), "component"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("component").alias("near"))
         hooked = label.join(near, "rep").select("rep", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        hooked = saved(hooked, "hooked")
+        hooked, old = saved(hooked, "hooked"), label
         jump = hooked.select(F.col("rep").alias("component"), F.col("component").alias("further"))
         new = saved(hooked.join(jump, "component").select("rep", "old", F.least("component", "further").alias("component")), "labels")
-        label = new.select("rep", "component")
-        if new.where("old != component").isEmpty():
+        discard(hooked, old)
+        label, done = new, new.where("old != component").isEmpty()
+        if done:
             break
-    return nodes.select("rep").join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-
-
-def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of a key's members that lie in different components and whose signatures are near, by blocks of members."""
-    spark = members.sparkSession
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    discard(both)
+    return label
+
+
+def find(label: np.ndarray, i: int) -> int:
+    while label[i] != i:
+        label[i] = i = label[label[i]]
+    return i
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of incidence matrices a stretch of shingles at a time."""
+    every = np.concatenate(sets)
+    _, column = np.unique(every, return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    used = np.bincount(column) > 1
+    column, row = (np.cumsum(used) - 1)[column][used[column]], row[used[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - k] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def forest(rep: np.ndarray, joined: np.ndarray, first: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int, one_block: bool) -> list[tuple[int, int]]:
+    """Links that join what is apart, among the members of one block or between two; members with equal ``joined`` are together already."""
+    left, right = (np.arange(len(rep)),) * 2 if one_block else (np.flatnonzero(first), np.flatnonzero(~first))
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(s) for s in sets])
+    near = np.concatenate([(signatures[left[k : k + 32], None] != signatures[right]).sum(axis=2) <= MAX_DISTANCE for k in range(0, len(left), 32)])
+    near &= joined[left][:, None] != joined[right]
+    if one_block:
+        near &= left[:, None] < right
+    near &= 100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right])
+    if not near.any():
+        return []
+    i, j = np.nonzero(near)
+    if len(i) < 20:
+        both = np.array([len(np.intersect1d(sets[left[x]], sets[right[y]], assume_unique=True)) for x, y in zip(i, j, strict=True)])
+    else:
+        both = shared_counts(sets, left, right)[i, j]
+    i, j = left[i], right[j]
+    ok = both * (100 + percent) >= percent * (size[i] + size[j])
+    _, label = np.unique(joined, return_inverse=True)
+    up, out = np.arange(label.max() + 1), []
+    for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+        a, b = find(up, label[x]), find(up, label[y])
+        if a != b:
+            up[a] = b
+            out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+    return out
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def links_to_hubs(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a < b`` of each cluster's members with its first: from ``rep, cluster, signature, shingles``."""
+    hubs = members.where("rep = cluster").select(F.col("cluster").alias("hub"), F.col("shingles").alias("hub_set"))
+    both = F.size(F.array_intersect("shingles", "hub_set"))
+    star = members.join(hubs, F.col("cluster") == F.col("hub")).where((F.col("rep") != F.col("hub")) & (both * (100 + percent) >= percent * (F.size("shingles") + F.size("hub_set"))))
+    return star.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+
+
+def links_in_clusters(members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Links ``a < b`` that, with those in ``star``, make the components of each cluster."""
+    core = star.select(F.col("b").alias("rep"), F.lit(True).alias("core"))
+    known = members.join(core, "rep", "left").withColumn("core", F.coalesce("core", F.col("rep") == F.col("cluster")))
+    # blocks of the rest are numbered before blocks of the core; those of the core don't meet each other
+    blocks = known.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("rest"), F.ceil(F.count_if("core") / BLOCK).cast("int").alias("cores")).where("rest > 0")
+    dealt = known.join(blocks, "cluster").withColumn("mine", F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores")) - 1)).alias("other")
+    dealt = dealt.select("cluster", "rep", "core", "signature", "shingles", "mine", other).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rep, core, mine = (rows.column(c).to_numpy() for c in ("rep", "core", "mine"))
+        sets = [x.values.to_numpy() for x in rows.column("shingles")]
+        signatures_ = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(rows), SYMBOLS)
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        joined = np.where(core.astype(bool), rows.column("cluster").to_numpy(), rep)
+        return _links(forest(rep, joined, mine == x, sets, signatures_, percent, x == y))
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def pairs_across(members: DataFrame, percent: int) -> DataFrame:
+    """Candidates ``a < b`` that share a key and lie in different clusters; keys of a slot are taken together, large ones by blocks."""
+    slots = 8 * partitions(members.sparkSession)
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "rep", "component", "n_shingles", "signature", "mine", other)
-    dealt = dealt.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-
-    def compare(rows):
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), SYMBOLS)
-        rep, comp, n = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        a, b = [], []
-        first = rows["mine"].to_numpy() == rows["x"].to_numpy()
-        left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if rows["x"].iat[0] != rows["y"].iat[0] else (np.arange(len(rows)),) * 2
-        for i in left:
-            ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            ok = ok[(sig[ok] != sig[i]).sum(axis=1) <= MAX_DISTANCE]
-            a.append(np.minimum(rep[ok], rep[i]))
-            b.append(np.maximum(rep[ok], rep[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
-    del spark
-    return dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    dealt = dealt.select("key", "rep", "cluster", "n_shingles", "signature", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "rep", "cluster", "n_shingles", "signature", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(), kind="stable")))
+        key, rep, cluster, n, mine = (rows.column(c).to_numpy() for c in ("key", "rep", "cluster", "n_shingles", "mine"))
+        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(rows), SYMBOLS)
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        heads, found = np.flatnonzero(np.append(True, key[1:] != key[:-1])), []
+        for s, e in zip(heads, np.append(heads[1:], len(key)), strict=True):
+            own = np.arange(s, e)
+            left, right = (own, own) if x == y else (own[mine[s:e] == x], own[mine[s:e] != x])
+            for k in range(0, len(left), 64):
+                i = left[k : k + 64]
+                ok = (cluster[i][:, None] != cluster[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
+                p, q = np.nonzero(ok)
+                near = (sig[i[p]] != sig[right[q]]).sum(axis=1) <= MAX_DISTANCE
+                p, q = rep[i[p[near]]], rep[right[q[near]]]
+                found.append(np.column_stack([np.minimum(p, q), np.maximum(p, q)]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("slot", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,39 +296,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     keys = chunk_keys(reps)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     # What each document has in common with one document of each of its keys.
-    to_hub = keys.select("rep", "n_shingles", "key").join(buckets.select("key", "hub"), "key").where("rep != hub").select("rep", "hub").distinct()
-    about = reps.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("signature").alias("hub_signature"))
-    to_hub = to_hub.join(reps.drop("set_key"), "rep").join(about, "hub")
-    alike = F.least("n_shingles", "hub_n") * 100 >= F.greatest("n_shingles", "hub_n") * percent
-    pairs = saved(to_hub.where(alike & (_distance("signature", "hub_signature") <= MAX_DISTANCE)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs")
-    links = _confirm(docs, pairs, size, percent, id_col, text_col)
-    first = saved(components(spark, reps, links), "components")
-    # Documents of one key that are still apart.
-    labelled = keys.join(buckets.select("key"), "key").join(first, "rep")
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = labelled.join(apart, "key")
-    rest = saved(compare_blocks(members, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(_confirm(docs, rest, size, percent, id_col, text_col))
-        first = saved(components(spark, reps, links), "components")
-    classes = reps.select("set_key", F.col("rep").alias("class_id")).join(first.withColumnRenamed("rep", "class_id"), "class_id")
+    to_hub = keys.select("rep", "key").join(buckets.select("key", "hub"), "key").where("rep != hub").select("rep", "hub").distinct()
+    about = reps.select(F.col("rep").alias("hub"), F.col("signature").alias("hub_signature"))
+    to_hub = to_hub.join(reps.select("rep", "signature"), "rep").join(about, "hub").where(_distance("signature", "hub_signature") <= LOOSE_DISTANCE)
+    found = components(spark, to_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    clusters = found.select("rep", F.col("component").alias("cluster"))
+    sets = saved(_sets(docs, clusters.select("rep"), size, id_col, text_col), "sets")
+    members = clusters.join(reps.select("rep", "signature"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    star = saved(links_to_hubs(members, percent), "links")
+    links = saved(star.union(links_in_clusters(members, star, percent)), "links")
+    discard(sets, star)
+    # What shares a key across clusters.
+    labelled = keys.join(buckets.select("key"), "key").join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    apart = labelled.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
+    rest = saved(pairs_across(labelled.join(apart, "key"), percent), "pairs")
+    wanted = rest.select(F.col("a").alias("rep")).union(rest.select("b")).distinct()
+    sets = saved(_sets(docs, wanted, size, id_col, text_col), "sets")
+    across = saved(confirmed(rest, sets, percent), "links")
+    joined = components(spark, links.union(across))
+    discard(found, sets, rest, links, across)
+    found = reps.select("rep").join(joined.select("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    classes = reps.select("set_key", F.col("rep").alias("class_id")).join(found.withColumnRenamed("rep", "class_id"), "class_id")
     out = sigs.where("n_shingles > 0 and doc_id is not null").join(classes, "set_key").select("doc_id", "n_shingles", "class_id", F.col("component").alias("component_id"))
     alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The links among candidate pairs, on sets built only for the documents that occur in one."""
-    wanted = pairs.select(F.col("a").alias("_wanted")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The full sets of the documents with the ids in ``wanted``."""
+    ids = wanted.select(F.col("rep").alias("_wanted"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    some = some.join(wanted, F.col("doc_id") == F.col("_wanted"), "left_semi")
-    sets = set_table(some, size).groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    return saved(confirmed(pairs, saved(sets, "sets"), percent), "links")
+    return set_table(some.join(ids, F.col("doc_id") == F.col("_wanted"), "left_semi"), size)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group; columns as they were."""
-    drop = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    drop = saved(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
     return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
 
 
