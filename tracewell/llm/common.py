@@ -71,3 +71,15 @@ def texts_of(batch, column: str = "text", limit: int = 2 << 20):
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, limit):
         yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
+
+
+#: Keys are broadcast up to this many rows; beyond, the same join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` and text hash are in ``gone`` (``gone_id, gone_hash``)."""
+    gone = saved(gone.distinct(), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, table, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words, in lower case and in any case.
@@ -80,8 +80,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "do
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` without the contaminated ones; columns as they were."""
-    bad = find_hits(docs, benchmark, n).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_hash"]), "left_anti")
+    return without(docs, find_hits(docs, benchmark, n).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

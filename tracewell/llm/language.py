@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, texts_of
+from .common import crc_mod, table, texts_of, without
 
 DIMENSIONS, COLUMNS = 1024, 8192
 
@@ -133,8 +133,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """
     profiles = prototypes(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     found = identify(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"), profiles)
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
+    return without(docs, bad.select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.h").alias("gone_hash")))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,8 +333,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group; columns as they were."""
-    drop = saved(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
+    copies = saved(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    return docs.join(copies, docs["doc_id"] == copies["_gone"], "left_anti")
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
