@@ -44,7 +44,7 @@ def make(seed):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
-    for seed, width in ((1, 50), (2, 50), (3, 20)):
+    for seed, width in ((1, 50), (2, 50), (3, 30)):
         rows = make(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS bucket", "'x' AS bits")
         got = suffix_dedup.repeated_bytes(docs, width).collect()

@@ -91,12 +91,13 @@ class ChunkTokenizer:
             self.chunks.put([x], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and how many each text has."""
+        """All ids in one array, and how many each text has; ``at`` and ``n_chunks`` then say which known chunks they were."""
         if len(self.chunks.index) > CACHE:
             self.clear()
         chunks = [x.split() for x in texts]
-        ids, lens = self.chunks.ids(self.chunks.find([c for x in chunks for c in x], self.learn))
-        bounds = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum([len(x) for x in chunks], dtype=np.int64))]
+        self.at, self.n_chunks = self.chunks.find([c for x in chunks for c in x], self.learn), np.array([len(x) for x in chunks], np.int64)
+        ids, lens = self.chunks.ids(self.at)
+        bounds = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(self.n_chunks))]
         return ids, np.diff(bounds)
 
 

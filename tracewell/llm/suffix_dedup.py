@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by suffix sorting, in the deep-shallow manner.
 
-A window is a string of ``width`` bytes. Each window is named by the least hash of the 16-byte grams inside
+A window is a string of ``width`` bytes. Each window is named by the least hash of the 24-byte grams inside
 it, so equal windows have equal names wherever they stand, and neighbouring windows mostly share one. A run
 is a stretch of windows of one document with the same name. The steps, by blocks of documents:
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .neardup import mix
 
-GRAM, SHALLOW, BLOCK_BYTES, BUCKET_BYTES = 16, 16, 3 << 20, 16 << 20
+GRAM, SHALLOW, BLOCK_BYTES, BUCKET_BYTES = 24, 16, 3 << 20, 3 << 20
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ class Block:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.data = np.frombuffer(b"".join(self.texts) + bytes(16), np.uint8)
+        self.data = np.frombuffer(b"".join(self.texts) + bytes(32), np.uint8)
         self.find_runs(width)
         self.name, self.of_run = np.unique(self.key, return_inverse=True)
         at = (mix(self.name) % np.uint64(buckets)).astype(np.int64)
@@ -62,13 +62,16 @@ class Block:
         self.name, self.bucket, self.of_run = self.name[by_bucket], at[by_bucket], back[self.of_run]
 
     def find_runs(self, width: int) -> None:
-        n = len(self.data) - 16 - width + 1
+        n = len(self.data) - 32 - width + 1
         self.key, self.at, self.size, self.doc = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         if n <= 0:
             return
         words = words_at(self.data)
         grams = n + width - GRAM
-        low = mix(words[:grams].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[8 : grams + 8].astype(np.uint64)))
+        low = words[16 : grams + 16].astype(np.uint64)
+        for at in (8, 0):
+            low = mix(low) + words[at : grams + at].astype(np.uint64)
+        low = mix(low)
         span, need = 1, width - GRAM + 1
         while span < need:  # minima over ever longer stretches
             step = min(span, need - span)
@@ -89,7 +92,9 @@ class Block:
 
     def of_buckets(self):
         """(bucket, slice of names) for those that have any."""
-        bounds = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(self.bucket) else []
+        if not len(self.bucket):
+            return
+        bounds = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1]))
         for s, e in zip(bounds, [*bounds[1:], len(self.bucket)], strict=True):
             yield int(self.bucket[s]), slice(int(s), int(e))
 
@@ -233,20 +238,35 @@ def own_windows(rows: pa.Table, width: int) -> pa.Table:
     """For each window of the runs, one bit: its document has the smallest id of all with that window."""
     sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("sizes").to_pylist()]
     docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("docs").to_pylist()])
-    data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()) + bytes(8), np.uint8)
+    raw = b"".join(rows.column("bytes").to_pylist())
     size = np.concatenate(sizes)
-    begin = np.append(0, np.cumsum(size + width - 1)[:-1])
+    begin = np.cumsum(size + width - 1) - (size + width - 1)
+    # equal runs are one: only those of the smallest document can own anything
+    known: dict[bytes, int] = {}
+    of = np.fromiter((known.setdefault(raw[a : a + n], len(known)) for a, n in zip(begin.tolist(), (size + width - 1).tolist(), strict=True)), np.int64, len(size))
+    _, first = np.unique(of, return_index=True)
+    doc = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(doc, of, docs)
+    owner = _owned(np.frombuffer(raw + bytes(64), np.uint8), begin[first], size[first], doc, width)
+    starts = np.cumsum(size[first]) - size[first]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    mine = owner[np.repeat(starts[of], size) + place] & np.repeat(docs == doc[of], size)
+    stops = np.cumsum([int(s.sum()) for s in sizes])
+    bits = [np.packbits(mine[e - int(s.sum()) : e]).tobytes() for s, e in zip(sizes, stops, strict=True)]
+    return _table(BITS, rows.column("block"), rows.column("bucket"), [4] * len(bits), bits)
+
+
+def _owned(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+    """For each window of different runs, whether its run's document is the smallest of all that have it."""
     ends = np.cumsum(size)
     offsets = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
     doc = np.repeat(docs, size)
-    order, group = deep_shallow(np.append(data, np.zeros(64, np.uint8)), offsets, width)
+    order, group = deep_shallow(data, offsets, width)
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     least = np.minimum.reduceat(doc[order], heads)
     owner = np.zeros(len(doc), bool)
     owner[order] = doc[order] == least[np.cumsum(np.append(0, group[1:] != group[:-1]))]
-    stops = np.cumsum([int(s.sum()) for s in sizes])
-    bits = [np.packbits(owner[e - int(s.sum()) : e]).tobytes() for s, e in zip(sizes, stops, strict=True)]
-    return _table(BITS, rows.column("block"), rows.column("bucket"), [4] * len(bits), bits)
+    return owner
 
 
 def remove_spans(rows: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
