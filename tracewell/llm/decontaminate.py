@@ -48,7 +48,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("window", " "))), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(size["lengths"])  # n values at most
     windows = windows.select(F.xxhash64("window").alias("h"), "window", F.col("length").alias("win_length"), "items")
-    if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+    small = size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+    if small:
         windows = F.broadcast(windows)
     text = F.col(text_col)
     spots = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("w"))
@@ -59,7 +60,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
         probes = [F.struct(F.lit(k).alias("length"), F.xxhash64(_window(k)).alias("h")) for k in lengths]
         probes = F.array(*probes) if probes else F.expr("cast(array() as array<struct<length:int,h:bigint>>)")
         spots = spots.select("*", F.inline(probes)).where(F.col("pos") + F.col("length") <= F.size("w"))
-    same = (F.col("length") == F.col("win_length")) & (_window(F.col("length")) == F.col("window"))
+    seen = _window(F.col("length"))
+    if not small:  # a position takes its own words along, not those of the whole document
+        spots, seen = spots.select("doc_id", "text_hash", "pos", "length", "h", seen.alias("seen")), F.col("seen")
+    same = (F.col("length") == F.col("win_length")) & (seen == F.col("window"))
     return spots.join(windows, "h").where(same).select("doc_id", "text_hash", "pos", "length", "items")
 
 
