@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_KEPT: dict = {}
+
+
+def kept(name, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps across its tasks, for one operator at a time: the next one's caches replace it, and what it held goes back to the system."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def slices(sizes, limit: int):
     """Bounds of runs of rows whose sizes add up to about ``limit``; a larger row is a run of its own."""
     start = total = 0

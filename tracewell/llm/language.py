@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, texts_of, without
+from .common import crc_mod, kept, table, texts_of, without
 
-DIMENSIONS, COLUMNS = 1024, 8192
+#: Bytes of text that are bundled at once, trigrams for which vectors are made at once, and letters whose vectors are kept.
+SLICE, COLUMNS, LETTERS = 512 << 10, 4096, 20_000
+DIMENSIONS = 1024
 
 
 @lru_cache(None)
@@ -32,9 +34,13 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
 
 
-@lru_cache(100_000)
 def letter_vector(letter: int, dimensions: int) -> np.ndarray:
-    return np.random.default_rng([letter, dimensions]).choice(np.array([-1, 1], np.float32), dimensions)
+    known = kept("letters", dict)
+    if (letter, dimensions) not in known:
+        if len(known) >= LETTERS:
+            known.clear()
+        known[letter, dimensions] = np.random.default_rng([letter, dimensions]).choice(np.array([-1, 1], np.float32), dimensions)
+    return known[letter, dimensions]
 
 
 def letter_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +92,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, lang_col: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for rows, texts in texts_of(batch):
+            for rows, texts in texts_of(batch, limit=SLICE):
                 langs, group = np.unique(np.array(rows.column(0).to_pylist(), object), return_inverse=True)
                 for lang, v in zip(langs, bundle(texts, group, len(langs), dimensions)[0], strict=True):
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
@@ -110,7 +116,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in texts_of(batch):
+            for rows, texts in texts_of(batch, limit=SLICE):
                 v, letters = bundle(texts, np.arange(len(texts)), len(texts), dimensions)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 langs, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, partitions, saved, table, texts_of
+from .common import LOWER, UPPER, discard, kept, partitions, saved, table, texts_of
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 32, 4, 15
 #: Distance up to which a document joins the cluster of its key's first document.
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        hashes, seeds = WordHashes(), mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64))
+        hashes, seeds = kept("hashes", WordHashes), mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64))
         for batch in batches:
             for rows, sets in sets_of(batch, hashes, size):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([_signature(s, seeds) if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
@@ -116,7 +116,7 @@ def set_table(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     """``doc_id, shingles``: the full sets as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = kept("hashes", WordHashes)
         for batch in batches:
             for rows, sets in sets_of(batch, hashes, size):
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)

@@ -19,7 +19,6 @@ import unicodedata
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table, texts_of
+from .common import kept, partitions, saved, table, texts_of
 
 VOCABULARY, CACHE = "word_bpe_49k.json", 800_000
 #: Marks that stand alone beside a word: not the apostrophe, which starts endings, nor what special tokens are made of.
@@ -137,10 +136,9 @@ class Known:
         return self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)], lens
 
 
-@lru_cache(1)
 def tokens_of(path: str) -> ChunkTokenizer:
     """One tokenizer for each Python worker, so that its caches serve all of the worker's tasks."""
-    return ChunkTokenizer(path)
+    return kept(("tokens", path), lambda: ChunkTokenizer(path))
 
 
 def tokenizer_path(name: str) -> str:
