@@ -129,3 +129,10 @@ def test_toxicity(spark):
     held = [(r.expected_severity, truth[r.doc_id]) for r in got if r.doc_id is not None and r.doc_id < 300 and r.doc_id % 5 == 0]
     assert auc(held) > 0.95 and sum((s >= 0.9) == y for s, y in held) > 0.85 * len(held)
     assert {r.grade for r in toxicity.score(docs, toxicity.fit(docs, toxicity.labels_of(labels, "toxic").limit(0))).collect()} == {0}
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([("a", 90), ("b", 40), ("c", 40), ("d", 2), ("e", 1)], "word string, c long")
+    chosen = lambda most: sorted(r["word"] for r in language_model.frequent(counts, most).collect())
+    assert chosen(5) == ["a", "b", "c", "d", "e"] and chosen(3) == ["a", "b", "c"]
+    assert chosen(2) == ["a"] and chosen(0) == []  # equal counts come together or not at all
