@@ -68,6 +68,20 @@ def test_training_and_scoring_see_the_same_windows():
     assert -loss * len(text) / np.log(10) + share[text].sum() == pytest.approx(language_model.Scorer(flat, counts)([text])[0], rel=1e-4)
 
 
+def test_every_training_window_is_learnt_from(spark, monkeypatch):
+    assert language_model.TRAIN_EVERY == 1
+    text = np.append(np.arange(70) % 60, language_model.END).astype("<u2")
+    pieces = list(language_model.pieces_of(text, 32))
+    assert max(map(len, pieces)) == 2 and np.array_equal(np.concatenate(pieces), language_model.windows_of([text], [0]))
+    shards = language_model.shards_of(list("abcdefg"), 3 * language_model.SHARD)
+    assert len(shards) == 3 and sorted(sum(shards, [])) == list("abcdefg")
+    # one short text in many decides the weights too: whatever it is, its windows are never left out
+    monkeypatch.setattr(language_model, "SHARD", 40)
+    monkeypatch.setattr(language_model, "PIECE", 16)
+    learn = lambda last: language_model.train_model(language_model.saved(language_model.prepare(language_model._source(spark.createDataFrame([(k, "the cat sat") for k in range(6)] + [(9, last)], "doc_id long, text string").repartition(3, "doc_id"), "doc_id", "text", F.lit(True)), language_model.tokenizer_path(language_model.VOCABULARY)), "lm"), np.ones(language_model.IDS))
+    assert all(not np.array_equal(learn(x), learn("the cat sat")) for x in ("sat cat the", "cat the sat"))
+
+
 def test_gradient_and_training():
     counts, (cls, _, mass) = small_model()
     flat = language_model.first_weights(mass).astype(np.float64)
