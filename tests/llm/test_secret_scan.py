@@ -39,6 +39,20 @@ def test_novel_strings():
     assert secret_scan.novel_spans(f"nothing of note {key} here", [], novelty) == []
 
 
+def test_all_parts_of_a_secret():
+    rng = random.Random(2)
+    novelty = secret_scan.Novelty()
+    some = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n))
+    found = lambda text: [text[s:e] for s, _, e in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty)]
+    for parts in (["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", some(120), some(43)], ["eyJ" + some(70), "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", some(86)]):
+        assert found(f"Authorization: Bearer {'.'.join(parts)} and more") == parts
+    lines = [some(64).replace("-", "+").replace("_", "/") for _ in range(12)] + ["Qw=="]
+    for kind in ("RSA ", "", "ENCRYPTED "):
+        assert found(f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END {kind}PRIVATE KEY-----\nplain words") == lines
+    assert found("secret: |\n  " + "\n  ".join(lines[:3]) + "\nsession_timeout_value_30\n") == lines[:3]
+    assert found("-----BEGIN CERTIFICATE-----\n" + "\n".join(lines) + "\n-----END CERTIFICATE-----") == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "say password=abcdefgh now", 25), (2, None, 0), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [(1, "say [SECRET] now", 16), (2, None, 0), (3, "plain", 5)]

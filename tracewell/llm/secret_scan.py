@@ -6,6 +6,10 @@ text around it with the candidate, less those without it, by a compressor primed
 identifiers. Names and repeated strings cost little there; a random key costs nearly its length. A candidate
 that costs ``MIN_NOVELTY`` bytes per character or more is reported as kind ``novel``.
 
+A candidate that only a dot or a line break parts from one with sensitive context has that context too. Runs joined
+by dots are one secret: with one of them all are reported. So are the lines between the heading and the end of a
+private key.
+
 Offsets count code points, ends are exclusive. Defined cases: null or empty texts have no spans; repeated
 rows each get their row; null ids are kept; empty tables give no rows; other columns are never read.
 """
@@ -27,7 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as longer matches of [0-9a-f]+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "authorization", "signature")
+SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "private key", "credential", "bearer", "authorization", "signature")
+#: What may stand between two parts of one secret: dots, or a line break, also an escaped one (its n is read as the next part's).
+DOTS, BREAK = re.compile(r"\.{1,2}"), re.compile(r"[\x20\t]*\r?\n[\x20\t>|]*|\\(?:r\\)?")
+KEY, KEY_END, LINE, PART = re.compile(r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----"), "-----END", re.compile(r"[^\r\n]+"), re.compile(r"[A-Za-z0-9+/_=-]+")
 NEAR, AROUND, MIN_NOVELTY = 48, 512, 0.72
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -71,13 +78,32 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     low, out = text.lower(), []
     if not any(w in low for w in SENSITIVE):
         return out
+    free = lambda s, e: not any(a < e and s < b for a, _, b in base)
+    is_novel = lambda s, e: free(s, e) and novelty(text, s, e) >= MIN_NOVELTY
+    groups, end = key_parts(text), None
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+        between = text[end:s] if end is not None and s - end <= NEAR else ""
+        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        if DOTS.fullmatch(between):
+            groups[-1].append((s, e))
+        elif mixed and (BREAK.fullmatch(between) or any(w in text[max(0, s - NEAR) : s].lower() for w in SENSITIVE)):
+            groups.append([(s, e)])
+        else:
+            end = None
             continue
-        near = text[max(0, s - NEAR) : s].lower()
-        if any(w in near for w in SENSITIVE) and not any(a < e and s < b for a, _, b in base) and novelty(text, s, e) >= MIN_NOVELTY:
-            out.append((s, 3, e))
+        end = e
+    for group in groups:
+        if any(e - s >= 16 and is_novel(s, e) for s, e in group):
+            out += [(s, 3, e) for s, e in group if free(s, e)]
+    return sorted(set(out))
+
+
+def key_parts(text: str) -> list[list[tuple[int, int]]]:
+    """The runs of key characters of each private key between its heading and its end, without its header fields."""
+    out, end = [], 0
+    while (m := KEY.search(text, end)) and (end := text.find(KEY_END, m.end())) >= 0:
+        out.append([x.span() for line in LINE.finditer(text, m.end(), end) if ":" not in line[0] for x in PART.finditer(text, *line.span())])
     return out
 
 
