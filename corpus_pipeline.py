@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the result of each is
 written as Parquet to the shared folder and read again as the next one's documents.
 
-1. ``language``: documents in no language (without letters) go; short clean texts can be far from every profile and stay.
+1. ``language``: documents without letters go, and those far from the profiles of all languages; short clean texts can be
+   far from them too and stay. Where no language can be learnt, all with letters stay.
 2. ``near_dedup``: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the
    document with the smallest id stays.
 3. ``decontaminate``: documents that hold a ten-word window of a benchmark item go.

@@ -31,3 +31,14 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], empty.schema)
     assert [r.lang_pred for r in language.identify(docs, {}).collect()] == ["und"]
     assert language.identify(empty, {}).count() == 0
+
+
+def test_texts_in_no_language_go_and_unlabelled_tables_stay(spark):
+    rng = random.Random(3)
+    gibberish = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (100, 200, 400)]
+    clean = make()
+    rows = clean + [(9100 + k, x, None) for k, x in enumerate([*gibberish, "漢字" * 300])] + [(9200, "ok", None), (9201, "123", None)]
+    schema = "doc_id long, text string, lang string"
+    kept = lambda rows: {r.doc_id for r in language.keep_identified(spark.createDataFrame(rows, schema)).collect()}
+    assert kept(rows) == {i for i, _, _ in clean} | {9200}
+    assert kept([(i, x, None) for i, x, _ in rows]) == {i for i, _, _ in rows} - {9201}

@@ -27,6 +27,8 @@ from .common import crc_mod, kept, table, texts_of, without
 #: Bytes of text that are bundled at once, trigrams for which vectors are made at once, and letters whose vectors are kept.
 SLICE, COLUMNS, LETTERS = 512 << 10, 4096, 20_000
 DIMENSIONS = 1024
+#: Score that a long text needs to stay, and the number of letters up to which none is needed.
+MIN_SCORE, FEW = 0.24, 50
 
 
 @lru_cache(None)
@@ -132,14 +134,16 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, lang_pred string, score double, n_letters long")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without those that have no letters or score below ``min_score``; columns as they were.
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without those that have no letters or are in no learnt language; columns as they were.
 
-    Short clean texts can score low, so by default only texts in no language at all go.
+    Short clean texts can score low, so a text of n letters needs ``min_score * (1 - FEW / n)``. Without any profile
+    all texts with letters stay.
     """
     profiles = prototypes(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     found = identify(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"), profiles)
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
+    needed = min_score * (1 - FEW / F.greatest("n_letters", F.lit(1)))
+    bad = found.where((F.col("n_letters") == 0) | (F.lit(bool(profiles)) & (F.col("score") < needed)))
     return without(docs, bad.select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.h").alias("gone_hash")))
 
 
