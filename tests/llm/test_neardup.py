@@ -52,6 +52,8 @@ def test_against_brute_force(spark):
 def test_chain_and_blocks(spark, monkeypatch, loose):
     """A chain of small edits is one component though its ends are far apart; keys and clusters with many documents go through several blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "KEY_BLOCK", 8)
+    monkeypatch.setattr(neardup, "STAR", 3)
     monkeypatch.setattr(neardup, "LOOSE_DISTANCE", loose)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", loose)
     rng = random.Random(9)
@@ -73,3 +75,35 @@ def test_repeats_nulls_and_empty(spark):
     assert got == sorted([("5", "5", True), ("5", "5", True), ("9", "5", False), ("None", "None", True), ("3", "3", True)])
     assert neardup.near_duplicates(docs.limit(0), 3, 85).count() == 0
     assert neardup.keep_one(docs).columns == ["doc_id", "text"]
+    left = neardup.keep_one(docs.selectExpr("*", "1 AS rep", "2 AS _hash"))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("3", None), ("5", "a b c d"), ("None", "a b c d")]
+
+
+def test_an_id_on_two_texts(spark):
+    """Only the row whose text is a copy goes."""
+    copy = "one two three four five six"
+    docs = spark.createDataFrame([(2, copy), (5, "another text that stands quite alone here"), (5, copy)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.keep_one(docs).collect()) == [(2, copy), (5, "another text that stands quite alone here")]
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("x1", "a b c")], "doc_id string, text string"))
+
+
+def test_a_large_cluster_of_unlinked_copies(spark):
+    """Rows that meet in blocks hold no sets, and are as many as members times blocks."""
+    n = 5000
+    members = spark.range(n).selectExpr("id AS rep", "0L AS cluster", "300L AS n_shingles", "X'00' AS signature", "array(1L) AS shingles")
+    dealt = neardup.dealt_to_blocks(members, spark.createDataFrame([], "a long, b long"))
+    assert "shingles" not in dealt.columns
+    assert dealt.count() == (n - 1) * (-(-(n - 1) // neardup.BLOCK) + 1) + -(-(n - 1) // neardup.BLOCK)
+
+
+def test_very_long_text(spark):
+    """A text of 3 million characters and its near copy."""
+    rng = random.Random(4)
+    words = [f"{rng.randrange(10**6)}" for _ in range(450_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "end"])), (3, " ".join(words[: len(words) // 2]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]

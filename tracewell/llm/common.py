@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from ``spark.checkpoint.dir``; one of our own where that is unset."""
+    """The folder that all machines share, from ``spark.checkpoint.dir``; one of our own where that is unset and there is one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found or "/tmp/checkpoints"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks, until ``unpersist``; lineage stays, so what a lost executor held is computed anew."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def integral(docs: DataFrame, column: str) -> Column:
+    """The id column as a long; other types would lose ids silently."""
+    if not isinstance(docs.schema[column].dataType, T.IntegralType | T.NullType):
+        raise TypeError(f"{column} must be of an integer type, not {docs.schema[column].dataType.simpleString()}")
+    return F.col(column).cast("long")
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -11,15 +11,19 @@ and 16 or more of 32 differ with a probability of about 3e-6. Every link is conf
 Equal sets are one class; only class representatives (smallest id) are joined, so copies are never expanded.
 What shares a key is first compared, on signatures, with one document of the key only (its smallest id), in
 counts that grow with the documents, and not with the square of a group. The loose components of these
-comparisons are clusters. Candidates within a cluster are confirmed where the cluster's sets are: all members
-against the cluster's first document; then those that this leaves apart, block by block of ``BLOCK`` members,
-against the others. A block gives out links of a spanning forest, never all pairs, and two blocks that are in
+comparisons are clusters. Within a cluster all members are confirmed against the cluster's first document, in a
+join that deals a large cluster to several tasks. Those that this leaves apart meet the others block by block:
+first by signatures alone, which says who has a candidate in which pair of blocks; then only these bring
+their sets there. A block gives out links of a spanning forest, never all pairs, and two blocks of what is in
 one component already are not compared. Candidates across clusters, the few that are left, are found key by
 key and confirmed by joins.
 
+Tables that several steps read are kept on the executors' disks, and what a lost executor held is computed
+anew; rounds of the components and the result are written to the shared folder.
+
 Defined cases: null or empty texts have the empty set and are linked with nothing; rows with a null id are
-never linked and keep a null component; repeated rows are one class; empty tables give no rows; other
-columns are never read.
+never linked and keep a null component; repeated rows are one class, of which ``keep_one`` keeps one row; ids
+must be integers; empty tables give no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, kept, partitions, saved, table, texts_of
+from .common import LOWER, UPPER, discard, held, integral, kept, partitions, saved, table, texts_of, without
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 32, 4, 15
 #: Distance up to which a document joins the cluster of its key's first document.
 LOOSE_DISTANCE = 24
-#: Members of a cluster or key that one task compares with as many others.
-BLOCK = 256
+#: Members of a cluster, their shingles, and members of a key that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES, KEY_BLOCK = 1024, 1 << 20, 512
+#: Members of a cluster that one hub's set meets in one place, and rows of keys that are compared in one call.
+STAR, SLOT = 10_000, 20_000
 #: Ids are broadcast up to this many; beyond, the same join shuffles.
 BROADCAST_IDS = 2_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,11 +101,12 @@ def _signature(s: np.ndarray, seeds: np.ndarray) -> bytes:
 
 
 def _binary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(integral(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature``; equal sets have equal ``set_key``."""
+    """``doc_id, text_hash, n_shingles, set_key, signature``; equal sets have equal ``set_key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -107,9 +114,12 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
         hashes, seeds = kept("hashes", WordHashes), mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64))
         for batch in batches:
             for rows, sets in sets_of(batch, hashes, size):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([_signature(s, seeds) if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+                keys = [xxh3_128_digest(s.tobytes()) for s in sets]
+                signs = [_signature(s, seeds) if len(s) else b"" for s in sets]
+                columns = [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
-    return _binary(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return _binary(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
 def set_table(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,15 +163,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``rep, component`` of all that has a link: the smallest id reachable. Each round hooks neighbouring labels and then jumps to the label's label."""
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    ends = both.select(F.col("a").alias("rep")).distinct()
-    label = saved(ends.select("rep", F.col("rep").alias("component")), "labels")
+    label = both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("near")).select("rep", F.least("rep", "near").alias("component"))
+    label = saved(label, "labels")
     while True:
         near = both.join(label.select(F.col("rep").alias("b"), "component"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("component").alias("near"))
         hooked = label.join(near, "rep").select("rep", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        hooked, old = saved(hooked, "hooked"), label
         jump = hooked.select(F.col("rep").alias("component"), F.col("component").alias("further"))
         new = saved(hooked.join(jump, "component").select("rep", "old", F.least("component", "further").alias("component")), "labels")
-        discard(hooked, old)
+        discard(label)
         label, done = new, new.where("old != component").isEmpty()
         if done:
             break
@@ -193,19 +202,25 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def forest(rep: np.ndarray, joined: np.ndarray, first: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int, one_block: bool) -> list[tuple[int, int]]:
-    """Links that join what is apart, among the members of one block or between two; members with equal ``joined`` are together already."""
-    left, right = (np.arange(len(rep)),) * 2 if one_block else (np.flatnonzero(first), np.flatnonzero(~first))
+def candidates(joined: np.ndarray, first: np.ndarray, size: np.ndarray, signatures: np.ndarray, percent: int, one_block: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the ``left`` can be linked with which of the ``right``, in one block or between two; members with equal ``joined`` are together already."""
+    left, right = (np.arange(len(size)),) * 2 if one_block else (np.flatnonzero(first), np.flatnonzero(~first))
     if not len(left) or not len(right):
-        return []
-    size = np.array([len(s) for s in sets])
+        return left, right, np.zeros((len(left), len(right)), bool)
     near = np.concatenate([(signatures[left[k : k + 32], None] != signatures[right]).sum(axis=2) <= MAX_DISTANCE for k in range(0, len(left), 32)])
     near &= joined[left][:, None] != joined[right]
     if one_block:
         near &= left[:, None] < right
     near &= 100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right])
+    return left, right, near
+
+
+def forest(rep: np.ndarray, joined: np.ndarray, first: np.ndarray, sets: list[np.ndarray], found: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what is apart among the candidates ``found``, confirmed on the sets."""
+    left, right, near = found
     if not near.any():
         return []
+    size = np.array([len(s) for s in sets])
     i, j = np.nonzero(near)
     if len(i) < 20:
         both = np.array([len(np.intersect1d(sets[left[x]], sets[right[y]], assume_unique=True)) for x, y in zip(i, j, strict=True)])
@@ -228,38 +243,64 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
 
 
 def links_to_hubs(members: DataFrame, percent: int) -> DataFrame:
-    """Links ``a < b`` of each cluster's members with its first: from ``rep, cluster, signature, shingles``."""
-    hubs = members.where("rep = cluster").select(F.col("cluster").alias("hub"), F.col("shingles").alias("hub_set"))
+    """Links ``a < b`` of each cluster's members with its first, from ``rep, cluster, places, shingles``: a hub's set goes to each of the cluster's ``places``."""
+    hubs = members.where("rep = cluster").select(F.col("cluster").alias("hub"), F.col("shingles").alias("hub_set"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
     both = F.size(F.array_intersect("shingles", "hub_set"))
-    star = members.join(hubs, F.col("cluster") == F.col("hub")).where((F.col("rep") != F.col("hub")) & (both * (100 + percent) >= percent * (F.size("shingles") + F.size("hub_set"))))
+    at = F.pmod(F.xxhash64("rep"), F.col("places")).cast("int")
+    star = members.where("rep != cluster").withColumn("at", at).join(hubs, (F.col("cluster") == F.col("hub")) & (F.col("at") == F.col("place")))
+    star = star.where(both * (100 + percent) >= percent * (F.size("shingles") + F.size("hub_set")))
     return star.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
-def links_in_clusters(members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
-    """Links ``a < b`` that, with those in ``star``, make the components of each cluster."""
+def _facing(rest: Column, cores: Column, core: Column) -> Column:
+    """The blocks that one of the rest or of the core must meet; those of the rest come first, those of the core don't meet each other."""
+    return F.explode(F.sequence(F.lit(0), F.when(core, rest).otherwise(rest + cores) - 1))
+
+
+def dealt_to_blocks(members: DataFrame, star: DataFrame) -> DataFrame:
+    """A row, without its set, for each member and each pair of blocks that it takes part in."""
     core = star.select(F.col("b").alias("rep"), F.lit(True).alias("core"))
-    known = members.join(core, "rep", "left").withColumn("core", F.coalesce("core", F.col("rep") == F.col("cluster")))
-    # blocks of the rest are numbered before blocks of the core; those of the core don't meet each other
-    blocks = known.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("rest"), F.ceil(F.count_if("core") / BLOCK).cast("int").alias("cores")).where("rest > 0")
-    dealt = known.join(blocks, "cluster").withColumn("mine", F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores")) - 1)).alias("other")
-    dealt = dealt.select("cluster", "rep", "core", "signature", "shingles", "mine", other).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other")
+    known = members.select("rep", "cluster", "n_shingles", "signature").join(core, "rep", "left").withColumn("core", F.coalesce("core", F.col("rep") == F.col("cluster")))
 
-    def run(rows: pa.Table) -> pa.Table:
-        rep, core, mine = (rows.column(c).to_numpy() for c in ("rep", "core", "mine"))
-        sets = [x.values.to_numpy() for x in rows.column("shingles")]
-        signatures_ = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(rows), SYMBOLS)
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+    def blocks_of(some: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+
+    blocks = known.groupBy("cluster").agg(blocks_of(~F.col("core")).alias("rest"), blocks_of(F.col("core")).alias("cores")).where("rest > 0")
+    mine = F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    dealt = known.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", _facing(F.col("rest"), F.col("cores"), F.col("core")))
+    return dealt.select("cluster", "rep", "core", "n_shingles", "signature", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+
+
+def links_in_clusters(members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Links ``a < b`` that, with those in ``star``, make the components of each cluster, from ``rep, cluster, n_shingles, signature, shingles``."""
+    dealt = dealt_to_blocks(members, star)
+
+    def arrays(rows: pa.Table) -> tuple:
+        rep, core, mine, size = (rows.column(c).to_numpy() for c in ("rep", "core", "mine", "n_shingles"))
         joined = np.where(core.astype(bool), rows.column("cluster").to_numpy(), rep)
-        return _links(forest(rep, joined, mine == x, sets, signatures_, percent, x == y))
+        signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(rows), SYMBOLS)
+        return rep, joined, mine == rows.column("x")[0].as_py(), size, signs, rows.column("x")[0] == rows.column("y")[0]
+
+    def meeting(rows: pa.Table) -> pa.Table:
+        _, joined, first, size, signs, one_block = arrays(rows)
+        left, right, near = candidates(joined, first, size, signs, percent, one_block)
+        meets = np.zeros(len(rows), bool)
+        meets[left[near.any(axis=1)]] = meets[right[near.any(axis=0)]] = True
+        return rows.filter(pa.array(meets))
+
+    def linked(rows: pa.Table) -> pa.Table:
+        rep, joined, first, size, signs, one_block = arrays(rows)
+        sets = [x.values.to_numpy() for x in rows.column("shingles")]
+        return _links(forest(rep, joined, first, sets, candidates(joined, first, size, signs, percent, one_block), percent))
 
-    return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+    met = dealt.groupBy("cluster", "x", "y").applyInArrow(meeting, dealt.schema)
+    return met.join(members.select("rep", "shingles"), "rep").groupBy("cluster", "x", "y").applyInArrow(linked, "a long, b long")
 
 
-def pairs_across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates ``a < b`` that share a key and lie in different clusters; keys of a slot are taken together, large ones by blocks."""
-    slots = 8 * partitions(members.sparkSession)
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("blocks"))
+def pairs_across(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Candidates ``a < b`` that share a key and lie in different clusters, from ``n`` rows; keys of a slot are taken together, large ones by blocks."""
+    slots = max(partitions(members.sparkSession), n // SLOT + 1)
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "rep", "cluster", "n_shingles", "signature", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "rep", "cluster", "n_shingles", "signature", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
@@ -287,39 +328,45 @@ def pairs_across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, class_id`` (smallest id with an equal set), ``component_id``, ``kept``."""
+    """One row per document: ``doc_id, text_hash, n_shingles, class_id`` (smallest id with an equal set), ``component_id``, ``kept``; a written table."""
     spark = docs.sparkSession
-    sigs = saved(signatures(docs, size, id_col, text_col), "signatures")
+    sigs = held(signatures(docs, size, id_col, text_col))
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    reps = saved(reps, "classes")
+    reps = held(reps)
     keys = chunk_keys(reps)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = held(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     # What each document has in common with one document of each of its keys.
     to_hub = keys.select("rep", "key").join(buckets.select("key", "hub"), "key").where("rep != hub").select("rep", "hub").distinct()
     about = reps.select(F.col("rep").alias("hub"), F.col("signature").alias("hub_signature"))
     to_hub = to_hub.join(reps.select("rep", "signature"), "rep").join(about, "hub").where(_distance("signature", "hub_signature") <= LOOSE_DISTANCE)
     found = components(spark, to_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     clusters = found.select("rep", F.col("component").alias("cluster"))
-    sets = saved(_sets(docs, clusters.select("rep"), size, id_col, text_col), "sets")
-    members = clusters.join(reps.select("rep", "signature"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    star = saved(links_to_hubs(members, percent), "links")
+    large = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / STAR).cast("int").alias("places")).where("places > 1")
+    sets = _sets(docs, clusters.select("rep"), size, id_col, text_col).withColumnRenamed("doc_id", "rep")
+    members = clusters.join(large, "cluster", "left").fillna(1, "places").join(reps, "rep").join(sets, "rep").drop("set_key")
+    members = held(members)
+    star = held(links_to_hubs(members, percent))
     links = saved(star.union(links_in_clusters(members, star, percent)), "links")
-    discard(sets, star)
+    star.unpersist()
+    members.unpersist()
     # What shares a key across clusters.
     labelled = keys.join(buckets.select("key"), "key").join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    apart = labelled.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
-    rest = saved(pairs_across(labelled.join(apart, "key"), percent), "pairs")
+    apart = held(labelled.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    n = apart.agg(F.sum("n")).first()[0] or 0
+    rest = saved(pairs_across(labelled.join(apart.select("key"), "key"), n, percent), "pairs")
     wanted = rest.select(F.col("a").alias("rep")).union(rest.select("b")).distinct()
-    sets = saved(_sets(docs, wanted, size, id_col, text_col), "sets")
-    across = saved(confirmed(rest, sets, percent), "links")
+    across = confirmed(rest, held(sets := _sets(docs, wanted, size, id_col, text_col)), percent)
     joined = components(spark, links.union(across))
-    discard(found, sets, rest, links, across)
-    found = reps.select("rep").join(joined.select("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    classes = reps.select("set_key", F.col("rep").alias("class_id")).join(found.withColumnRenamed("rep", "class_id"), "class_id")
-    out = sigs.where("n_shingles > 0 and doc_id is not null").join(classes, "set_key").select("doc_id", "n_shingles", "class_id", F.col("component").alias("component_id"))
-    alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found_in = reps.select("rep").join(joined.select("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    classes = reps.select("set_key", F.col("rep").alias("class_id")).join(found_in.withColumnRenamed("rep", "class_id"), "class_id")
+    out = some.join(classes, "set_key").select("doc_id", "text_hash", "n_shingles", "class_id", F.col("component").alias("component_id"))
+    alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = saved(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
+    for x in (sigs, reps, buckets, apart, sets):
+        x.unpersist()
+    discard(found, rest, links, joined)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -327,16 +374,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     ids = wanted.select(F.col("rep").alias("_wanted"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    some = docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return set_table(some.join(ids, F.col("doc_id") == F.col("_wanted"), "left_semi"), size)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group; columns as they were."""
-    copies = saved(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    return docs.join(copies, docs["doc_id"] == copies["_gone"], "left_anti")
+    """``docs`` with one document of each group, and one row of what is repeated with id and text; columns as they were."""
+    groups = near_duplicates(docs, size, percent)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    left = without(docs, gone)
+    again = saved(groups.where("kept and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    discard(groups)
+    if again.isEmpty():
+        return left
+    key = again.select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+    same = (F.col("doc_id") == F.col("again_id")) & (F.xxhash64("text") == F.col("again_hash"))
+    one = left.join(key, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(key, same, "left_anti").unionByName(one)
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
