@@ -28,6 +28,15 @@ def test_chunks_equal_whole_texts(tokenizer):
     assert ids.tolist() == [x for ids in want for x in ids]
 
 
+def test_shrinking_caches_change_no_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 6)
+    monkeypatch.setattr(packing, "STAY", 3)
+    tokens = packing.ChunkTokenizer(packing.tokenizer_path(packing.VOCABULARY))
+    for t in TEXTS * 2:
+        ids, _ = tokens.encode([(t or "").encode()])
+        assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_pack_places_every_piece(spark, tokenizer):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(7, "again"), (7, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS salt", "3 AS piece")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import kept, partitions, saved, table, texts_of
 
-VOCABULARY, CACHE = "word_bpe_49k.json", 800_000
+#: Chunks and words that a worker knows at most, beside those of the slice at hand, and those that stay when there are more: the ones found most often.
+VOCABULARY, CACHE, STAY = "word_bpe_49k.json", 400_000, 150_000
 #: Marks that stand alone beside a word: not the apostrophe, which starts endings, nor what special tokens are made of.
 MARKS = ".,;:!?\"()[]{}*#$%&/-_+=@~^"
 
@@ -48,9 +49,6 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
         self.chunks, self.words = Known(), Known()
 
     def parts(self, chunk: bytes) -> tuple[str, ...] | None:
@@ -91,8 +89,9 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has; ``at`` and ``n_chunks`` then say which known chunks they were."""
-        if len(self.chunks.index) > CACHE:
-            self.clear()
+        for known in (self.chunks, self.words):
+            if len(known.index) > CACHE:
+                known.shrink(STAY)
         chunks = [x.split() for x in texts]
         self.at, self.n_chunks = self.chunks.find([c for x in chunks for c in x], self.learn), np.array([len(x) for x in chunks], np.int64)
         ids, lens = self.chunks.ids(self.at)
@@ -105,13 +104,25 @@ class Known:
 
     def __init__(self):
         self.index: dict = {}
-        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lens, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keep the ``most`` keys that were found most often; what they were found counts half from here on."""
+        n = len(self.index)
+        stay = np.sort(np.argsort(-self.hits[:n], kind="stable")[:most])
+        keys = np.array(list(self.index), object)[stay].tolist()
+        (ids, lens), hits = self.ids(stay), self.hits[stay] // 2
+        self.__init__()
+        self.put(keys, ids, lens)
+        self.hits[: len(keys)] = hits
 
     def put(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
         at, n = len(self.index), len(keys)
         if at + n > len(self.starts):
             more = max(2 * len(self.starts), at + n)
             self.starts, self.lens = np.resize(self.starts, more), np.resize(self.lens, more)
+            self.hits = np.append(self.hits[:at], np.zeros(more - at, np.int64))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -127,6 +138,7 @@ class Known:
         if missing:
             learn(list({keys[k] for k in missing}))
             at[missing] = [get(keys[k]) for k in missing]
+        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         return at
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
