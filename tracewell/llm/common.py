@@ -84,11 +84,11 @@ def kept(name, make: Callable[[], Any]) -> Any:
     return _KEPT[name]
 
 
-def slices(sizes, limit: int):
-    """Bounds of runs of rows whose sizes add up to about ``limit``; a larger row is a run of its own."""
+def slices(sizes, limit: int, rows: int = 10_000):
+    """Bounds of runs of ``rows`` rows at most whose sizes add up to about ``limit``; a larger row is a run of its own."""
     start = total = 0
     for k, n in enumerate(sizes):
-        if total and total + n > limit:
+        if total and total + n > limit or k - start == rows:
             yield start, k
             start, total = k, 0
         total += n
@@ -96,13 +96,13 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
-def texts_of(batch, column: str = "text", limit: int = 2 << 20):
-    """From an Arrow batch with a binary column: (rows, list of bytes) for runs of about ``limit`` bytes; null: empty."""
+def texts_of(batch, column: str = "text", limit: int = 2 << 20, rows: int = 10_000):
+    """From an Arrow batch with a binary column: (rows, list of bytes) for runs of about ``limit`` bytes and of ``rows`` rows at most; null: empty."""
     import pyarrow.compute as pc
 
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
-    for a, b in slices(sizes, limit):
+    for a, b in slices(sizes, limit, rows):
         yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, kept, table, texts_of, without
 
-#: Bytes of text that are bundled at once, trigrams for which vectors are made at once, and letters whose vectors are kept.
-SLICE, COLUMNS, LETTERS = 512 << 10, 4096, 20_000
+#: Bytes of text and texts that are bundled at once, trigrams for which vectors are made at once, and letters whose vectors are kept.
+SLICE, TEXTS, COLUMNS, LETTERS = 512 << 10, 1024, 4096, 20_000
 DIMENSIONS = 1024
 #: Score that a long text needs to stay, and the number of letters up to which none is needed.
 MIN_SCORE, FEW = 0.24, 50
@@ -33,7 +33,7 @@ MIN_SCORE, FEW = 0.24, 50
 
 @lru_cache(None)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def letter_vector(letter: int, dimensions: int) -> np.ndarray:
@@ -52,8 +52,7 @@ def letter_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     flat, ends = np.zeros(sizes.sum(), np.uint32), np.cumsum(sizes)
     for p, e in zip(parts, ends, strict=True):
         flat[e - 1 - len(p) : e - 1] = p
-    table_ = _letters()
-    flat[~table_[np.minimum(flat, len(table_) - 1)]] = 0
+    flat[~_letters()[flat]] = 0
     doc = np.repeat(np.arange(len(texts)), sizes)
     letters = np.bincount(doc[flat > 0], minlength=len(texts))
     keep = np.append(True, (flat[1:] > 0) | (flat[:-1] > 0))
@@ -94,7 +93,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, lang_col: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for rows, texts in texts_of(batch, limit=SLICE):
+            for rows, texts in texts_of(batch, limit=SLICE, rows=TEXTS):
                 langs, group = np.unique(np.array(rows.column(0).to_pylist(), object), return_inverse=True)
                 for lang, v in zip(langs, bundle(texts, group, len(langs), dimensions)[0], strict=True):
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
@@ -118,7 +117,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in texts_of(batch, limit=SLICE):
+            for rows, texts in texts_of(batch, limit=SLICE, rows=TEXTS):
                 v, letters = bundle(texts, np.arange(len(texts)), len(texts), dimensions)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 langs, score = ["und"] * len(texts), np.zeros(len(texts))
