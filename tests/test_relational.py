@@ -31,8 +31,11 @@ def test_pages_and_cursors(spark):
         seen += [tuple(r) for r in page]
         after = seen[-1]
     assert seen == sorted(((i % 3, f"k{i}") for i in range(10)), reverse=True)
-    assert relational.decode_cursor(relational.encode_cursor("2026-01-01T00:00:00.000001Z", "k")) == ("2026-01-01T00:00:00.000001Z", "k")
-    for bad in ("", "x", relational.encode_cursor("a", "b")[:-4]):
+    page, more, cursor = relational.page_with_cursor(rows, ["at", "k"], 9)
+    assert page.count() == 9 and more and not relational.page_with_cursor(rows, ["at", "k"], 9, cursor)[1]
+    good = ("2026-01-01T00:00:00.000001Z", "0a0a0a0a-1111-2222-3333-0123456789ab")
+    assert relational.decode_cursor(relational.encode_cursor(*good)) == good
+    for bad in ("", "x", relational.encode_cursor("a", "b")[:-4], relational.encode_cursor("a", good[1]), relational.encode_cursor(good[0], "k")):
         with pytest.raises(ValueError):
             relational.decode_cursor(bad)
 

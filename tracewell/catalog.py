@@ -164,7 +164,8 @@ def interval_overlap_pairs(spark, sf_dir):
 def set_algebra(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     poor = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
-    return poor.union(orders.where("o_totalprice > 400000").select("o_custkey")).distinct().exceptAll(orders.where("o_orderstatus = 'P'").select("o_custkey").distinct().join(poor.union(orders.where("o_totalprice > 400000").select("o_custkey")).distinct().withColumnRenamed("k", "o_custkey"), "o_custkey", "left_semi"))
+    either = poor.union(orders.where("o_totalprice > 400000").select("o_custkey"))
+    return either.distinct().subtract(orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("""SELECT CASE WHEN grouping(l_returnflag) = 1 THEN '*' ELSE l_returnflag END AS flag, CASE WHEN grouping(l_linestatus) = 1 THEN '*' ELSE l_linestatus END AS status, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")

@@ -71,6 +71,18 @@ def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
     return lines.select("doc_id", "line_number", F.inline(found))
 
 
+def unlisted_hosts(lines: DataFrame) -> DataFrame:
+    """Hosts, with or without a scheme, whose ending isn't among the known ones: ``doc_id, line_number, raw_value, ending``.
+
+    The list of endings is partial, so what it leaves out of the facts is reported here.
+    """
+    text = F.col("text")
+    every = F.concat(T.find_spans(text, P.URL), T.find_spans(text, P.BARE_HOST))
+    hosts = F.array_distinct(F.filter(F.transform(every, lambda s: T.url_host(T.strip_url_tail(s["value"]))), lambda h: h.contains(".") & ~T.known_tld(h) & ~h.rlike(r"^[\d.]+$")))
+    likely = lines.where(text.rlike(r"(?i)https?://|[a-z0-9]\.[a-z]{2}"))
+    return likely.select("doc_id", "line_number", F.explode(hosts).alias("raw_value")).withColumn("ending", F.substring_index("raw_value", ".", -1))
+
+
 def longest_first(found: DataFrame) -> DataFrame:
     """Greedy: longest first, then by position; a fact stays unless it overlaps one of its type that stays."""
     row = F.struct((F.col("start") - F.col("end")).alias("size"), "start", "end", "raw_value")

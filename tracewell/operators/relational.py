@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,18 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def keyset_page(rows: DataFrame, order: list[str], size: int, after: tuple | None = None) -> DataFrame:
     """The next ``size`` rows, newest first, strictly behind the row with the key ``after``; one row more tells whether there is another page."""
     if after is not None:
-        rows = rows.where(F.struct(*order) < F.struct(*[F.lit(x) for x in after]))
+        values = [F.lit(x).cast(rows.schema[c].dataType) for c, x in zip(order, after, strict=True)]
+        rows = rows.where((F.col(order[0]) <= values[0]) & (F.struct(*order) < F.struct(*values)))  # the first part reaches the scan
     return rows.orderBy(*[F.col(c).desc() for c in order]).limit(size)
 
 
+def page_with_cursor(rows: DataFrame, order: list[str], size: int, after: tuple | None = None) -> tuple[DataFrame, bool, tuple | None]:
+    """A page, whether there is another, and the key behind which that one starts. Only ``size + 1`` keys come to the driver."""
+    keys = keyset_page(rows, order, size + 1, after).select(*order).collect()
+    last = tuple(keys[size - 1]) if len(keys) > size else None
+    return keyset_page(rows, order, size, after), last is not None, last
+
+
 def encode_cursor(timestamp: str, key: str) -> str:
     return base64.urlsafe_b64encode(json.dumps([timestamp, key]).encode()).decode().rstrip("=")
 
@@ -39,7 +48,8 @@ def decode_cursor(cursor: str) -> tuple[str, str]:
         found = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
     except Exception as e:
         raise ValueError("not a cursor") from e
-    if not (isinstance(found, list) and len(found) == 2 and all(isinstance(x, str) for x in found)):
+    forms = (r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+    if not (isinstance(found, list) and len(found) == 2 and all(isinstance(x, str) and re.fullmatch(f, x) for f, x in zip(forms, found, strict=True))):
         raise ValueError("not a cursor")
     return found[0], found[1]
 
@@ -81,3 +91,46 @@ def violations(rows: DataFrame, checks: dict[str, Column], key: str) -> DataFram
     """Rows that fail a check (null counts as passed, as SQL's CHECK has it), once for each check."""
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
     return rows.select(key, F.explode(failed).alias("failed_check"))
+
+
+def cascade(gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """What is left of each child table (and the column that points at ``key``) when the rows in ``gone`` are deleted; tables that aren't named, such as the audit, stay."""
+    ids = gone.select(F.col(key).alias("_gone")).distinct()
+    return {name: rows.join(ids, rows[column] == ids["_gone"], "left_anti") for name, (rows, column) in children.items()}
+
+
+def guarded_update(rows: DataFrame, status: str, after: Column, allowed: Column) -> DataFrame:
+    """Rows whose status becomes ``after`` where ``allowed`` holds; ``changed`` tells which did."""
+    ok = F.coalesce(allowed, F.lit(False))
+    return rows.withColumn("changed", ok).withColumn(status, F.when(ok, after).otherwise(F.col(status)))
+
+
+def merged_map(old: Column, new: Column) -> Column:
+    """A shallow merge of maps: entries of ``new`` win; null counts as empty."""
+    kind = "map<string,string>"
+    a, b = F.coalesce(old, F.create_map().cast(kind)), F.coalesce(new, F.create_map().cast(kind))
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def partial_update(rows: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with patches merged in, and ``changed_fields``. A patch has ``given`` (an array of field names): what isn't given stays, what is given as null becomes null."""
+    p = patches.select(key, "given", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    both = rows.join(p, key, "left")
+    given = lambda c: F.coalesce(F.array_contains("given", c), F.lit(False))
+    changed = F.array_compact(F.array(*[F.when(given(c) & ~F.col(c).eqNullSafe(F.col(f"_new_{c}")), F.lit(c)) for c in columns]))
+    rest = [c for c in rows.columns if c not in columns]
+    return both.select(*rest, *[F.when(given(c), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], changed.alias("changed_fields"))
+
+
+def immutable_violations(before: DataFrame, after: DataFrame, key: str, frozen: list[str], since: Column | None = None) -> DataFrame:
+    """``key, column`` of values that changed though they were set (or though ``since`` held before): each may be set once."""
+    a = before.select(F.col(key), *[F.col(c).alias(f"_was_{c}") for c in frozen], (F.lit(True) if since is None else since).alias("_fixed"))
+    both = a.join(after.select(key, *frozen), key)
+    fixed = lambda c: F.col("_fixed") if since is not None else F.col(f"_was_{c}").isNotNull()
+    return both.select(key, F.explode(F.array_compact(F.array(*[F.when(fixed(c) & ~F.col(c).eqNullSafe(F.col(f"_was_{c}")), F.lit(c)) for c in frozen]))).alias("column"))
+
+
+def duplicates(rows: DataFrame, key: list[str], where: Column | None = None) -> DataFrame:
+    """Keys that more than one row has, of those that ``where`` selects: what a unique index would refuse; keys with a null are never equal."""
+    some = rows if where is None else rows.where(where)
+    return some.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

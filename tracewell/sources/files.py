@@ -15,11 +15,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES).select("path", "length", "content")
 
 
+def oversized(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, rejection`` of the files over the limit, which ``read_files`` leaves out."""
+    return spark.read.format("binaryFile").load(path).where(F.col("length") > MAX_BYTES).select("path", "length", F.lit("FILE_TOO_LARGE").alias("rejection"))
+
+
 def content_type(content: Column) -> Column:
     """By the first bytes: png, jpeg, OLE, PDF, then text if it is UTF-8 without NUL, else binary."""
     head, hexed = F.hex(F.substring(content, 1, 8)), F.hex(F.substring(content, 1, 1024))
     pdf = hexed.rlike("^(?:..)*?255044462D")
-    text = F.is_valid_utf8(content.cast("string")) & ~F.hex(content).rlike("^(?:..)*?00")
+    text = F.is_valid_utf8(content.cast("string")) & (F.position(F.lit(b"\x00"), content) == 0)
     return (
         F.when(head == "89504E470D0A1A0A", "image/png")
         .when(head.startswith("FFD8FF"), "image/jpeg")
