@@ -1,8 +1,11 @@
 """The pipeline: each stage against what it may do, on a fixture with planted cases."""
 
 import random
+import re
 
 import corpus_pipeline
+from test_neardup import brute
+
 from tracewell.llm import packing
 
 
@@ -47,3 +50,33 @@ def test_run_equals_stages_and_empty_tables(spark, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{none}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.parquet(f"{none}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
+def naive(rows, item):
+    """Stages two to four by plain loops over (id, text): what is left, with its text."""
+    label = {i: c for i, _, c, _ in brute([(i, t) for i, t in rows], 5, 80)}
+    left = [(i, t) for i, t in rows if label[i] == i]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    cut = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    left = [(i, t) for i, t in left if not cut(words(t), min(10, len(words(item)))) & cut(words(item), min(10, len(words(item))))]
+    return {i: re.sub(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}", "[SECRET]", t) for i, t in left}
+
+
+def test_stages_against_plain_loops(spark, tmp_path):
+    sf_dir = fixture(spark, tmp_path)
+    docs = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    want = naive([(r.doc_id, r.text) for r in docs.collect()], spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf_dir)
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+    tokenizer = packing.tokens_of(packing.tokenizer_path(packing.VOCABULARY)).tokenizer
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).collect()
+    assert {(r.doc_id, r.length) for r in packed} == {(i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t in want.items()}
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+
+
+def test_repeated_rows_leave_one(spark, tmp_path):
+    sf_dir = fixture(spark, tmp_path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 5")
+    left = corpus_pipeline.near_dedup_stage(spark, docs.unionByName(docs).withColumn("kept", docs["doc_id"]), sf_dir)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 4]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tracewell.llm import topk
 
@@ -30,6 +31,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(data.limit(0), data.limit(0)).count() == 0
 
 
+def test_one_id_with_two_vectors_and_large_components(spark):
+    data = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_top_k(data, data.where("vec_id = 100"), 2, scale=1).collect())
+    assert got == sorted([(100, 1, 1, 2), (100, 2, 2, 1), (100, 1, 2, 3), (100, 2, 1, 1)])
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(data.selectExpr("vec_id", "array(1e15, embedding[0]) AS embedding"), data.where("vec_id = 100")).collect()
+
+
 def test_index_stops_early_and_stays_exact():
     rng = np.random.default_rng(2)
     vectors = np.floor(1024 * rng.normal(size=(500, 32))).astype(np.int64)

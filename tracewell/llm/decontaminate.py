@@ -45,7 +45,7 @@ def windows_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified occurrences: ``doc_id``, ``text_hash``, ``pos`` (word index from 0), ``length``, ``items``."""
     windows = windows_of(benchmark, n)
-    size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("window", " "))), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")).first()
+    size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("window", " ")) + F.length(F.array_join("items", " "))), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(size["lengths"])  # n values at most
     windows = windows.select(F.xxhash64("window").alias("h"), "window", F.col("length").alias("win_length"), "items")
     small = size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES

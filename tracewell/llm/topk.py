@@ -10,8 +10,9 @@ are scored exactly. Queries meet vectors block by block, and the blocks' tops ar
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 with a null id; only vectors of the same length are compared; ties go to the smaller id; all rows with the
-query's id are its own and no candidates; a repeated query row is one query, repeated candidates each count;
-empty tables give no rows; other columns are never read.
+query's id are its own and no candidates; a repeated query row is one query, one id with several vectors is as many
+queries, each with its own ranks, repeated candidates each count; components so large that a score could exceed
+64 bits raise an error; empty tables give no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import partitions, saved, table
 
-VECTORS, QUERY_BLOCK, LEVELS, FEW = 4096, 1024, 16, 8
+#: Vectors of a block at most, and at least if there are fewer blocks than partitions; queries of a block. Each pair of blocks makes one index.
+VECTORS, LEAST_VECTORS, QUERY_BLOCK, LEVELS, FEW = 32_768, 4096, 32_768, 16, 8
 
 
 class ImpactIndex:
@@ -100,30 +102,36 @@ def integer_vectors(rows: DataFrame, scale: float, id_col: str, vec_col: str) ->
 def _arrays(rows: pa.Table, ids: str) -> tuple[np.ndarray, np.ndarray]:
     v = rows.column("v").combine_chunks()
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    return rows.column(ids).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    out = v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    if out.size and float(np.abs(out.astype(np.float64)).max()) ** 2 * out.shape[1] >= 2.0**61:
+        raise ValueError("components are too large: a score could exceed 64 bits")
+    return rows.column(ids).to_numpy(), out
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest scores of each query against all rows but its own."""
     vectors = saved(integer_vectors(rows, scale, id_col, vec_col), "vectors")
     asked = saved(integer_vectors(queries, scale, id_col, vec_col).dropDuplicates().withColumnRenamed("vec_id", "query_id"), "queries")
-    n, m = max(1, -(-vectors.count() // VECTORS)), max(1, -(-asked.count() // QUERY_BLOCK))
+    rows_, m = vectors.count(), max(1, -(-asked.count() // QUERY_BLOCK))
+    n = max(1, -(-rows_ // VECTORS), min(-(-rows_ // min(LEAST_VECTORS, VECTORS)), partitions(rows.sparkSession)))
     # each block of vectors meets each block of queries once
     left = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def search(block: pa.Table, batch: pa.Table) -> pa.Table:
+        from xxhash import xxh3_64_intdigest
+
         out = []
         if len(block) and len(batch):
             index = ImpactIndex(*_arrays(block, "vec_id"))
             for query_id, query in zip(*_arrays(batch, "query_id"), strict=True):
-                out.append((query_id, *index.top(query, query_id, k)))
-        sizes = [len(ids) for _, ids, _ in out]
+                out.append((query_id, *index.top(query, query_id, k), xxh3_64_intdigest(query.tobytes()) >> 1))
+        sizes = [len(x[1]) for x in out]
         flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *[x[c] for x in out]])
-        return pa.table({"query_id": np.repeat(np.array([x[0] for x in out], np.int64), sizes), "vec_id": flat(1, np.int64), "score": flat(2, np.int64)})
+        return pa.table({"query_id": np.repeat(np.array([x[0] for x in out], np.int64), sizes), "query": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "vec_id": flat(1, np.int64), "score": flat(2, np.int64)})
 
-    found = left.groupBy("dims", "vb", "qb").cogroup(right.groupBy("dims", "vb", "qb")).applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = left.groupBy("dims", "vb", "qb").cogroup(right.groupBy("dims", "vb", "qb")).applyInArrow(search, "query_id long, query long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
