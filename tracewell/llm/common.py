@@ -96,6 +96,18 @@ def slices(sizes, limit: int, rows: int = 10_000):
         yield start, len(sizes)
 
 
+#: Rows of an Arrow batch of texts, where the session doesn't set them: Spark's own 10,000 rows of long texts take hundreds of MB on both sides.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in batches of ``BATCH_ROWS``. The setting holds for the session from here on; one that is not Spark's default stays as it is."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(batch, column: str = "text", limit: int = 2 << 20, rows: int = 10_000):
     """From an Arrow batch with a binary column: (rows, list of bytes) for runs of about ``limit`` bytes and of ``rows`` rows at most; null: empty."""
     import pyarrow.compute as pc

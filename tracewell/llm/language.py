@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, table, texts_of, without
+from .common import crc_mod, kept, map_texts, table, texts_of, without
 
 #: Bytes of text and texts that are bundled at once, trigrams for which vectors are made at once, and letters whose vectors are kept.
 SLICE, TEXTS, COLUMNS, LETTERS = 512 << 10, 1024, 4096, 20_000
@@ -100,7 +100,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, lang_col: str = "l
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(v) for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     some = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    sums = some.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
+    sums = map_texts(some, run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
     out: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang", "k").agg(F.sum("x").alias("x")).collect():
         out.setdefault(r["lang"], np.zeros(dimensions))[r["k"]] = r["x"]
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64())], ["doc_id", "lang_pred", "score", "n_letters"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, lang_pred string, score double, n_letters long")
+    return map_texts(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, lang_pred string, score double, n_letters long")
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

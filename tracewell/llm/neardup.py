@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, held, integral, kept, partitions, saved, table, texts_of, without
+from .common import LOWER, UPPER, discard, held, integral, kept, map_texts, partitions, saved, table, texts_of, without
 
 SYMBOLS, CHUNK, MAX_DISTANCE = 32, 4, 15
 #: Distance up to which a document joins the cluster of its key's first document.
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                 columns = [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
-    return _binary(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
+    return map_texts(_binary(docs, id_col, text_col), run, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
 def set_table(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +133,7 @@ def set_table(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                 offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "shingles"])
 
-    return _binary(docs, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_texts(_binary(docs, id_col, text_col), run, "doc_id long, shingles array<long>")
 
 
 def _symbol(k: int) -> Column:

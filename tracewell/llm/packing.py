@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, partitions, saved, table, texts_of
+from .common import kept, map_texts, partitions, saved, table, texts_of
 
 #: Chunks and words that a worker knows at most, beside those of the slice at hand, and those that stay when there are more: the ones found most often.
-VOCABULARY, CACHE, STAY = "word_bpe_49k.json", 400_000, 150_000
+VOCABULARY, CACHE, STAY = "word_bpe_49k.json", 320_000, 120_000
 #: Marks that stand alone beside a word: not the apostrophe, which starts endings, nor what special tokens are made of.
 MARKS = ".,;:!?\"()[]{}*#$%&/-_+=@~^"
 
@@ -105,7 +105,7 @@ class Known:
     def __init__(self):
         self.index: dict = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lens, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.lens, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def shrink(self, most: int) -> None:
         """Keep the ``most`` keys that were found most often; what they were found counts half from here on."""
@@ -122,7 +122,7 @@ class Known:
         if at + n > len(self.starts):
             more = max(2 * len(self.starts), at + n)
             self.starts, self.lens = np.resize(self.starts, more), np.resize(self.lens, more)
-            self.hits = np.append(self.hits[:at], np.zeros(more - at, np.int64))
+            self.hits = np.append(self.hits[:at], np.zeros(more - at, np.int32))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -138,7 +138,7 @@ class Known:
         if missing:
             learn(list({keys[k] for k in missing}))
             at[missing] = [get(keys[k]) for k in missing]
-        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
         return at
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, i
 
         tokens = tokens_of(path)
         for batch in batches:
-            for rows, texts in texts_of(batch):
+            for rows, texts in texts_of(batch, limit=1 << 20):
                 ids, counts = tokens.encode(texts)
                 out, at = [], 0
                 for doc, n in zip(rows.column(0).to_pylist(), counts.tolist(), strict=True):
@@ -181,7 +181,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, i
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_texts(source, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, saved, table, texts_of
+from .common import crc_mod, map_texts, saved, table, texts_of
 
 FEATURES, SEED, RIDGE, BINS, FOLDS, THRESHOLD = 160, 7, 1e-3, 1000, 5, 0.3
 #: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 other mark, 8 beyond ASCII
@@ -70,7 +70,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * N_STATS, flat)], ["doc_id", "stats"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, stats array<double>")
+    return map_texts(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, stats array<double>")
 
 
 class Fourier:

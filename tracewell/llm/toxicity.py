@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, saved, table, texts_of
+from .common import crc_mod, map_texts, saved, table, texts_of
 from .quality import labels_of
 
 SAMPLE, FEATURES, GRADES, STEPS, L2, CACHE = 20_000, 1024, 3, 300, 2e-4, 300_000
@@ -71,7 +71,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
                 flat = pa.array([x for w in words for x in w], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "y", "words"])
 
-    return _texts(docs, "y").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, words array<binary>")
+    return map_texts(_texts(docs, "y"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, words array<binary>")
 
 
 class Model:
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], ["doc_id", "expected_severity", "p_toxic", "grade"])
 
     source = _texts(docs)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, expected_severity double, p_toxic double, grade int")
+    return map_texts(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, expected_severity double, p_toxic double, grade int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
