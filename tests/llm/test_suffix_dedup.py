@@ -51,6 +51,34 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, width)
 
 
+def test_blocks_that_meet_by_slots(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "SLOT", 4)
+    rng = random.Random(9)
+    hot = "".join(rng.choice("pqrst ") for _ in range(130))
+    rows = make(5) + [(200 - k, hot[k % 7 :] + "".join(rng.choice("uvw") for _ in range(20)) if k % 3 else hot) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS slot")
+    got = suffix_dedup.repeated_bytes(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 50)
+
+
+def test_a_bucket_hears_once_from_a_slot():
+    hot, width = b"h" * 80, 50
+    runs = suffix_dedup._table(suffix_dedup.RUNS, range(500), [1] * 500, [np.array([31], np.uint32).tobytes()] * 500, [np.array([900 - k]).tobytes() for k in range(500)], [hot] * 500)
+    merged = suffix_dedup.merge_runs(runs.append_column("slot", [[7] * 500]), width)
+    assert merged.to_pylist() == [{"block": 7, "bucket": 1, "sizes": np.array([31], np.uint32).tobytes(), "docs": np.array([401]).tobytes(), "bytes": hot}]
+    names = suffix_dedup._table(suffix_dedup.NAMES, range(500), [1] * 500, [np.array([8, 20 + 2 * k], np.uint64).tobytes() for k in range(500)])
+    assert np.frombuffer(suffix_dedup.merge_names(names.append_column("slot", [[7] * 500])).to_pylist()[0]["names"], np.uint64).tolist() == [9, *range(20, 1020, 2)]
+
+
+def test_a_text_longer_than_a_block(spark):
+    text = random.Random(1).randbytes(suffix_dedup.BLOCK_BYTES * 11 // 20).hex()
+    assert len(text) > suffix_dedup.BLOCK_BYTES
+    docs = spark.createDataFrame([(1, text), (2, "<" + text[1_000_000:1_000_200] + ">"), (3, "plain " + text[5:54])], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.repeated_bytes(docs).collect()} == {1: (0, 0), 2: (200, 1), 3: (0, 0)}
+
+
 def test_empty_table(spark):
     assert suffix_dedup.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -13,8 +13,10 @@ is a stretch of windows of one document with the same name. The steps, by blocks
    owner; a bucket answers in one bit a window whether it is the owner;
 5. blocks remove the bytes of windows with shared names that their document doesn't own.
 
-A common passage reaches a bucket once from each block, not once from each document. Equality is decided on
-bytes; hashes only choose who meets.
+A common passage reaches a bucket once from each block, not once from each document. Beyond ``SLOT`` blocks, the
+blocks of a slot (``SLOT`` of them) meet by bucket first, and a bucket hears of each name and run once from each
+slot; what it answers a slot, the slot tells its blocks. So no group grows with the number of blocks. Equality is
+decided on bytes; hashes only choose who meets.
 
 Defined cases: null or empty texts have no bytes; texts shorter than ``width`` keep all; rows with a null id
 neither remove nor lose anything; rows with the same id never remove from each other; empty tables give no
@@ -34,6 +36,8 @@ from .common import table
 from .neardup import mix
 
 GRAM, SHALLOW, BLOCK_BYTES, BUCKET_BYTES = 24, 16, 3 << 20, 3 << 20
+#: Blocks that send to a bucket directly.
+SLOT = 1 << 14
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -141,15 +145,42 @@ def tell_names(rows: pa.Table, width: int, buckets: int) -> pa.Table:
     return _table(NAMES, [number] * len(got), [b for b, _ in got], [x for _, x in got])
 
 
+class Names:
+    """The distinct names that some blocks tell a bucket, and which of them are in two documents at least."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        parts = [np.frombuffer(x, np.uint64) for x in rows.column("names").to_pylist()]
+        every = np.concatenate(parts)
+        self.name, self.of, count = np.unique(every & ~np.uint64(1), return_inverse=True, return_counts=True)
+        self.shared = (count > 1) | (np.bincount(self.of, every & np.uint64(1), minlength=len(count)) > 0)
+        self.stops = np.cumsum([len(p) for p in parts])
+
+    def answer(self, shared: np.ndarray) -> pa.Table:
+        bits = [np.packbits(x).tobytes() for x in np.split(shared[self.of], self.stops[:-1])]
+        return _table(BITS, self.rows.column("block"), self.rows.column("bucket"), [2] * len(bits), bits)
+
+
 def answer_names(rows: pa.Table) -> pa.Table:
     """A name is shared if a block has it in two documents or two blocks have it."""
-    parts = [np.frombuffer(x, np.uint64) for x in rows.column("names").to_pylist()]
-    every = np.concatenate(parts)
-    _, of, count = np.unique(every & ~np.uint64(1), return_inverse=True, return_counts=True)
-    shared = (count[of] > 1) | ((every & np.uint64(1)) > 0)
-    ends = np.cumsum([len(p) for p in parts])
-    bits = [np.packbits(shared[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-    return _table(BITS, rows.column("block"), rows.column("bucket"), [2] * len(parts), bits)
+    names = Names(rows)
+    return names.answer(names.shared)
+
+
+def merge_names(rows: pa.Table) -> pa.Table:
+    """What the blocks of a slot tell a bucket, each name once."""
+    names = Names(rows)
+    return _table(NAMES, rows.column("slot")[:1], rows.column("bucket")[:1], [(names.name | names.shared.astype(np.uint64)).tobytes()])
+
+
+def pass_names(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """What the bucket answered the slot, for each of its blocks."""
+    names = Names(rows)
+    return names.answer(_bits(answers, len(names.name)))
+
+
+def _bits(answers: pa.Table, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(answers.column("bits")[0].as_py(), np.uint8), count=n).astype(bool)
 
 
 def _answers(rows: pa.Table, step: int) -> dict[int, bytes]:
@@ -234,26 +265,51 @@ def deep_shallow(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return order, group
 
 
+class Runs:
+    """The different runs that some blocks send to a bucket, each with the smallest document that has it, in the order of the blocks."""
+
+    def __init__(self, rows: pa.Table, width: int):
+        self.rows = rows = rows.sort_by("block")
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("sizes").to_pylist()]
+        self.docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("docs").to_pylist()])
+        self.raw = b"".join(rows.column("bytes").to_pylist())
+        self.all, self.stops = np.concatenate(sizes), np.cumsum([int(s.sum()) for s in sizes])
+        n = self.all + width - 1
+        begin = np.cumsum(n) - n
+        # equal runs are one: only those of the smallest document can own anything
+        known: dict[bytes, int] = {}
+        self.of = np.fromiter((known.setdefault(self.raw[a : a + k], len(known)) for a, k in zip(begin.tolist(), n.tolist(), strict=True)), np.int64, len(n))
+        _, first = np.unique(self.of, return_index=True)
+        self.begin, self.size = begin[first], self.all[first]
+        self.doc = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(self.doc, self.of, self.docs)
+
+    def answer(self, owner: np.ndarray) -> pa.Table:
+        """For each window of all runs, one bit: its document is the owner, given this for the windows of the different runs."""
+        starts = np.cumsum(self.size) - self.size
+        place = np.arange(int(self.all.sum())) - np.repeat(np.cumsum(self.all) - self.all, self.all)
+        mine = owner[np.repeat(starts[self.of], self.all) + place] & np.repeat(self.docs == self.doc[self.of], self.all)
+        bits = [np.packbits(x).tobytes() for x in np.split(mine, self.stops[:-1])]
+        return _table(BITS, self.rows.column("block"), self.rows.column("bucket"), [4] * len(bits), bits)
+
+
 def own_windows(rows: pa.Table, width: int) -> pa.Table:
     """For each window of the runs, one bit: its document has the smallest id of all with that window."""
-    sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("sizes").to_pylist()]
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("docs").to_pylist()])
-    raw = b"".join(rows.column("bytes").to_pylist())
-    size = np.concatenate(sizes)
-    begin = np.cumsum(size + width - 1) - (size + width - 1)
-    # equal runs are one: only those of the smallest document can own anything
-    known: dict[bytes, int] = {}
-    of = np.fromiter((known.setdefault(raw[a : a + n], len(known)) for a, n in zip(begin.tolist(), (size + width - 1).tolist(), strict=True)), np.int64, len(size))
-    _, first = np.unique(of, return_index=True)
-    doc = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(doc, of, docs)
-    owner = _owned(np.frombuffer(raw + bytes(64), np.uint8), begin[first], size[first], doc, width)
-    starts = np.cumsum(size[first]) - size[first]
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    mine = owner[np.repeat(starts[of], size) + place] & np.repeat(docs == doc[of], size)
-    stops = np.cumsum([int(s.sum()) for s in sizes])
-    bits = [np.packbits(mine[e - int(s.sum()) : e]).tobytes() for s, e in zip(sizes, stops, strict=True)]
-    return _table(BITS, rows.column("block"), rows.column("bucket"), [4] * len(bits), bits)
+    runs = Runs(rows, width)
+    return runs.answer(_owned(np.frombuffer(runs.raw + bytes(64), np.uint8), runs.begin, runs.size, runs.doc, width))
+
+
+def merge_runs(rows: pa.Table, width: int) -> pa.Table:
+    """What the blocks of a slot send to a bucket, each different run once, from its smallest document."""
+    runs = Runs(rows, width)
+    text = b"".join(runs.raw[a : a + n + width - 1] for a, n in zip(runs.begin.tolist(), runs.size.tolist(), strict=True))
+    return _table(RUNS, rows.column("slot")[:1], rows.column("bucket")[:1], [runs.size.astype(np.uint32).tobytes()], [runs.doc.tobytes()], [text])
+
+
+def pass_windows(rows: pa.Table, answers: pa.Table, width: int) -> pa.Table:
+    """What the bucket answered the slot, for each of its blocks."""
+    runs = Runs(rows, width)
+    return runs.answer(_bits(answers, int(runs.size.sum())))
 
 
 def _owned(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
@@ -309,12 +365,21 @@ def repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     by_block = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text)), F.lit(blocks)).alias("block"))
     names = by_block.groupBy("block").applyInArrow(lambda t: tell_names(t, width, buckets), NAMES)
-    shared = names.groupBy("bucket").applyInArrow(answer_names, BITS)
+    shared = _met(names, blocks, answer_names, merge_names, NAMES, pass_names)
     runs = by_block.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, a: send_runs(t, a, width, buckets), RUNS)
-    owned = runs.groupBy("bucket").applyInArrow(lambda t: own_windows(t, width), BITS)
+    owned = _met(runs, blocks, lambda t: own_windows(t, width), lambda t: merge_runs(t, width), RUNS, lambda t, a: pass_windows(t, a, width))
     return by_block.groupBy("block").cogroup(shared.union(owned).groupBy("block")).applyInArrow(lambda t, a: remove_spans(t, a, width, buckets), RESULT)
 
 
+def _met(sent: DataFrame, blocks: int, answer, merge, kind: str, passed_on) -> DataFrame:
+    """The answers to what blocks send to buckets, slot by slot where there are more than ``SLOT`` blocks."""
+    if blocks <= SLOT:
+        return sent.groupBy("bucket").applyInArrow(answer, BITS)
+    by_slot = sent.withColumn("slot", F.floor(F.col("block") / SLOT)).groupBy("bucket", "slot")
+    answers = by_slot.applyInArrow(merge, kind).groupBy("bucket").applyInArrow(answer, BITS)
+    return by_slot.cogroup(answers.groupBy("bucket", "block")).applyInArrow(passed_on, BITS)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
