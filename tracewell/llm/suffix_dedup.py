@@ -15,7 +15,7 @@ is a stretch of windows of one document with the same name. The steps, by blocks
 
 A common passage reaches a bucket once from each block, not once from each document. Beyond ``SLOT`` blocks, the
 blocks of a slot (``SLOT`` of them) meet by bucket first, and a bucket hears of each name and run once from each
-slot; what it answers a slot, the slot tells its blocks. So no group grows with the number of blocks. Equality is
+slot; what it answers a slot, the slot tells its blocks. Different windows that share a name still all meet. Equality is
 decided on bytes; hashes only choose who meets.
 
 Defined cases: null or empty texts have no bytes; texts shorter than ``width`` keep all; rows with a null id
