@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, one module each, and their queries."""
 
-from . import decontaminate, language, language_model, neardup, packing, quality, secret_scan, suffix_dedup, topk, toxicity
+from . import clustering, decontaminate, language, language_model, neardup, packing, quality, secret_scan, suffix_dedup, topk, toxicity
 
-MODULES = (language, decontaminate, topk, language_model, neardup, suffix_dedup, toxicity, quality, packing, secret_scan)
+MODULES = (language, decontaminate, topk, language_model, neardup, suffix_dedup, toxicity, quality, packing, secret_scan, clustering)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
