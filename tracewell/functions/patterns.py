@@ -44,6 +44,3 @@ CUE_DISTANCE = 30
 PAYEE_CUE = rf"(?i){B}paid{S}+to{B}|{B}to{S}+VPA{B}"
 UPI_CUE, RECEIPT_CUE = rf"(?i){B}UPI{S}+ID{S}*:", rf"(?i){B}(?:receipt|payment{S}+successful){B}"
 DEBIT_CUE = rf"(?i){B}debited{S}+from{B}|{B}from{S}+account{B}|{B}A/c{B}[^\n]*{B}debited{B}"
-
-#: Host endings that count as known; no list of public suffixes is installed, so this one is partial.
-KNOWN_TLDS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "co", "in", "uk", "de", "fr", "es", "eu", "app", "dev", "me", "us", "example", "test")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .hosts import is_address, known_ending
 
 OPEN, CLOSE = "\u0001", "\u0002"
 SPANS = "array<struct<value:string,start:int,end:int>>"
@@ -71,12 +72,11 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?i:https?://)?(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def known_tld(host: Column) -> Column:
-    return host.contains(".") & F.lower(F.substring_index(host, ".", -1)).isin(*P.KNOWN_TLDS)
-
-
 def normal_url(raw: Column) -> Column:
-    """Canonical key of a URL: lower-case scheme and host, no default port, fragment, tracking parameters or last slash; null if it has user info or no known host."""
+    """Canonical key of a URL: lower-case scheme and host, no default port, fragment, tracking parameters or last slash; null if it has user info or no host.
+
+    A bare host counts with a known ending only; behind a scheme any ending of letters does.
+    """
     full = F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z]+)://", 1))
     authority = F.regexp_extract(full, r"^[A-Za-z]+://([^/?#]*)", 1)
@@ -87,7 +87,8 @@ def normal_url(raw: Column) -> Column:
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(P.TRACKING))
     shown_port = F.when((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")), "").otherwise(F.concat(F.lit(":"), port))
     shown_query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    fine = ~authority.contains("@") & scheme.isin("http", "https") & (known_tld(host) | host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"))
+    stated = raw.rlike(r"(?i)^https?://") & host.rlike(r"\.[^\d\s.]{2,}$")
+    fine = ~authority.contains("@") & scheme.isin("http", "https") & (known_ending(host) | is_address(host) | stated)
     return F.when(fine, F.concat(scheme, F.lit("://"), host, shown_port, path, shown_query))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.hosts import international, is_address, known_ending
 from ..functions.temporal import TEMPORAL
 from ..functions.temporal import normalize as normal_time
 
@@ -33,8 +34,9 @@ def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
     def hosts(spans):
         raw = lambda s: F.regexp_extract(s["value"], r"^(?i:https?://)?(?:[^/?#@]*@)?([^/?#:]+)", 1)
         at = lambda s: s["start"] + F.instr(s["value"], raw(s)) - 1
-        out = F.transform(spans, lambda s: F.struct(raw(s).alias("value"), at(s).alias("start"), (at(s) + F.length(raw(s))).alias("end")))
-        return F.filter(out, lambda s: T.known_tld(s["value"]))
+        with_scheme = lambda s: s["value"].rlike("(?i)^https?://")
+        fine = lambda s: known_ending(raw(s)) | (with_scheme(s) & raw(s).contains(".") & ~is_address(raw(s)))
+        return F.transform(F.filter(spans, fine), lambda s: F.struct(raw(s).alias("value"), at(s).alias("start"), (at(s) + F.length(raw(s))).alias("end")))
 
     def names(spans):
         value = lambda s: F.regexp_replace(F.regexp_extract(s["value"], rf"(?i)^[^:]*:{P.S}*(.*)$", 1), r"[.'&-]+$", "")
@@ -45,7 +47,7 @@ def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
     with_digit = text.rlike(r"\d")
     urls = F.when(text.rlike("(?i)https?://"), trimmed(T.find_spans(text, P.URL))).otherwise(none)
     host_like = text.rlike(r"(?i)https?://|[a-z0-9]\.[a-z]{2}")
-    bare = F.when(host_like, F.filter(trimmed(T.find_spans(text, P.BARE_HOST)), lambda s: T.known_tld(T.url_host(s["value"])))).otherwise(none)
+    bare = F.when(host_like, trimmed(T.find_spans(text, P.BARE_HOST))).otherwise(none)
     both = F.concat(urls, bare)
     hint = r"([Xx*]{2,}\d{3,4}|(?i:ending\s+(?:in\s+)?\d{4}))$"
     transaction = F.filter(tail(T.find_spans(text, P.TRANSACTION), r"([A-Za-z0-9]{8,22})$"), lambda s: s["value"].rlike(r"\d"))
@@ -72,13 +74,10 @@ def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
 
 
 def unlisted_hosts(lines: DataFrame) -> DataFrame:
-    """Hosts, with or without a scheme, whose ending isn't among the known ones: ``doc_id, line_number, raw_value, ending``.
-
-    The list of endings is partial, so what it leaves out of the facts is reported here.
-    """
+    """Hosts, with or without a scheme, whose ending isn't among the known ones: ``doc_id, line_number, raw_value, ending``."""
     text = F.col("text")
     every = F.concat(T.find_spans(text, P.URL), T.find_spans(text, P.BARE_HOST))
-    hosts = F.array_distinct(F.filter(F.transform(every, lambda s: T.url_host(T.strip_url_tail(s["value"]))), lambda h: h.contains(".") & ~T.known_tld(h) & ~h.rlike(r"^[\d.]+$")))
+    hosts = F.array_distinct(F.filter(F.transform(every, lambda s: T.url_host(T.strip_url_tail(s["value"]))), lambda h: h.contains(".") & ~known_ending(h) & ~h.rlike(r"^[\d.]+$")))
     likely = lines.where(text.rlike(r"(?i)https?://|[a-z0-9]\.[a-z]{2}"))
     return likely.select("doc_id", "line_number", F.explode(hosts).alias("raw_value")).withColumn("ending", F.substring_index("raw_value", ".", -1))
 
@@ -93,8 +92,19 @@ def longest_first(found: DataFrame) -> DataFrame:
 
 
 def extract(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """Facts of the given types, or of all, with canonical values; values that can't be normalised have null."""
-    return longest_first(candidates(lines, kinds)).withColumn("normalized_value", F.when(F.col("field_type") == "DATETIME", normal_time(F.col("raw_value"))["value"]).otherwise(T.normalize(F.col("field_type"), F.col("raw_value"))))
+    """Facts of the given types, or of all, with canonical values; values that can't be normalised have null.
+
+    ``known`` is false for URLs and domains whose ending isn't listed: behind a scheme they have canonical values like
+    others, a bare one is a fact without, which ``resolution.unmerged`` shows. ``punycode`` is the form of an
+    international domain that is looked up.
+    """
+    kind, raw = F.col("field_type"), F.col("raw_value")
+    found = longest_first(candidates(lines, kinds)).withColumn("normalized_value", F.when(kind == "DATETIME", normal_time(raw)["value"]).otherwise(T.normalize(kind, raw)))
+    if kinds is not None and not {"URL", "DOMAIN"} & set(kinds):
+        return found.withColumn("known", F.lit(True)).withColumn("punycode", F.lit(None).cast("string"))
+    host = T.url_host(raw)
+    known = ~kind.isin("URL", "DOMAIN") | known_ending(host) | is_address(host)
+    return international(found.withColumn("known", known))
 
 
 def entities(facts: DataFrame) -> DataFrame:
@@ -108,9 +118,9 @@ def entities(facts: DataFrame) -> DataFrame:
 
 def hosted_on(facts: DataFrame) -> DataFrame:
     """URL to DOMAIN where both are on one line and the domain is the URL's host: edges with supporting documents."""
-    url = facts.where("field_type = 'URL' and normalized_value is not null").select("doc_id", "line_number", F.col("normalized_value").alias("url"), T.url_host(F.col("normalized_value")).alias("host"))
-    domain = facts.where("field_type = 'DOMAIN'").select("doc_id", "line_number", F.col("normalized_value").alias("host")).distinct()
-    return url.join(domain, ["doc_id", "line_number", "host"]).groupBy("url", "host").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    url = facts.where("field_type = 'URL' and normalized_value is not null").select("doc_id", "line_number", F.col("normalized_value").alias("url"), T.url_host(F.col("normalized_value")).alias("looked_up"))
+    domain = facts.where("field_type = 'DOMAIN'").select("doc_id", "line_number", F.col("normalized_value").alias("host"), F.coalesce("punycode", "normalized_value").alias("looked_up")).distinct()
+    return url.join(domain, ["doc_id", "line_number", "looked_up"]).groupBy("url", "host").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def single_pair_edges(facts: DataFrame, left: str, right: str, relation: str, cue=None, lines: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.patterns import OTP_CUE, PHONE_LIKE, S
+from ..functions.unicode import form_c
 
 MAX_LINE = 1000
 # What stands in place of a redacted span.
@@ -33,8 +34,8 @@ def not_blank(text: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_number, text``."""
-    some = not_blank(F.col(text_col))
+    """``doc_id, line_number, text`` in Unicode form C."""
+    some = not_blank(form_c(F.col(text_col)))
     cut = F.flatten(F.transform(some, lambda x: F.when(F.length(x) > MAX_LINE, segments(x)).otherwise(F.array(x))))
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("line_number", "text")).withColumn("line_number", F.col("line_number") + 1)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import url_host
+from .facts import debit_cue, paid_cue
+
 # Which types a relation may join.
 ALLOWED_PAIRS = {
     "HOSTED_ON": (("URL",), ("DOMAIN",)),
@@ -57,11 +60,34 @@ def messages_contained(items: DataFrame, facts: DataFrame) -> DataFrame:
     return found.groupBy(F.col("sender").alias("from_entity"), "to_entity").agg(F.count("*").alias("n_items"), F.min("evidence_id").alias("first_item"))
 
 
-def judge_proposals(proposals: DataFrame, entities: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+#: What a cue must say for each relation that rests on one; ``item_cues`` finds them.
+CUED = ("HOSTED_ON", "PAID_TO", "DEBITED_FROM", "MESSAGE_CONTAINED")
+
+
+def item_cues(lines: DataFrame, facts: DataFrame, items: DataFrame) -> DataFrame:
+    """``evidence_id, relation, from_entity, to_entity``: what an item's text lets a proposal say; null stands for any entity.
+
+    HOSTED_ON needs a line with the URL and its domain; PAID_TO and DEBITED_FROM need their words in the item; MESSAGE_CONTAINED needs
+    the item's one sender. ``lines``: ``evidence_id, line_number, text``; ``facts``: ``evidence_id, entity_id, field_type, line_number,
+    header_name, normalized_value``.
+    """
+    any_ = F.lit(None).cast(dict(facts.dtypes)["entity_id"])
+    own = F.array_sort(F.collect_list(F.struct("line_number", "text")))
+    text = lines.groupBy("evidence_id").agg(F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"))
+    said = lambda cue, name: text.where(cue(F.col("text"))).select("evidence_id", F.lit(name).alias("relation"), any_.alias("from_entity"), any_.alias("to_entity"))
+    url = facts.where("field_type = 'URL'").select("evidence_id", "line_number", F.col("entity_id").alias("from_entity"), url_host(F.col("normalized_value")).alias("host"))
+    domain = facts.where("field_type = 'DOMAIN'").select("evidence_id", "line_number", F.col("entity_id").alias("to_entity"), F.lower("normalized_value").alias("host"))
+    hosted = url.join(domain, ["evidence_id", "line_number", "host"]).select("evidence_id", F.lit("HOSTED_ON").alias("relation"), "from_entity", "to_entity").distinct()
+    sender = message_senders(items, facts).select("evidence_id", F.lit("MESSAGE_CONTAINED").alias("relation"), F.col("sender").alias("from_entity"), any_.alias("to_entity"))
+    return hosted.unionByName(sender).unionByName(said(paid_cue, "PAID_TO")).unionByName(said(debit_cue, "DEBITED_FROM"))
+
+
+def judge_proposals(proposals: DataFrame, entities: DataFrame, facts: DataFrame, pairs: DataFrame, cues: DataFrame | None = None) -> DataFrame:
     """``proposal_id, rejection, support``: the first rule that a proposal breaks, null if none; its facts, sorted.
 
     Both ends must be different entities of a pair that the relation allows; each cited item must hold a cited fact of
-    either end; no cited fact may be of anything else. ``proposals``: ``proposal_id, from_entity, relation, to_entity,
+    either end; no cited fact may be of anything else. With ``cues`` (of ``item_cues``) a relation that rests on one must have it
+    in every cited item. ``proposals``: ``proposal_id, from_entity, relation, to_entity,
     evidence_ids, fact_ids``; ``entities``: ``entity_id, field_type``; ``facts``: ``fact_id, evidence_id, entity_id``.
     """
     end = lambda x: entities.select(F.col("entity_id").alias(f"{x}_entity"), F.col("field_type").alias(f"{x}_type"))
@@ -71,6 +97,15 @@ def judge_proposals(proposals: DataFrame, entities: DataFrame, facts: DataFrame,
     own = cited.join(facts, "evidence_id", "left")
     at = lambda x: F.coalesce(F.bool_or((F.col("entity_id") == F.col(f"{x}_entity")) & F.array_contains("fact_ids", F.col("fact_id"))), F.lit(False))
     mine = F.when(F.col("entity_id").isin(F.col("from_entity"), F.col("to_entity")), F.col("fact_id"))
+    if cues is None:
+        cued = cited.withColumn("cued", F.lit(True))
+    else:
+        rests = cited.join(proposals.select("proposal_id", "relation"), "proposal_id")
+        hit = cues.select("evidence_id", "relation", F.col("from_entity").alias("_from"), F.col("to_entity").alias("_to"))
+        fits = F.coalesce(F.col("_from") == F.col("from_entity"), F.lit(True)) & F.coalesce(F.col("_to") == F.col("to_entity"), F.lit(True))
+        held = rests.join(hit, ["evidence_id", "relation"]).where(fits).select("proposal_id", "evidence_id").distinct().withColumn("_held", F.lit(True))
+        cued = rests.join(held, ["proposal_id", "evidence_id"], "left").withColumn("cued", F.col("_held").isNotNull() | ~F.col("relation").isin(*CUED))
+    cued = cued.groupBy("proposal_id").agg(F.bool_and("cued").alias("cued"))
     per = own.groupBy("proposal_id", "evidence_id").agg((at("from") & at("to")).alias("both"), F.collect_set(mine).alias("support"))
     per = per.groupBy("proposal_id").agg(F.bool_and("both").alias("supported"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("support")))).alias("support"))
     rejection = (
@@ -78,9 +113,10 @@ def judge_proposals(proposals: DataFrame, entities: DataFrame, facts: DataFrame,
         .when(F.col("from_entity") == F.col("to_entity"), "SAME_ENTITY")
         .when(F.col("pair").isNull(), "PAIR_NOT_ALLOWED")
         .when(~F.coalesce("supported", F.lit(False)), "UNSUPPORTED_ITEM")
+        .when(~F.coalesce("cued", F.lit(False)), "NO_CUE")
         .when(F.size(F.array_except("fact_ids", "support")) > 0, "FOREIGN_FACT")
     )
-    return ends.join(per, "proposal_id", "left").select("proposal_id", rejection.alias("rejection"), "support")
+    return ends.join(per, "proposal_id", "left").join(cued, "proposal_id", "left").select("proposal_id", rejection.alias("rejection"), "support")
 
 
 def source_reference(fact_lines: DataFrame) -> DataFrame:

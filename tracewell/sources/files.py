@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Limits of an evidence item.
 MAX_BYTES, MAX_PIXELS, MAX_PASTE = 10_485_760, 40_000_000, 20_000
-HEADERS = ("From", "To", "Cc", "Reply-To", "Return-Path", "Date", "Subject", "Message-ID")
+HEADERS = ("From", "To", "Cc", "Reply-To", "Return-Path", "Subject", "Date", "Message-ID")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -7,15 +7,15 @@ as empty. Everything is native but for Unicode forms and entities, which are Arr
 from __future__ import annotations
 
 import html
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import text as T
+from ..functions.hosts import known_ending
 from ..functions.patterns import BARE_HOST, S
+from ..functions.unicode import form_c
 from ..operators.lines import not_blank, split_lines
 from .files import MAX_BYTES, MAX_PASTE, MAX_PIXELS
 
@@ -30,12 +30,6 @@ HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head
 LINK = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode form C."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
@@ -43,7 +37,7 @@ def unescape(text: pd.Series) -> pd.Series:
 
 def canonical_paste(text: Column) -> Column:
     """What a pasted text's fingerprint covers: form C, line feeds only."""
-    return F.regexp_replace(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfc(text)), "\r\n?", "\n")
+    return F.regexp_replace(form_c(text), "\r\n?", "\n")
 
 
 def readable_size(text: Column) -> Column:
@@ -81,7 +75,7 @@ def mail_rejection(text: Column) -> Column:
 def is_pasted_url(text: Column) -> Column:
     """Whether the whole text is a URL, or a bare host with a known ending and perhaps a path."""
     absolute = text.rlike(r"(?i)^https?://[^/?#]+")
-    bare = text.rlike(rf"^(?:{BARE_HOST})$") & T.known_tld(F.lower(F.substring_index(text, "/", 1)))
+    bare = text.rlike(rf"^(?:{BARE_HOST})$") & known_ending(F.lower(F.substring_index(text, "/", 1)))
     return F.coalesce((text != "") & ~text.rlike(S) & (absolute | bare), F.lit(False))
 
 
@@ -93,14 +87,22 @@ def html_text(page: Column) -> Column:
     return F.when(bare.contains("&"), unescape(bare)).otherwise(bare)
 
 
+def html_lines(page: Column) -> Column:
+    """The readable lines of a page, white space collapsed."""
+    return F.transform(not_blank(html_text(page)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+
 def parsed(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (``item_id, line_number, text``) of all items that can be read, and failures (``item_id, failure``) of the others, by kind."""
+    from . import mail
+
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "^\ufeff", "")
     failure = F.when(F.col("kind") == "EML", mail_rejection(F.col("text"))).when(F.col("kind").isin("TEXT", "HTML") & (readable_size(text) < MIN_READABLE), "NO_READABLE_TEXT").when(~F.col("kind").isin("TEXT", "HTML", "URL", "EML"), "TYPE_NOT_SUPPORTED")
     judged = items.select("item_id", "kind", text.alias("text")).withColumn("failure", failure)
     good = judged.where("failure is null")
     one = good.where("kind = 'URL'").select("item_id", F.lit(1).alias("line_number"), F.trim("text").alias("text"))
-    pages = good.where("kind = 'HTML'").select("item_id", html_text(F.col("text")).alias("text"))
-    pages = pages.select("item_id", F.array_join(F.transform(not_blank(F.col("text")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), "\n").alias("text"))
-    plain = good.where("kind in ('TEXT', 'EML')").select("item_id", "text").unionByName(pages)
-    return one.unionByName(split_lines(plain, id_col="item_id").withColumnRenamed("doc_id", "item_id")), judged.where("failure is not null").select("item_id", "failure")
+    pages = good.where("kind = 'HTML'").select("item_id", F.array_join(html_lines(F.col("text")), "\n").alias("text"))
+    plain = good.where("kind = 'TEXT'").select("item_id", "text").unionByName(pages)
+    mails, _, unread = mail.parsed_mail(good.where("kind = 'EML'"), content_col="text")
+    lines = one.unionByName(split_lines(plain, id_col="item_id").withColumnRenamed("doc_id", "item_id"))
+    return lines.unionByName(mails.select("item_id", "line_number", form_c(F.col("text")).alias("text"))), judged.where("failure is not null").select("item_id", "failure").unionByName(unread)
