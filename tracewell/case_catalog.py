@@ -122,11 +122,18 @@ def stated_facts(spark, sf_dir):
 SELECT am AS from_value, tx AS to_value, 'AMOUNT_OF' AS relation, count(*) AS n_docs FROM o GROUP BY ALL UNION ALL SELECT tx, hint, 'DEBITED_FROM', count(*) FROM o GROUP BY ALL""")
 def payment_edges(spark, sf_dir):
     said = messages(spark, sf_dir)
-    found = facts.extract(said, ("AMOUNT", "TRANSACTION", "ACCOUNT_HINT", "UPI_ID"))
-    a = facts.single_pair_edges(found, "AMOUNT", "TRANSACTION", "AMOUNT_OF")
-    b = facts.single_pair_edges(found, "TRANSACTION", "ACCOUNT_HINT", "DEBITED_FROM", facts.debit_cue, said)
-    paid = facts.single_pair_edges(found, "TRANSACTION", "UPI_ID", "PAID_TO", facts.paid_cue, said)  # no line says that somebody was paid
-    return a.unionByName(b).unionByName(paid).select("from_value", "to_value", "relation", "n_docs")
+    return facts.payment_edges(facts.extract(said, ("AMOUNT", "TRANSACTION", "ACCOUNT_HINT", "UPI_ID")), said).select("from_value", "to_value", "relation", "n_docs")
+
+
+@query("""WITH e AS (SELECT event_id AS doc_id, event_id % 3 AS n, lpad(CAST(event_id AS VARCHAR), 8, '0') AS id8, user_id AS u FROM events)
+SELECT 'TX' || id8 AS from_value, 'u' || u || '@okbank' AS to_value, 'PAID_TO' AS relation, count(*) AS n_docs FROM e WHERE n < 2 GROUP BY ALL""")
+def paid_to_edges(spark, sf_dir):
+    """Receipts that name whom was paid, by words or by a label on a receipt; every third names nobody."""
+    n = F.col("event_id") % 3
+    head = F.when(n == 0, "You paid to the shop").when(n == 1, "Payment successful, UPI ID: below").otherwise("Please note")
+    said = F.array(head, F.concat(F.lit("u"), "user_id", F.lit("@okbank")), F.concat(F.lit("Txn ID: TX"), F.lpad(F.col("event_id").cast("string"), 8, "0")))
+    lines_ = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.posexplode(said).alias("line_number", "text"))
+    return facts.payment_edges(facts.extract(lines_, ("TRANSACTION", "UPI_ID")), lines_).where("relation = 'PAID_TO'")
 
 
 @query(SAID + " SELECT 'VM-HDFCBK' AS from_entity, normalized_value AS to_entity, count(DISTINCT doc_id) AS n_items, min(doc_id) AS first_item FROM s WHERE field_type IN ('PHONE', 'URL', 'UPI_ID') GROUP BY ALL")
@@ -230,11 +237,6 @@ def header_names(spark, sf_dir):
 # ---- relations
 
 
-@query("""SELECT relation, count(*) AS n_pairs FROM (SELECT unnest(['HOSTED_ON'] || ['SENT_LINK', 'SENT_LINK', 'SENT_LINK', 'SENT_LINK'] || ['REQUESTED_PAYMENT_TO', 'REQUESTED_PAYMENT_TO', 'REQUESTED_PAYMENT_TO'] || ['PAID_TO', 'AMOUNT_OF', 'DEBITED_FROM', 'CONTACTED_FROM'] || ['MESSAGE_CONTAINED', 'MESSAGE_CONTAINED', 'MESSAGE_CONTAINED', 'MESSAGE_CONTAINED', 'MESSAGE_CONTAINED', 'MESSAGE_CONTAINED']) AS relation) GROUP BY relation""")
-def relation_pairs(spark, sf_dir):
-    return relations.allowed_pairs(spark).groupBy("relation").agg(F.count("*").alias("n_pairs"))
-
-
 KINDS = ("URL", "DOMAIN", "PHONE", "UPI_ID", "TRANSACTION", "AMOUNT")
 PROPOSED = """WITH p AS (SELECT DISTINCT l_orderkey AS proposal_id, l_orderkey % 50 AS a, (l_orderkey // 50) % 50 AS b, ['HOSTED_ON', 'SENT_LINK', 'PAID_TO', 'AMOUNT_OF'][l_orderkey % 4 + 1] AS relation FROM lineitem),
 en AS (SELECT i AS entity_id, ['URL', 'DOMAIN', 'PHONE', 'UPI_ID', 'TRANSACTION', 'AMOUNT'][i % 6 + 1] AS field_type FROM range(50) t(i)),
@@ -276,8 +278,7 @@ def nested_orders(spark, sf_dir):
 
 @query("""SELECT l_partkey, count(DISTINCT l_orderkey) AS n_items, min(l_orderkey) AS first_item, max(l_orderkey) AS last_item FROM lineitem GROUP BY l_partkey""")
 def appears_in(spark, sf_dir):
-    found = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("own"))
-    return found.select("l_partkey", F.size("own").cast("bigint").alias("n_items"), F.element_at("own", 1).alias("first_item"), F.element_at("own", -1).alias("last_item"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_items"), F.min("l_orderkey").alias("first_item"), F.max("l_orderkey").alias("last_item"))
 
 
 # ---- steps, states, deletes, updates

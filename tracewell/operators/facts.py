@@ -7,7 +7,7 @@ value; edges relate entities that one document supports and keep the supporting
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -133,6 +133,20 @@ def single_pair_edges(facts: DataFrame, left: str, right: str, relation: str, cu
     return per.groupBy("from_value", "to_value").agg(F.count("*").alias("n_docs")).withColumn("relation", F.lit(relation))
 
 
+def payment_edges(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """AMOUNT_OF, DEBITED_FROM and PAID_TO edges with the number of their documents, from one pass over the facts of each document.
+
+    A document gives an edge if it has exactly one entity of either end and, but for AMOUNT_OF, words that say so.
+    """
+    one = lambda kind: F.when(F.count_distinct(F.when(F.col("field_type") == kind, F.col("normalized_value"))) == 1, F.max(F.when(F.col("field_type") == kind, F.col("normalized_value"))))
+    per = facts.where("normalized_value is not null").groupBy("doc_id").agg(*[one(k).alias(k) for k in ("AMOUNT", "TRANSACTION", "ACCOUNT_HINT", "UPI_ID")]).where("TRANSACTION is not null")
+    said = lines.join(per.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    cued = said.select("doc_id", paid_cue(F.col("text")).alias("paid"), debit_cue(F.col("text")).alias("debited"))
+    edge = lambda a, b, name, test: F.when(F.col(a).isNotNull() & F.col(b).isNotNull() & test, F.struct(F.col(a).alias("from_value"), F.col(b).alias("to_value"), F.lit(name).alias("relation")))
+    every = F.array_compact(F.array(edge("AMOUNT", "TRANSACTION", "AMOUNT_OF", F.lit(True)), edge("TRANSACTION", "ACCOUNT_HINT", "DEBITED_FROM", F.col("debited")), edge("TRANSACTION", "UPI_ID", "PAID_TO", F.col("paid"))))
+    return per.join(cued, "doc_id").select(F.inline(every)).groupBy("from_value", "to_value", "relation").agg(F.count("*").alias("n_docs"))
+
+
 def paid_cue(text):
     return text.rlike(P.PAYEE_CUE) | (text.rlike(P.UPI_CUE) & text.rlike(P.RECEIPT_CUE))
 
@@ -153,12 +167,6 @@ def merge_edges(found: DataFrame) -> DataFrame:
     return found.groupBy("from_value", "relation", "to_value").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
-def nearest_date(facts: DataFrame) -> DataFrame:
-    """For each fact the last DATE before it in its document."""
-    before = Window.partitionBy("doc_id").orderBy("line_number", "start").rowsBetween(Window.unboundedPreceding, -1)
-    return facts.withColumn("date_context", F.last(F.when(F.col("field_type") == "DATE", F.col("normalized_value")), ignorenulls=True).over(before))
-
-
 def validate(proposed: DataFrame, lines: DataFrame) -> DataFrame:
     """Proposed facts (``doc_id, line_number, field_type, raw_value``) with ``rejection``: the first rule that one breaks, null if none.
 

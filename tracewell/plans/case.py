@@ -63,6 +63,30 @@ def without_own_line(facts: DataFrame, fact_lines: DataFrame, lines: DataFrame)
     return facts.join(good, "fact_id", "left_anti")
 
 
+def attach_sources(owners: DataFrame, refs: DataFrame, extractions: DataFrame, statements: DataFrame, evidence: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source rows (``owner_id, ref_kind, ref_id, line_id, ordinal``) of the owners whose references are all sound, and what is wrong with the others (``owner_id, violation``).
+
+    An owner needs a reference; an entity's are user statements only; a reference is of the owner's case; a cited line is of the
+    cited evidence. One bad reference is enough to attach none. ``owners``: ``owner_id, owner_kind, case_id``; ``refs``: ``owner_id,
+    ordinal, ref_kind`` (EXTRACTION, USER_STATEMENT or EVIDENCE), ``ref_id, line_id``; the tables that are cited: ``case_id`` and their own id
+    (``extraction_id``, ``statement_id``, ``evidence_id``; lines also ``line_id``). Repeated references count once.
+    """
+    of = lambda rows, key, kind: rows.select(F.lit(kind).alias("ref_kind"), F.col(key).alias("ref_id"), F.col("case_id").alias("ref_case"))
+    known = of(extractions, "extraction_id", "EXTRACTION").unionByName(of(statements, "statement_id", "USER_STATEMENT")).unionByName(of(evidence, "evidence_id", "EVIDENCE")).distinct()
+    places = lines.select(F.lit("EVIDENCE").alias("ref_kind"), F.col("evidence_id").alias("ref_id"), "line_id", F.lit(True).alias("own_line")).distinct()
+    asked = owners.join(refs, "owner_id", "left").join(known.withColumnRenamed("ref_case", "case_id").withColumn("found", F.lit(True)), ["ref_kind", "ref_id", "case_id"], "left").join(places, ["ref_kind", "ref_id", "line_id"], "left")
+    wrong = (
+        F.when(F.col("ref_kind").isNull(), "NO_SOURCE")
+        .when((F.col("owner_kind") == "entity") & (F.col("ref_kind") != "USER_STATEMENT"), "ENTITY_NEEDS_STATEMENT")
+        .when(F.col("found").isNull(), "FOREIGN_SOURCE")
+        .when((F.col("ref_kind") == "EVIDENCE") & F.col("line_id").isNotNull() & F.col("own_line").isNull(), "FOREIGN_LINE")
+    )
+    judged = asked.withColumn("violation", wrong)
+    violations = judged.where("violation is not null").select("owner_id", "violation").distinct()
+    links = judged.join(violations.select("owner_id").distinct(), "owner_id", "left_anti").groupBy("owner_id", "ref_kind", "ref_id", "line_id").agg(F.min("ordinal").alias("ordinal"))
+    return links, violations
+
+
 def verify_integrity(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """MATCH, MISMATCH or COULD_NOT_COMPLETE for each item, by the hash of its bytes."""
     found = files.select("evidence_id", F.sha2("content", 256).alias("found"))

@@ -15,7 +15,7 @@ def decide(times: list[int], limit: int, window: int, held: list[int]) -> tuple[
         while held and held[0] <= t - window:
             held.pop(0)
         allowed.append(len(held) < limit)
-        wait.append(0 if allowed[-1] else max(1, ceil((held[0] + window - t) / 1e6)))
+        wait.append(0 if allowed[-1] else max(1, ceil(((held[0] if held else t) + window - t) / 1e6)))
         if allowed[-1]:
             held.append(t)
     return allowed, wait, held
@@ -51,6 +51,11 @@ def limit_events(events: DataFrame, key: str, ts: str, order: str, limit: int, w
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, wait_s long")
 
 
+def refreshes(seen: DataFrame, key: str, ts: str, order: str, seconds: int = 60) -> DataFrame:
+    """The events of a session that renew its last-seen time: the first, and each that comes ``seconds`` or more after the last renewal."""
+    return limit_events(seen, key, ts, order, 1, seconds).where("allowed").select(key, order)
+
+
 def limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s: int, late: str = "1 minute") -> DataFrame:
     """The same for a stream, with the window's times as state; events of a micro-batch are taken in time order.
 
@@ -70,7 +75,7 @@ def limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, w
         held = list(state.get[0]) if state.exists else []
         own["allowed"], own["wait_s"], held = decide(own["t"].tolist(), limit, window_s * 1_000_000, held)
         state.update((held,))
-        state.setTimeoutTimestamp(max(held[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((held[-1] if held else 0) // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield own[[key, order, "allowed", "wait_s"]]
 
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, wait_s long"
