@@ -134,7 +134,9 @@ def test_urls(spark):
         "ftp://a.example/": None,
         "a.example/x#y": "https://a.example/x",
         "https://1.2.3.4/x": "https://1.2.3.4/x",
-        "https://a.unknowntld/": None,
+        "https://a.unknowntld/": "https://a.unknowntld/",
+        "a.unknowntld/": None,
+        "https://localhost/": None,
     }
     assert column(spark, list(cases), T.normal_url) == list(cases.values())
     assert column(spark, ["INR 8500.00", "INR 0.05"], T.amount_minor) == [850000, 5]

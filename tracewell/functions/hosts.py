@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Every two ASCII letters are a country's ending or kept for one; longer endings in wide use are listed. Others are kept apart as not known.
 COUNTRY = r"^[a-z]{2}$"
@@ -62,14 +62,16 @@ def _host_to_ascii(host: str | None) -> str | None:
     return None if labels is None or None in labels else ".".join(labels)
 
 
-@F.pandas_udf(StringType())
-def _to_ascii(hosts: pd.Series) -> pd.Series:
-    return hosts.map(_host_to_ascii)
+def both_forms(hosts: pd.Series) -> pd.DataFrame:
+    """A host as it is looked up, and as it is read; null where it can't be either."""
+    ascii_ = hosts.map(_host_to_ascii)
+    read = ascii_.map(lambda h: None if h is None else ".".join(map(label_to_unicode, h.split("."))))
+    return pd.DataFrame({"ascii": ascii_, "read": read})
 
 
-@F.pandas_udf(StringType())
-def _to_unicode(hosts: pd.Series) -> pd.Series:
-    return hosts.map(lambda h: None if h is None else ".".join(map(label_to_unicode, h.split("."))))
+FORMS = StructType([StructField("ascii", StringType()), StructField("read", StringType())])
+#: Marked as not deterministic, so that filters on its results don't move below it and make it, and the facts, once more.
+_both_forms = F.pandas_udf(both_forms, FORMS).asNondeterministic()
 
 
 def international(facts: DataFrame) -> DataFrame:
@@ -81,11 +83,11 @@ def international(facts: DataFrame) -> DataFrame:
     value, kind = F.col("normalized_value"), F.col("field_type")
     host = F.when(kind == "URL", F.regexp_extract(value, r"^[a-z]+://([^/?#:]+)", 1)).when(kind == "DOMAIN", value)
     some = facts.withColumn("_host", F.when(host.rlike(r"(?i)[^\x00-\x7F]|(?:^|\.)xn--"), host))
-    some = some.withColumn("_ascii", _to_ascii("_host")).withColumn("_read", _to_unicode("_ascii"))
+    some = some.withColumn("_forms", _both_forms("_host")).withColumn("_ascii", F.col("_forms.ascii")).withColumn("_read", F.col("_forms.read"))
     url = F.concat(F.regexp_extract(value, r"^([a-z]+://)", 1), F.col("_ascii"), F.regexp_extract(value, r"^[a-z]+://[^/?#:]+(.*)$", 1))
     canonical = F.when(F.col("_host").isNull(), value).when(kind == "URL", url).otherwise(F.col("_read"))
     code = F.when((kind == "DOMAIN") & (F.col("_read") != F.col("_ascii")), F.col("_ascii"))
-    return some.withColumn("normalized_value", canonical).withColumn("punycode", code).drop("_host", "_ascii", "_read")
+    return some.withColumn("normalized_value", canonical).withColumn("punycode", code).drop("_host", "_forms", "_ascii", "_read")
 
 
 def registrable(hosts: DataFrame, rules: DataFrame) -> DataFrame:

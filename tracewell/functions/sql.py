@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import patterns as P
-from .hosts import _host_to_ascii, _to_unicode, label_to_ascii  # noqa: F401
+from .hosts import both_forms
 from .temporal import TEMPORAL
 from .unicode import _form_c
 
@@ -63,13 +63,18 @@ class ExtractEntities:
 
 
 @F.pandas_udf(StringType())
-def _domain_ascii(hosts):
-    return hosts.map(_host_to_ascii)
+def _ascii(hosts):
+    return both_forms(hosts)["ascii"]
+
+
+@F.pandas_udf(StringType())
+def _readable(hosts):
+    return both_forms(hosts)["read"]
 
 
 def register(spark: SparkSession) -> None:
     """Give the session ``extract_entities(text)``, ``form_c(text)``, ``idn_to_ascii(host)`` and ``idn_to_unicode(host)``."""
     spark.udtf.register("extract_entities", F.udtf(ExtractEntities, returnType=FOUND))
     spark.udf.register("form_c", _form_c)
-    spark.udf.register("idn_to_ascii", _domain_ascii)
-    spark.udf.register("idn_to_unicode", _to_unicode)
+    spark.udf.register("idn_to_ascii", _ascii)
+    spark.udf.register("idn_to_unicode", _readable)

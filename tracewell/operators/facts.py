@@ -17,6 +17,10 @@ from ..functions.temporal import TEMPORAL
 from ..functions.temporal import normalize as normal_time
 
 
+#: What every type's matches hold some of: a line without any is looked at once.
+SOME_FACT = r"[0-9@:/]|ebited|[A-Za-z0-9]\.[A-Za-z]{2}|[A-Z]{2}-"
+
+
 def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Every match of the given types, or of all, in one pass over the lines."""
     text = F.col("text")
@@ -70,7 +74,7 @@ def candidates(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
         ({"SMS_SENDER_HEADER"}, sender.rlike(P.SMS_SENDER), lambda: of("SMS_SENDER_HEADER", F.array(F.struct(sender.alias("value"), (F.instr(text, sender) - 1).alias("start"), (F.instr(text, sender) - 1 + F.length(sender)).alias("end"))))),
     ]
     found = F.concat(*[F.when(test, make()).otherwise(of("", none)) for kind, test, make in parts if kinds is None or kind & set(kinds)])
-    return lines.select("doc_id", "line_number", F.inline(found))
+    return lines.where(text.rlike(SOME_FACT)).select("doc_id", "line_number", F.inline(found))
 
 
 def unlisted_hosts(lines: DataFrame) -> DataFrame:
@@ -117,10 +121,14 @@ def entities(facts: DataFrame) -> DataFrame:
 
 
 def hosted_on(facts: DataFrame) -> DataFrame:
-    """URL to DOMAIN where both are on one line and the domain is the URL's host: edges with supporting documents."""
-    url = facts.where("field_type = 'URL' and normalized_value is not null").select("doc_id", "line_number", F.col("normalized_value").alias("url"), T.url_host(F.col("normalized_value")).alias("looked_up"))
-    domain = facts.where("field_type = 'DOMAIN'").select("doc_id", "line_number", F.col("normalized_value").alias("host"), F.coalesce("punycode", "normalized_value").alias("looked_up")).distinct()
-    return url.join(domain, ["doc_id", "line_number", "looked_up"]).groupBy("url", "host").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """URL to DOMAIN where both are on one line and the domain is the URL's host: edges with supporting documents. A line's facts meet, nothing larger."""
+    value, kind = F.col("normalized_value"), F.col("field_type")
+    looked_up = F.when(kind == "URL", T.url_host(value)).otherwise(F.coalesce("punycode", value))
+    some = facts.where(kind.isin("URL", "DOMAIN") & value.isNotNull()).select("doc_id", "line_number", kind, F.struct(value.alias("value"), looked_up.alias("at")).alias("own"))
+    of = lambda name: F.collect_set(F.when(F.col("field_type") == name, F.col("own")))
+    per = some.groupBy("doc_id", "line_number").agg(of("URL").alias("urls"), of("DOMAIN").alias("domains")).where((F.size("urls") > 0) & (F.size("domains") > 0))
+    pairs = per.select("doc_id", F.explode("urls").alias("from_"), "domains").select("doc_id", F.col("from_.value").alias("url"), F.explode(F.filter("domains", lambda d: d["at"] == F.col("from_.at"))).alias("domain"))
+    return pairs.groupBy("url", F.col("domain.value").alias("host")).agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def single_pair_edges(facts: DataFrame, left: str, right: str, relation: str, cue=None, lines: DataFrame | None = None) -> DataFrame:

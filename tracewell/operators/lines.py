@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.patterns import OTP_CUE, PHONE_LIKE, S
+from ..functions.patterns import NOT_S, OTP_CUE, PHONE_LIKE
 from ..functions.unicode import form_c
 
 MAX_LINE = 1000
@@ -27,16 +27,21 @@ def segments(line: Column) -> Column:
     return F.transform(pieces, lambda p, i: F.when(i < last, F.regexp_replace(p, r"(?U)\s$", "")).otherwise(p))
 
 
+def is_long(line: Column) -> Column:
+    """Whether a line has to be cut; bytes, which need no counting, rule most lines out."""
+    return (F.octet_length(line) > MAX_LINE) & (F.length(line) > MAX_LINE)
+
+
 def not_blank(text: Column) -> Column:
     """The lines of a text that hold more than white space, at their full length."""
-    ends = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    return F.filter(F.split(ends, "\n"), lambda x: F.regexp_replace(x, S, "") != "")
+    ends = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(F.coalesce(text, F.lit("")))
+    return F.filter(F.split(ends, "\n"), lambda x: x.rlike(f"{NOT_S}]"))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_number, text`` in Unicode form C."""
     some = not_blank(form_c(F.col(text_col)))
-    cut = F.flatten(F.transform(some, lambda x: F.when(F.length(x) > MAX_LINE, segments(x)).otherwise(F.array(x))))
+    cut = F.flatten(F.transform(some, lambda x: F.when(is_long(x), segments(x)).otherwise(F.array(x))))
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("line_number", "text")).withColumn("line_number", F.col("line_number") + 1)
 
 
@@ -65,4 +70,6 @@ def redact(lines: DataFrame) -> DataFrame:
         return F.struct(F.concat(out, token(s["kind"])).alias("out"), s["end"].alias("at"), F.concat(a["found"], F.array(hit)).alias("found"))
 
     done = F.aggregate("spans", zero, step, lambda a: F.struct(F.concat(a["out"], F.substr("text", a["at"] + 1)).alias("text"), a["found"].alias("detections")))
+    as_it_is = F.struct(F.col("text"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("detections"))
+    done = F.when(F.size("spans") > 0, done).otherwise(as_it_is)
     return lines.withColumn("spans", spans).withColumn("done", done).drop("text", "spans").select("*", "done.text", "done.detections").drop("done")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lines import MAX_LINE, not_blank, segments
+from ..operators.lines import is_long, not_blank, segments
 from .files import HEADERS
 from .items import html_lines
 
@@ -89,7 +89,7 @@ def parsed_mail(mails: DataFrame, id_col: str = "item_id", content_col: str = "c
     headers = F.array_sort(F.collect_list(F.when(F.col("kind") == "HEADER", F.struct("part", "name", "text"))))
     own = parts.where("kind in ('HEADER', 'PLAIN', 'HTML')").groupBy("item_id").agg(headers.alias("headers"), plain.alias("plain"), html.alias("html"))
     body = F.when(F.col("plain").isNotNull(), not_blank(F.col("plain"))).otherwise(html_lines(F.col("html")))
-    cut = F.flatten(F.transform(body, lambda x: F.when(F.length(x) > MAX_LINE, segments(x)).otherwise(F.array(x))))
+    cut = F.flatten(F.transform(body, lambda x: F.when(is_long(x), segments(x)).otherwise(F.array(x))))
     line = lambda location, name, text: F.struct(F.lit(location).alias("location"), name.alias("header_name"), text.alias("text"))
     every = F.concat(F.transform("headers", lambda h: line("EMAIL_HEADER", h["name"], h["text"])), F.transform(cut, lambda x: line("EMAIL_BODY_LINE", F.lit(None).cast("string"), x)))
     lines = own.select("item_id", F.posexplode(every).alias("line_number", "line")).select("item_id", (F.col("line_number") + 1).alias("line_number"), "line.location", "line.header_name", "line.text")
