@@ -264,3 +264,22 @@ def test_files_over_the_limit_and_replaced_partitions(spark, tmp_path, monkeypat
 @pytest.mark.parametrize("value,want", [(0.85, "HIGH"), (0.849, "MEDIUM"), (0.6, "MEDIUM"), (0.59, "LOW")])
 def test_bands(spark, value, want):
     assert spark.range(1).select(T.confidence_band(F.lit(value)).alias("b")).first().b == want
+
+
+def test_constraints_at_and_over_their_limits(spark):
+    from tracewell.plans import constraints
+
+    base = dict(item=1, sequence_no=1, evidence_type="PDF", paste_kind=None, label="x" * 100, original_filename="f" * 255, byte_size=10_485_760, text_char_count=None, page_count=20, image_width=None, image_height=None, sha256="a" * 64, uploaded_at="now", processing_status="PROCESSED", failure_code=None, failure_retryable=None, detected_content_type="application/pdf")
+    schema = "item int, sequence_no int, evidence_type string, paste_kind string, label string, original_filename string, byte_size long, text_char_count int, page_count int, image_width int, image_height int, sha256 string, uploaded_at string, processing_status string, failure_code string, failure_retryable boolean, detected_content_type string"
+    changes = [{}, {"sequence_no": 21}, {"label": "x" * 101}, {"byte_size": 10_485_761}, {"page_count": 21}, {"sha256": "A" * 64}, {"sha256": None, "uploaded_at": None}, {"failure_code": "X"}, {"processing_status": "FAILED", "failure_code": "PDF_NO_TEXT_LAYER", "failure_retryable": True}, {"evidence_type": "PNG", "page_count": None, "image_width": 8000, "image_height": 5001}, {"evidence_type": "URL", "paste_kind": "TEXT", "page_count": None, "text_char_count": 5, "original_filename": None}, {"detected_content_type": "text/html"}]
+    rows = [tuple((base | c | {"item": n})[k.split()[0]] for k in schema.split(", ")) for n, c in enumerate(changes)]
+    got = {}
+    for r in constraints.check(spark.createDataFrame(rows, schema), "evidence_items", "item").collect():
+        got.setdefault(r.item, set()).add(r.failed_check)
+    assert got == {1: {"sequence_no_range"}, 2: {"label_length"}, 3: {"byte_size_range"}, 4: {"page_count_range"}, 5: {"sha256_format"}, 6: {"sha256_with_processing_status"}, 7: {"failure_code_with_processing_status"}, 8: {"no_text_layer_is_final"}, 9: {"pixels"}, 10: {"url_is_pasted_as_url"}, 11: {"content_type_once_loaded"}}
+    sources = spark.createDataFrame([(1, "EXTRACTION", 5, None, None, 1, 1), (2, "EXTRACTION", None, 5, None, 1, 0), (3, "EVIDENCE", None, 5, 1, None, 1)], "k int, ref_kind string, extraction_id int, evidence_id int, entity_id int, relationship_id int, ordinal int")
+    for name in ("timeline_event_id", "scam_signal_id", "missing_info_item_id", "action_item_id", "urgency_reason_id"):
+        sources = sources.withColumn(name, F.lit(None).cast("int"))
+    both = constraints.check_all({"fact_sources": (sources, "k"), "sessions": (spark.createDataFrame([(1, 2, 2)], "k int, created_at int, expires_at int"), "k")})
+    assert rows_of(both) == sorted([("fact_sources", "2", "extraction_id_with_ref_kind"), ("fact_sources", "2", "evidence_id_with_ref_kind"), ("fact_sources", "2", "ordinal_range"), ("fact_sources", "3", "entity_id_only_with_ref_kind"), ("sessions", "1", "created_at_before_expires_at")], key=repr)
+    assert sum(map(len, constraints.RULES.values())) > 60 and constraints.check(sources.limit(0), "fact_sources", "k").count() == 0

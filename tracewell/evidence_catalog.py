@@ -17,7 +17,7 @@ from .catalog import URL_SQL
 from .functions import hosts, sql
 from .functions import text as T
 from .operators import facts, lines, relations, sketches
-from .plans import analysis, case, graph, rules
+from .plans import analysis, case, constraints, graph, lifecycle, rules
 from .sources import items, layout, mail
 from .streaming import limiter
 
@@ -433,3 +433,81 @@ def analyzed_pages(spark, sf_dir):
     analysis.analyze(pages.where("doc_id % 2 = 0"), store)
     found, _ = analysis.analyze(pages, store)
     return found["entities"].select("field_type", "canonical_value", "n_facts", "n_docs")
+
+
+# ---- constraints, overviews, edges of a run, formats
+
+
+@query("""WITH e AS (SELECT doc_id, doc_id % 22 AS sequence_no, CASE WHEN doc_id % 3 = 0 THEN 'TEXT' ELSE 'PDF' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 'UPLOADING' WHEN doc_id % 5 = 1 THEN 'FAILED' ELSE 'PROCESSED' END AS status, length(text) AS n, CASE WHEN doc_id % 7 > 0 THEN sha256(text) WHEN doc_id % 2 = 0 THEN 'no hash' END AS sha, doc_id % 25 AS pages, CASE WHEN doc_id % 4 = 0 THEN 'PDF_NO_TEXT_LAYER' END AS code, doc_id % 8 = 0 AS again FROM documents)
+SELECT doc_id, failed_check FROM (SELECT doc_id, unnest([CASE WHEN sequence_no NOT BETWEEN 1 AND 20 THEN 'sequence_no_range' END, CASE WHEN kind = 'TEXT' AND n NOT BETWEEN 1 AND 20000 THEN 'text_char_count_range' END, CASE WHEN pages NOT BETWEEN 1 AND 20 THEN 'page_count_range' END, CASE WHEN sha = 'no hash' THEN 'sha256_format' END, CASE WHEN (sha IS NULL) = (status <> 'UPLOADING') THEN 'sha256_with_processing_status' END,
+ CASE WHEN kind = 'TEXT' OR status = 'UPLOADING' THEN 'pages_of_files' END, CASE WHEN (code IS NOT NULL) <> (status = 'FAILED') THEN 'failure_code_with_processing_status' END, CASE WHEN status <> 'FAILED' THEN 'failure_retryable_with_processing_status' END, CASE WHEN code IS NOT NULL AND again THEN 'no_text_layer_is_final' END]) AS failed_check FROM e) WHERE failed_check IS NOT NULL""")
+def evidence_constraints(spark, sf_dir):
+    """Documents as stored items, against all rules for such."""
+    d = F.col("doc_id")
+    status = F.when(d % 5 == 0, "UPLOADING").when(d % 5 == 1, "FAILED").otherwise("PROCESSED")
+    kind = F.when(d % 3 == 0, "TEXT").otherwise("PDF")
+    rows = read(spark, sf_dir, "documents").select("doc_id", (d % 22).alias("sequence_no"), kind.alias("evidence_type"), status.alias("processing_status"), F.when(kind == "TEXT", F.length("text")).alias("text_char_count"), F.when(d % 7 > 0, F.sha2(F.col("text").cast("binary"), 256)).when(d % 2 == 0, "no hash").alias("sha256"), (d % 25).alias("page_count"), F.when(d % 4 == 0, "PDF_NO_TEXT_LAYER").alias("failure_code"), (d % 8 == 0).alias("failure_retryable"))
+    return constraints.check(rows, "evidence_items", "doc_id")
+
+
+@query("""WITH e AS (SELECT o_custkey AS c, count(*) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS failed FROM orders GROUP BY 1),
+r AS (SELECT o_custkey AS c, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1),
+p AS (SELECT l_suppkey AS c, l_orderkey AS v, CASE WHEN max(l_linenumber) % 2 = 0 THEN 'GENERATED' ELSE 'INVALIDATED' END AS status FROM lineitem GROUP BY 1, 2),
+q AS (SELECT c, max(v) AS latest, arg_max(status, v) AS latest_status, max(v) FILTER (WHERE status = 'GENERATED') AS current FROM p GROUP BY c)
+SELECT c_custkey AS case_id, coalesce(total, 0) AS evidence_total, coalesce(failed, 0) AS evidence_failed, run AS latest_run_id, CASE WHEN run % 4 < 2 THEN 'STEP ' || run % 4 END AS failed_step, latest AS latest_report_version, latest_status AS latest_report_status, current AS current_report_version, coalesce(current % 5 > 0, false) AS has_active_confirmation, CASE WHEN c_custkey % 2 = 0 THEN 'HIGH' END AS urgency_level, c_custkey % 2 = 0 AND c_custkey % 3 = 0 AS urgency_out_of_date
+FROM customer LEFT JOIN e ON e.c = c_custkey LEFT JOIN r ON r.c = c_custkey LEFT JOIN q ON q.c = c_custkey""")
+def case_overviews(spark, sf_dir):
+    """Customers as cases with evidence, runs, reports, confirmations and urgency."""
+    c, o, l = (read(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
+    k, key = F.col("c_custkey"), F.col("o_orderkey")
+    cases = c.select(k.alias("case_id"), F.when(k % 3 == 0, "EXTRACTED").otherwise("ACTIONS_READY").alias("status"))
+    evidence = o.select(F.col("o_custkey").alias("case_id"), F.when(key % 3 == 0, "FAILED").otherwise("PROCESSED").alias("processing_status"))
+    runs = o.select(F.col("o_custkey").alias("case_id"), key.alias("run_id"), F.lit("FAILED").alias("status"), F.col("o_orderdate").alias("created_at"), (key % 4).alias("failed_step_id"))
+    steps = o.select((key % 2).alias("step_id")).distinct().withColumn("step_name", F.concat(F.lit("STEP "), F.col("step_id").cast("string")))
+    reports = l.groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_orderkey").alias("version")).agg(F.when(F.max("l_linenumber") % 2 == 0, "GENERATED").otherwise("INVALIDATED").alias("status")).withColumn("report_id", F.concat_ws("-", "case_id", "version"))
+    confirmed = reports.select("report_id", F.when(F.col("version") % 5 == 0, "2026-01-01").alias("voided_at"))
+    urgency = c.select(k.alias("case_id"), F.lit("HIGH").alias("level"), (k % 2 == 0).alias("is_current"))
+    entities = c.select(k.alias("case_id"), F.lit("URL").alias("field_type")).limit(0)
+    out = case.full_overview(cases, evidence, runs, entities, steps, reports, confirmed, urgency)
+    return out.select("case_id", "evidence_total", "evidence_failed", "latest_run_id", "failed_step", "latest_report_version", "latest_report_status", "current_report_version", "has_active_confirmation", "urgency_level", "urgency_out_of_date")
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey % 10 AS c, l_partkey AS a, l_suppkey AS b, l_orderkey AS s FROM lineitem WHERE l_linenumber < 4), n AS (SELECT DISTINCT l_suppkey % 10 AS c, l_partkey AS a, l_suppkey AS b, l_orderkey AS s FROM lineitem WHERE l_linenumber > 2),
+e AS (SELECT DISTINCT c, a, b FROM n), o AS (SELECT DISTINCT c, a, b FROM p)
+SELECT c AS case_id, (SELECT count(*) FROM e WHERE e.c = x.c) AS edges, (SELECT count(*) FROM (SELECT * FROM e EXCEPT SELECT * FROM o) d WHERE d.c = x.c) AS created, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM e) d WHERE d.c = x.c) AS stale, (SELECT count(*) FROM n WHERE n.c = x.c) AS sources,
+ (SELECT count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM p) d WHERE d.c = x.c) AS added, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM n) d WHERE d.c = x.c) AS removed FROM (SELECT DISTINCT c FROM e UNION SELECT DISTINCT c FROM o) x""")
+def synced_edges(spark, sf_dir):
+    """Edges of parts and suppliers before and after a run that reads other lines."""
+    l = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("case_id"), F.col("l_partkey").alias("from_value"), F.lit("HOSTED_ON").alias("relation"), F.col("l_suppkey").alias("to_value"), F.array("l_orderkey").alias("source_ids"), "l_linenumber")
+    before = l.where("l_linenumber < 4").groupBy("case_id", "from_value", "relation", "to_value").agg(F.array_distinct(F.flatten(F.collect_list("source_ids"))).alias("source_ids"))
+    _, changes, summary = facts.synced_edges(before, l.where("l_linenumber > 2"), "run 2")
+    moved = changes.groupBy("case_id").agg(F.count_if(F.col("change") == "ADD").alias("added"), F.count_if(F.col("change") == "REMOVE").alias("removed"))
+    return summary.join(moved, "case_id")
+
+
+VALUES = (("PHONE", "98765 43210"), ("PHONE", "12345"), ("AMOUNT", "Rs. 1,234.50"), ("AMOUNT", "1,234.50"), ("EMAIL", "a.b@c.example"), ("EMAIL", "a@b"), ("UPI_ID", "ab@okbank."), ("UPI_ID", "a@okbank"), ("TRANSACTION", "AB12 3456 78"), ("TRANSACTION", "ABCDEFGHIJ"), ("ACCOUNT_HINT", "XX1234"), ("ACCOUNT_HINT", "1234"), ("SMS_SENDER_HEADER", "vm-hdfcbk"), ("SMS_SENDER_HEADER", "VMHDFC"), ("MESSAGING_HANDLE", "@agent_7"), ("MESSAGING_HANDLE", "agent"), ("PERSON", "Asha  Rao"), ("PERSON", "R2 D2"), ("DOMAIN", "bücher.example"), ("DOMAIN", "a.unlisted"), ("URL", "https://a.example/x"), ("URL", "https://a.example/x."))
+
+
+@query(f"""SELECT l_orderkey * 10 + l_linenumber AS fact_id, count(*) AS n, CAST(sum(CASE WHEN l_partkey % {len(VALUES)} % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid FROM lineitem GROUP BY 1""")
+def format_checks(spark, sf_dir):
+    """Values of all types by turns, every other one of which has its type's form."""
+    at = (F.col("l_partkey") % len(VALUES) + 1).cast("int")
+    pick = lambda n: F.element_at(F.array(*[F.lit(v[n]) for v in VALUES]), at)
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), pick(0).alias("kind"), pick(1).alias("raw"))
+    return rows.withColumn("ok", T.valid_format(F.col("kind"), F.col("raw"))).groupBy("fact_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_valid"))
+
+
+@query("""SELECT event_id, event_id AS fact_id FROM events WHERE event_id % 3 = 0 AND event_id % 160 + 1 <= 80""")
+def typed_attachments(spark, sf_dir):
+    """An event's fragment takes an amount within eighty characters that is told of an event of its type."""
+    i = F.col("event_id")
+    e = read(spark, sf_dir, "events")
+    fragments = e.select("event_id", i.alias("doc_id"), F.lit(1).alias("line_number"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("PAYMENT_INITIATED").alias("event_type"))
+    start = (i % 160 + 1).cast("int")
+    told = e.select(i.alias("fact_id"), i.alias("doc_id"), F.lit(1).alias("line_number"), F.lit("AMOUNT").alias("field_type"), start.alias("start"), (start + 5).alias("end"), F.when(i % 3 == 0, "PAYMENT_INITIATED").otherwise("CALL").alias("event_type"))
+    return lifecycle.attached(fragments, told).select("event_id", "fact_id")
+
+
+@query(ORACLE_SQL["redacted_cards"].replace("SELECT doc_id, count(*) AS n_cards", "SELECT doc_id, 'CARD_NUMBER' AS kind, count(*) AS n, 'redact-v1' AS version"))
+def stamped_detections(spark, sf_dir):
+    return lines.detection_counts(lines.redact(lines.split_lines(read(spark, sf_dir, "documents")))).where("kind = 'CARD_NUMBER'")

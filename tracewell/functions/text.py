@@ -115,6 +115,27 @@ def normalize(kind: Column, raw: Column) -> Column:
     )
 
 
+def valid_format(kind: Column, raw: Column) -> Column:
+    """Whether a whole value has its type's form; times are ``temporal.normalize``'s."""
+    bare = F.regexp_replace(raw, r"[\s\-().]", "")
+    whole = lambda pattern: raw.rlike(f"^(?:{pattern})$")
+    name = F.regexp_replace(F.trim(raw), f"{P.S}+", " ").rlike(r"^\p{L}[\p{L}\p{M} .'&-]{0,79}$")
+    return F.coalesce(
+        F.when(kind == "PHONE", bare.rlike(r"^(?:(?:\+91|91|0)?[6-9]\d{9}|\+\d{8,15})$"))
+        .when(kind == "URL", normal_url(raw).isNotNull() & (strip_url_tail(raw) == raw))
+        .when(kind == "DOMAIN", known_ending(raw) & raw.rlike(r"(?i)^(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+[\p{L}\p{M}\p{N}-]{2,63}$"))
+        .when(kind == "EMAIL", whole(P.EMAIL))
+        .when(kind == "UPI_ID", F.regexp_replace(raw, r"^\W+|\W+$", "").rlike(r"^[A-Za-z0-9._-]{2,}@[A-Za-z][A-Za-z0-9]+$"))
+        .when(kind == "TRANSACTION", F.regexp_replace(raw, f"{P.S}+", "").rlike(r"^(?=.*\d)[A-Za-z0-9]{8,22}$"))
+        .when(kind == "AMOUNT", whole(P.AMOUNT))
+        .when(kind == "ACCOUNT_HINT", raw.rlike(r"^[Xx*]{2,}\d{3,4}$|^(?i:ending\s+(?:in\s+)?\d{4})$"))
+        .when(kind == "SMS_SENDER_HEADER", F.upper(raw).rlike(P.SMS_SENDER))
+        .when(kind == "MESSAGING_HANDLE", whole(P.HANDLE))
+        .when(kind.isin("PERSON", "BANK_OR_WALLET"), name),
+        F.lit(False),
+    )
+
+
 def amount_minor(canonical: Column) -> Column:
     """Minor units of ``INR 123.45``."""
     return F.regexp_replace(canonical, r"[^\d]", "").cast("decimal(38,0)").cast("bigint")

@@ -175,6 +175,24 @@ def merge_edges(found: DataFrame) -> DataFrame:
     return found.groupBy("from_value", "relation", "to_value").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
+def synced_edges(previous: DataFrame, found: DataFrame, step: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges after a run, the changes of their sources, and a summary, from those before (``case_id, from_value, relation, to_value, step, source_ids``) and those found now.
+
+    Edges of one natural key are one, with all their sources; a found edge keeps its row and gets this ``step``; one that isn't found any more goes.
+    ``changes``: ``key..., source_id, change`` (ADD or REMOVE); ``summary`` by case: edges, new and stale ones, sources.
+    """
+    key = ["case_id", "from_value", "relation", "to_value"]
+    now = found.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"))
+    both = now.join(previous.select(*key, F.col("source_ids").alias("_old"), F.lit(True).alias("_was")), key, "full")
+    empty = F.array().cast(dict(now.dtypes)["source_ids"])
+    both = both.withColumn("_new", F.coalesce("source_ids", empty)).withColumn("_old", F.coalesce("_old", empty))
+    edges = both.where("source_ids is not null").select(*key, F.lit(step).alias("step"), "source_ids").orderBy(*key)
+    diff = lambda a, b, name: F.transform(F.array_except(a, b), lambda x: F.struct(x.alias("source_id"), F.lit(name).alias("change")))
+    changes = both.select(*key, F.inline(F.concat(diff("_new", "_old", "ADD"), diff("_old", "_new", "REMOVE"))))
+    summary = both.groupBy("case_id").agg(F.count("source_ids").alias("edges"), F.count_if(F.col("_was").isNull()).alias("created"), F.count_if(F.col("source_ids").isNull()).alias("stale"), F.sum(F.size("_new")).alias("sources"))
+    return edges, changes, summary
+
+
 def validate(proposed: DataFrame, lines: DataFrame) -> DataFrame:
     """Proposed facts (``doc_id, line_number, field_type, raw_value``) with ``rejection``: the first rule that one breaks, null if none.
 

@@ -16,6 +16,7 @@ from ..functions.unicode import form_c
 
 MAX_LINE = 1000
 # What stands in place of a redacted span.
+REDACTION_VERSION = "redact-v1"
 TOKENS = {"CARD_NUMBER": "[REDACTED:CARD]", "OTP": "[REDACTED:OTP]"}
 
 
@@ -73,3 +74,9 @@ def redact(lines: DataFrame) -> DataFrame:
     as_it_is = F.struct(F.col("text"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("detections"))
     done = F.when(F.size("spans") > 0, done).otherwise(as_it_is)
     return lines.withColumn("spans", spans).withColumn("done", done).drop("text", "spans").select("*", "done.text", "done.detections").drop("done")
+
+
+def detection_counts(redacted: DataFrame) -> DataFrame:
+    """``doc_id, kind, n, version``: how often each kind was redacted in a document, and by which version of the rules."""
+    found = redacted.select("doc_id", F.explode("detections").alias("d"))
+    return found.groupBy("doc_id", F.col("d.kind").alias("kind")).agg(F.count("*").alias("n")).withColumn("version", F.lit(REDACTION_VERSION))

@@ -50,6 +50,25 @@ def overview(cases: DataFrame, evidence: DataFrame, runs: DataFrame, entities: D
     return out.withColumn("entity_counts", F.coalesce("entity_counts", F.create_map().cast("map<string,bigint>")))
 
 
+def full_overview(cases: DataFrame, evidence: DataFrame, runs: DataFrame, entities: DataFrame, steps: DataFrame, reports: DataFrame, confirmations: DataFrame, urgency: DataFrame) -> DataFrame:
+    """``overview`` with the failed step of the latest run, the latest and the current report, whether that one is confirmed, and the current urgency.
+
+    The current report is the highest GENERATED one; its confirmation counts unless it was voided. Urgency is out of date where the case has gone back
+    before ACTIONS_READY. ``runs`` also have ``failed_step_id``; ``steps``: ``step_id, step_name``; ``reports``: ``report_id, case_id, version, status``;
+    ``confirmations``: ``report_id, voided_at``; ``urgency``: ``case_id, level, is_current``; ``cases`` have ``status``.
+    """
+    run = latest(runs, ["case_id"], [F.col("created_at").desc(), F.col("run_id").desc()]).select("case_id", F.col("failed_step_id").alias("step_id"))
+    failed = run.join(steps.select("step_id", F.col("step_name").alias("failed_step")), "step_id", "left").select("case_id", "failed_step")
+    done = F.when(F.col("status") == "GENERATED", F.col("version"))
+    report = reports.groupBy("case_id").agg(F.max("version").alias("latest_report_version"), F.max_by("status", "version").alias("latest_report_status"), F.max(done).alias("current_report_version"), F.max_by("report_id", done).alias("current_report_id"))
+    active = confirmations.where("voided_at is null").select(F.col("report_id").alias("current_report_id"), F.lit(True).alias("has_active_confirmation")).distinct()
+    level = urgency.where("is_current").select("case_id", F.col("level").alias("urgency_level"))
+    out = overview(cases, evidence, runs, entities).join(failed, "case_id", "left").join(report, "case_id", "left")
+    out = out.withColumn("current_report_id", F.when(F.col("current_report_version").isNotNull(), F.col("current_report_id"))).join(active, "current_report_id", "left").join(level, "case_id", "left")
+    early = F.col("urgency_level").isNotNull() & (rank(F.col("status")) < STATES.index("ACTIONS_READY"))
+    return out.withColumn("has_active_confirmation", F.coalesce("has_active_confirmation", F.lit(False))).withColumn("urgency_out_of_date", F.coalesce(early, F.lit(False)))
+
+
 def reusable_steps(steps: DataFrame) -> DataFrame:
     """Planned steps that have a succeeded one with the same case, name and input: ``step_id, reuse_id`` (the earliest)."""
     done = steps.where("status = 'SUCCEEDED'").groupBy("case_id", "step_name", "input_hash").agg(F.min("step_id").alias("reuse_id"))

@@ -119,7 +119,11 @@ def missing_parts(events: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def attached(fragments: DataFrame, facts: DataFrame, kinds: tuple[str, ...] = ("AMOUNT", "TRANSACTION", "UPI_ID", "PHONE"), most: int = 80) -> DataFrame:
-    """Facts that belong to an event's fragment: on its line, within ``most`` characters. ``fragments``: ``event_id, doc_id, line_number, start, end``."""
-    own = facts.where(F.col("field_type").isin(*kinds)).select("doc_id", "line_number", "fact_id", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    """Facts that belong to an event's fragment: on its line, within ``most`` characters, and of the event's type where both tables have ``event_type``.
+
+    ``fragments``: ``event_id, doc_id, line_number, start, end``.
+    """
+    typed = "event_type" in fragments.columns and "event_type" in facts.columns
+    own = facts.where(F.col("field_type").isin(*kinds)).select("doc_id", "line_number", "fact_id", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *["event_type"] * typed)
     gap = F.greatest(F.col("f_start") - F.col("end"), F.col("start") - F.col("f_end"), F.lit(0))
-    return fragments.join(own, ["doc_id", "line_number"]).where(gap <= most).select("event_id", "fact_id", gap.alias("distance"))
+    return fragments.join(own, ["doc_id", "line_number", *["event_type"] * typed]).where(gap <= most).select("event_id", "fact_id", gap.alias("distance"))
