@@ -7,8 +7,8 @@ issuers, calling codes, given names and words that are no names (gazetteers); wo
 what the span touches (context). What Spark counts over all documents is how often each kind has each combination
 of votes: ``KINDS * 3^7`` rows at most. From these counts expectation-maximisation estimates how often each labeler
 says what about true and false spans, by kind, without any label. The probabilities it gives train the final classifier, a
-logistic regression over votes, shape and surrounding words, on a bounded ``SAMPLE`` of candidates (those with the smallest
-hash) and on all combinations of votes. It adds a wider span where its probability is ``MIN_P`` or more; spans of the fixed
+logistic regression over votes, shape and surrounding words, on a bounded ``SAMPLE`` of different candidates (those with the
+smallest hash) and on all combinations of votes. It adds a wider span where its probability is ``MIN_P`` or more; spans of the fixed
 patterns always stay, and what overlaps them is no candidate.
 
 Offsets count code points, ends are exclusive. Defined cases: null or empty texts have no spans; repeated rows
@@ -68,6 +68,8 @@ AGAINST = re.compile(r"(?i)(?<![a-z])(?:version|ver|v|release|section|chapter|is
 BEFORE, AFTER, CLOSE = 40, 24, 24
 
 SAMPLE, FEATURES, MIN_P, STEPS, L2 = 20_000, 4096, 0.9, 300, 1e-4
+#: Hashes of candidates with their surroundings are below this.
+HASHES = 1 << 56
 LABELERS = ("pattern", "shape", "checksum", "gazetteer", "cue", "against", "touching")
 #: What a labeler is taken to say before anything is counted, about a true span: for, nothing, against; turned round about a false one (a checksum fails by chance alone). So many spans' worth.
 PRIOR, CHECKSUM_PRIOR, WEIGHT, ROUNDS = (0.5, 0.45, 0.05), (0.5, 0.499, 0.001), 20.0, 100
@@ -286,8 +288,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     votes = lambda text: tuple({"+": 1, "0": 0, "-": -1}[c] for c in text)
     found = saved(candidates(docs, id_col, text_col), "candidates")
     model = LabelModel({(r["kind"], votes(r["votes"])): r["n"] for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()})
-    chosen = found.orderBy("h", "kind", "votes", "features").limit(sample).select("kind", "votes", "features").collect()
-    discard(found)
+    # the sample: of what differs, since copies teach nothing more; a bound on the hash keeps all but about twice as many rows where they are
+    different = saved(found.groupBy("h", "kind", "votes").agg(F.min("features").alias("features")), "different")
+    bound = min(1.0, 2 * sample / max(1, different.count()))
+    chosen = different.where(F.col("h") <= F.lit(int(bound * HASHES))).orderBy("h", "kind", "votes").limit(sample).select("kind", "votes", "features").collect()
+    discard(found, different)
     known: dict = {}
     for r in chosen:
         known.setdefault((r["kind"], r["votes"]), model.probability(r["kind"], votes(r["votes"])))
