@@ -196,7 +196,15 @@ def doc_line_counts(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("x")).alias("n_chars_in_lines"), F.max(F.length("x")).alias("longest"))
 
 
-@query()
+WHITE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: length(regexp_replace(x, '{WHITE}', '', 'g')) > 0) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM t),
+c AS (SELECT doc_id, k, 0 AS n, NULL::VARCHAR AS piece, x AS rest FROM l UNION ALL
+ SELECT doc_id, k, n + 1, CASE WHEN length(rest) <= 1000 THEN rest WHEN cut > 0 THEN substr(rest, 1, cut) ELSE substr(rest, 1, 1000) END, CASE WHEN length(rest) <= 1000 THEN '' WHEN cut > 0 THEN substr(rest, cut + 2) ELSE substr(rest, 1001) END
+ FROM (SELECT *, length(regexp_extract(substr(rest, 1, 1000), '(?s)^(.{{1,999}}){WHITE}', 1)) AS cut FROM c WHERE rest <> ''))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, n) AS INTEGER) AS line_number, piece AS text FROM c WHERE n > 0""")
 def doc_lines(spark, sf_dir):
     return lines.split_lines(read(spark, sf_dir, "documents"))
 
@@ -281,7 +289,11 @@ def urgency_levels(spark, sf_dir):
     return signals.select("o_custkey", rules.urgency(F.col("a") & F.col("b"), F.col("a") | F.col("b")).alias("level"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS i, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT u, 0 AS n, NULL::BIGINT AS i, true AS allowed, 0::BIGINT AS wait_s, []::BIGINT[] AS held FROM (SELECT DISTINCT u FROM e) UNION ALL
+ SELECT u, n, i, len(h) < 3, CASE WHEN len(h) < 3 THEN 0 ELSE greatest(1, CAST(ceil((h[1] + 3600000000 - t) / 1e6) AS BIGINT)) END, CASE WHEN len(h) < 3 THEN list_append(h, t) ELSE h END
+ FROM (SELECT e.u, e.n, e.i, e.t, list_filter(s.held, lambda x: x > e.t - 3600000000) AS h FROM s JOIN e ON e.u = s.u AND e.n = s.n + 1))
+SELECT u AS user_id, i AS event_id, allowed, wait_s FROM s WHERE n > 0""")
 def rate_limited_events(spark, sf_dir):
     return limiter.limit_events(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window_s=3600)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .case_catalog import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from .catalog import URL_SQL
+from .catalog import WHITE as SPACE
 from .functions import hosts, sql
 from .functions import text as T
 from .operators import facts, lines, relations, sketches
@@ -23,9 +24,6 @@ from .streaming import limiter
 
 # ---- positioned text
 
-SPACE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-
-
 def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The words of each page as items: seven places a row, fifty rows a sheet, baselines that waver by a third of a unit."""
     k, word = F.col("ordinal"), F.col("text")
@@ -134,6 +132,18 @@ def hosts_in_pages(spark, sf_dir):
     return found.where(hosts.known_ending(host)).groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_pages"))
 
 
+@query(r"""WITH t AS (SELECT 'page' AS source, page_id AS id, html AS text FROM pages UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'document', doc_id, text FROM documents)
+SELECT source, id, count(*) AS n_emails, count(DISTINCT lower(m)) AS n_different, min(lower(m)) AS first_email FROM (SELECT source, id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}')) AS m FROM t) GROUP BY source, id""")
+def emails_everywhere(spark, sf_dir):
+    """E-mail addresses in the text of all pages, turns and documents, in one pass over their union."""
+    of = lambda table, source, key, text: read(spark, sf_dir, table).select(F.lit(source).alias("source"), key.alias("doc_id"), F.col(text).alias("text"))
+    every = of("pages", "page", F.col("page_id"), "html").unionByName(of("conversations", "turn", F.col("conv_id") * 1000 + F.col("turn"), "text")).unionByName(of("documents", "document", F.col("doc_id"), "text"))
+    said = every.where(F.col("text").contains("@")).select(F.concat_ws(":", "source", "doc_id").alias("doc_id"), F.lit(1).alias("line_number"), "text")
+    found = facts.extract(said, ("EMAIL",))
+    per = found.groupBy("doc_id").agg(F.count("*").alias("n_emails"), F.count_distinct("normalized_value").alias("n_different"), F.min("normalized_value").alias("first_email"))
+    return per.select(F.substring_index("doc_id", ":", 1).alias("source"), F.substring_index("doc_id", ":", -1).cast("bigint").alias("id"), "n_emails", "n_different", "first_email")
+
+
 # ---- mail
 
 
