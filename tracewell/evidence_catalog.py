@@ -521,3 +521,38 @@ def typed_attachments(spark, sf_dir):
 @query(ORACLE_SQL["redacted_cards"].replace("SELECT doc_id, count(*) AS n_cards", "SELECT doc_id, 'CARD_NUMBER' AS kind, count(*) AS n, 'redact-v1' AS version"))
 def stamped_detections(spark, sf_dir):
     return lines.detection_counts(lines.redact(lines.split_lines(read(spark, sf_dir, "documents")))).where("kind = 'CARD_NUMBER'")
+
+
+# ---- the spellings of each type
+
+#: For each type, how it is written around a number (``{k}``: as it is, ``{5}`` and ``{8}``: of so many digits), and its canonical value; None where there is none.
+SPELLINGS = {
+    "PHONE": (("+91 98765-{5}", "+9198765{5}"), ("098765{5}", "+9198765{5}"), ("91-98765 {5}", "+9198765{5}"), ("98765{5}", "+9198765{5}"), ("98765-{5}", "+9198765{5}"), ("+44794{8}", "+44794{8}")),
+    "AMOUNT": (("₹1,23,456.70", "INR 123456.70"), ("Rs {k}", "INR {k}.00"), ("INR 1,234,567", "INR 1234567.00"), ("rs. 00{k}.05", "INR {k}.05"), ("Rs.{k}.50", "INR {k}.50")),
+    "DATETIME": (("2024-03-05", "2024-03-05"), ("5/3/24 21:05", "2024-03-05T21:05+05:30"), ("Tue, 5 March 2024, 9:05 p.m.", "2024-03-05T21:05+05:30"), ("around 7:45 am", "T07:45"), ("05-03-1999", "1999-03-05"), ("31/12/69", "2069-12-31"), ("1-1-70", "1970-01-01"), ("30 Feb 2024", None), ("12:00 AM", "T00:00"), ("Sept 24:10", None), ("24 Sept 2026 at approx. 12:19 PM", "2026-09-24T12:19+05:30")),
+    "TRANSACTION": (("UPI Ref No: Ab{8}", "AB{8}"), ("RRN {8}77", "{8}77"), ("Txn ID #ab{8}", "AB{8}"), ("Transaction ID. X{8}", "X{8}"), ("Reference No : {8}", "{8}"), ("utr.: Q{8}", "Q{8}")),
+    "ACCOUNT_HINT": (("A/c no. XX{5}", None), ("A/c no. XX1234", "1234"), ("Acct ending in **987", "987"), ("account number: xxx{k}", "{k}"), ("ending 4321", "4321"), ("ending in 4321", "4321")),
+    "MESSAGING_HANDLE": (("@Agent_{k}", "agent_{k}"), ("t.me/Some_{k}", "some_{k}"), ("@a.b.{k}", "a.b.{k}")),
+    "UPI_ID": (("U{k}.x-y@okBank", "u{k}.x-y@okbank"), ("{8}@upi.", "{8}@upi")),
+    "SMS_SENDER_HEADER": (("  VM-HDFCBK ", "VM-HDFCBK"), ("AX-B{k}", "AX-B{k}")),
+    "PERSON": (("Paid by: Asha Rao", "Asha Rao"), ("paid TO :  Ravi K. Iyer", "Ravi K. Iyer"), ("Name: O'Neil Émile-Ann.", "O'Neil Émile-Ann")),
+    "BANK_OR_WALLET": (("Bank name: North Trust", "North Trust"), ("Wallet : Pay Fast", "Pay Fast"), ("was debited from State Street Bank", "State Street Bank")),
+}
+SPELLED = [(kind, text, value) for kind, every in SPELLINGS.items() for text, value in every]
+#: What makes a number fit: account hints take three or four digits.
+K = "event_id % 900 + 100"
+
+
+@query(f"""WITH e AS (SELECT event_id, CAST({K} AS VARCHAR) AS k, lpad(CAST(event_id AS VARCHAR), 5, '0') AS k5, lpad(CAST(event_id AS VARCHAR), 8, '0') AS k8, event_id % {len(SPELLED)} + 1 AS n FROM events),
+s AS (SELECT event_id, k, k5, k8, {[k for k, *_ in SPELLED]}[n] AS field_type, [{", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for *_, v in SPELLED)}][n] AS v FROM e)
+SELECT event_id AS doc_id, field_type, replace(replace(replace(v, '{{k}}', k), '{{5}}', k5), '{{8}}', k8) AS normalized_value FROM s WHERE v IS NOT NULL
+UNION ALL SELECT event_id, 'PERSON', 'North Trust' FROM e WHERE n = {[t for _, t, _ in SPELLED].index("Bank name: North Trust") + 1}
+UNION ALL SELECT event_id, unnest(['DOMAIN', 'URL']), unnest(['t.me', 'https://t.me/Some_' || k]) FROM e WHERE n = {[t for _, t, _ in SPELLED].index("t.me/Some_{k}") + 1}""")
+def spelled_facts(spark, sf_dir):
+    """Facts of each type in each of its spellings, with canonical values; spellings that have none give no fact or one without. The label of a bank's name is also one of a name, and a short link's host and path are facts too."""
+    i = F.col("event_id")
+    text = F.element_at(F.array(*[F.lit(t) for _, t, _ in SPELLED]), (i % len(SPELLED) + 1).cast("int"))
+    for mark, value in (("{k}", F.expr(K).cast("string")), ("{5}", F.lpad(i.cast("string"), 5, "0")), ("{8}", F.lpad(i.cast("string"), 8, "0"))):
+        text = F.replace(text, F.lit(mark), value)
+    said = read(spark, sf_dir, "events").select(i.alias("doc_id"), F.lit(1).alias("line_number"), text.alias("text"))
+    return facts.extract(said).where("normalized_value is not null").select("doc_id", "field_type", "normalized_value")
