@@ -44,3 +44,14 @@ CUE_DISTANCE = 30
 PAYEE_CUE = rf"(?i){B}paid{S}+to{B}|{B}to{S}+VPA{B}"
 UPI_CUE, RECEIPT_CUE = rf"(?i){B}UPI{S}+ID{S}*:", rf"(?i){B}(?:receipt|payment{S}+successful){B}"
 DEBIT_CUE = rf"(?i){B}debited{S}+from{B}|{B}from{S}+account{B}|{B}A/c{B}[^\n]*{B}debited{B}"
+
+# Whole values of a type, and the parts of them that make its canonical form.
+PHONE_SEPARATORS = r"[\s\-().]"
+MOBILE, ABROAD = r"^(?:\+91|91|0)?([6-9]\d{9})$", r"^\+(\d{8,15})$"
+RUPEES, PAISE, HINT = r"(?i)^(?:₹|Rs\.?|INR)\s?([\d,]+)", r"\.(\d{2})$", r"(\d{3,4})$"
+WHOLE_UPI_ID, WHOLE_TRANSACTION = r"^[A-Za-z0-9._-]{2,}@[A-Za-z][A-Za-z0-9]+$", r"^(?=.*\d)[A-Za-z0-9]{8,22}$"
+WHOLE_HINT, WHOLE_NAME = r"^[Xx*]{2,}\d{3,4}$|^(?i:ending\s+(?:in\s+)?\d{4})$", r"^\p{L}[\p{L}\p{M} .'&-]{0,79}$"
+WHOLE_DOMAIN = r"(?i)^(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+[\p{L}\p{M}\p{N}-]{2,63}$"
+HANDLE_START = r"(?i)^@|^t\.me/"
+# What a mask shows of a phone number.
+SHOWN_MOBILE, SHOWN_AS, SHOWN_ABROAD = r"^\+91(\d{2})\d{5}(\d{3})$", r"+91 $1XXX XX$2", r"^\+\d{3}(\d+)\d{3}$"

@@ -14,27 +14,29 @@ CUE = r"(?:approximately|approx\.?|around|about|roughly|~)\s*"
 TIME = r"\d{1,2}:\d{2}(?:\s*(?:[AaPp]\.\s?[Mm]\.|[AaPp][Mm])(?![A-Za-z]))?"
 TEMPORAL = rf"(?i)(?<![\w:/-])(?:{DATE}(?:,\s*|\s+)(?:at\s+)?(?:{CUE})?{TIME}|{DATE}|(?:{CUE})?{TIME})(?![\w:]|[-/]\d)"
 ZONE = "+05:30"
+# The parts of a date by name, by numbers with the day first and as ISO has it, and of a time.
+NAMED_DATE = rf"(?i)^{WEEKDAY}?(\d{{1,2}})\s+([A-Za-z]+)\.?,?\s+(\d{{4}})"
+NUMERIC_DATE = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})(?!\d)"
+ISO_DATE = r"^(\d{4}-\d{2}-\d{2})"
+CLOCK = r"(?i)(?<![\d:])(\d{1,2}):(\d{2})(?:\s*([ap])\.?\s?m\.?)?$"
 
 
 def _date(text: Column) -> Column:
     """``yyyy-MM-dd`` of the date a text starts with; null if there is no such day."""
-    named = rf"(?i)^{WEEKDAY}?(\d{{1,2}})\s+([A-Za-z]+)\.?,?\s+(\d{{4}})"
-    numeric = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})(?!\d)"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(text, named, 2), 1, 3)))
-    short = F.regexp_extract(text, numeric, 3)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(text, NAMED_DATE, 2), 1, 3)))
+    short = F.regexp_extract(text, NUMERIC_DATE, 3)
     year = F.when(F.length(short) == 2, F.concat(F.when(short <= "69", "20").otherwise("19"), short)).otherwise(short)
     parts = (
-        F.when(text.rlike(named), F.concat_ws("-", F.regexp_extract(text, named, 3), month.cast("string"), F.regexp_extract(text, named, 1)))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1))
-        .when(text.rlike(numeric), F.concat_ws("-", year, F.regexp_extract(text, numeric, 2), F.regexp_extract(text, numeric, 1)))
+        F.when(text.rlike(NAMED_DATE), F.concat_ws("-", F.regexp_extract(text, NAMED_DATE, 3), month.cast("string"), F.regexp_extract(text, NAMED_DATE, 1)))
+        .when(text.rlike(ISO_DATE), F.regexp_extract(text, ISO_DATE, 1))
+        .when(text.rlike(NUMERIC_DATE), F.concat_ws("-", year, F.regexp_extract(text, NUMERIC_DATE, 2), F.regexp_extract(text, NUMERIC_DATE, 1)))
     )
     return F.date_format(F.try_to_timestamp(parts, F.lit("y-M-d")), "yyyy-MM-dd")
 
 
 def _clock(text: Column) -> Column:
     """``HH:mm`` of the time a text ends with; null if there is no such time."""
-    pattern = r"(?i)(?<![\d:])(\d{1,2}):(\d{2})(?:\s*([ap])\.?\s?m\.?)?$"
-    hour, minute, half = F.regexp_extract(text, pattern, 1).try_cast("int"), F.regexp_extract(text, pattern, 2).try_cast("int"), F.lower(F.regexp_extract(text, pattern, 3))
+    hour, minute, half = F.regexp_extract(text, CLOCK, 1).try_cast("int"), F.regexp_extract(text, CLOCK, 2).try_cast("int"), F.lower(F.regexp_extract(text, CLOCK, 3))
     full = F.when((half != "") & hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).when((half == "") & (hour <= 23), hour)
     return F.when(minute <= 59, F.concat(F.lpad(full.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
 

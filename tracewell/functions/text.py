@@ -94,13 +94,13 @@ def normal_url(raw: Column) -> Column:
 
 def normalize(kind: Column, raw: Column) -> Column:
     """Canonical value by type, null where the value can't be normalised."""
-    phone = F.regexp_replace(raw, r"[\s\-().]", "")
-    mobile = F.regexp_extract(phone, r"^(?:\+91|91|0)?([6-9]\d{9})$", 1)
-    foreign = F.regexp_extract(phone, r"^\+(\d{8,15})$", 1)
-    rupees = F.regexp_replace(F.regexp_extract(raw, r"(?i)^(?:₹|Rs\.?|INR)\s?([\d,]+)", 1), ",", "")
-    paise = F.regexp_extract(raw, r"\.(\d{2})$", 1)
+    phone = F.regexp_replace(raw, P.PHONE_SEPARATORS, "")
+    mobile = F.regexp_extract(phone, P.MOBILE, 1)
+    foreign = F.regexp_extract(phone, P.ABROAD, 1)
+    rupees = F.regexp_replace(F.regexp_extract(raw, P.RUPEES, 1), ",", "")
+    paise = F.regexp_extract(raw, P.PAISE, 1)
     amount = F.concat(F.lit("INR "), F.regexp_replace(rupees, r"^0+(?=\d)", ""), F.lit("."), F.when(paise == "", "00").otherwise(paise))
-    hint = F.regexp_extract(raw, r"(\d{3,4})$", 1)
+    hint = F.regexp_extract(raw, P.HINT, 1)
     return (
         F.when(kind == "PHONE", F.when(mobile != "", F.concat(F.lit("+91"), mobile)).when(foreign != "", F.concat(F.lit("+"), foreign)))
         .when(kind == "URL", normal_url(raw))
@@ -110,25 +110,25 @@ def normalize(kind: Column, raw: Column) -> Column:
         .when(kind == "AMOUNT", F.when(rupees != "", amount))
         .when(kind == "ACCOUNT_HINT", F.when(hint != "", hint))
         .when(kind == "SMS_SENDER_HEADER", F.upper(raw))
-        .when(kind == "MESSAGING_HANDLE", F.lower(F.regexp_replace(raw, r"(?i)^@|^t\.me/", "")))
+        .when(kind == "MESSAGING_HANDLE", F.lower(F.regexp_replace(raw, P.HANDLE_START, "")))
         .when(kind.isin("PERSON", "BANK_OR_WALLET"), F.regexp_replace(F.trim(raw), r"\s+", " "))
     )
 
 
 def valid_format(kind: Column, raw: Column) -> Column:
     """Whether a whole value has its type's form; times are ``temporal.normalize``'s."""
-    bare = F.regexp_replace(raw, r"[\s\-().]", "")
+    bare = F.regexp_replace(raw, P.PHONE_SEPARATORS, "")
     whole = lambda pattern: raw.rlike(f"^(?:{pattern})$")
-    name = F.regexp_replace(F.trim(raw), f"{P.S}+", " ").rlike(r"^\p{L}[\p{L}\p{M} .'&-]{0,79}$")
+    name = F.regexp_replace(F.trim(raw), f"{P.S}+", " ").rlike(P.WHOLE_NAME)
     return F.coalesce(
-        F.when(kind == "PHONE", bare.rlike(r"^(?:(?:\+91|91|0)?[6-9]\d{9}|\+\d{8,15})$"))
+        F.when(kind == "PHONE", bare.rlike(P.MOBILE) | bare.rlike(P.ABROAD))
         .when(kind == "URL", normal_url(raw).isNotNull() & (strip_url_tail(raw) == raw))
-        .when(kind == "DOMAIN", known_ending(raw) & raw.rlike(r"(?i)^(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+[\p{L}\p{M}\p{N}-]{2,63}$"))
+        .when(kind == "DOMAIN", known_ending(raw) & raw.rlike(P.WHOLE_DOMAIN))
         .when(kind == "EMAIL", whole(P.EMAIL))
-        .when(kind == "UPI_ID", F.regexp_replace(raw, r"^\W+|\W+$", "").rlike(r"^[A-Za-z0-9._-]{2,}@[A-Za-z][A-Za-z0-9]+$"))
-        .when(kind == "TRANSACTION", F.regexp_replace(raw, f"{P.S}+", "").rlike(r"^(?=.*\d)[A-Za-z0-9]{8,22}$"))
+        .when(kind == "UPI_ID", F.regexp_replace(raw, r"^\W+|\W+$", "").rlike(P.WHOLE_UPI_ID))
+        .when(kind == "TRANSACTION", F.regexp_replace(raw, f"{P.S}+", "").rlike(P.WHOLE_TRANSACTION))
         .when(kind == "AMOUNT", whole(P.AMOUNT))
-        .when(kind == "ACCOUNT_HINT", raw.rlike(r"^[Xx*]{2,}\d{3,4}$|^(?i:ending\s+(?:in\s+)?\d{4})$"))
+        .when(kind == "ACCOUNT_HINT", raw.rlike(P.WHOLE_HINT))
         .when(kind == "SMS_SENDER_HEADER", F.upper(raw).rlike(P.SMS_SENDER))
         .when(kind == "MESSAGING_HANDLE", whole(P.HANDLE))
         .when(kind.isin("PERSON", "BANK_OR_WALLET"), name),
@@ -143,8 +143,8 @@ def amount_minor(canonical: Column) -> Column:
 
 def mask(kind: Column, value: Column) -> Column:
     """What may be shown of a canonical value."""
-    mobile = F.regexp_replace(value, r"^\+91(\d{2})\d{5}(\d{3})$", r"+91 $1XXX XX$2")
-    middle = F.regexp_extract(value, r"^\+\d{3}(\d+)\d{3}$", 1)
+    mobile = F.regexp_replace(value, P.SHOWN_MOBILE, P.SHOWN_AS)
+    middle = F.regexp_extract(value, P.SHOWN_ABROAD, 1)
     abroad = F.concat(F.substring(value, 1, 4), F.repeat(F.lit("X"), F.length(middle)), F.right(value, F.lit(3)))
     at = F.instr(value, "@")
     return (

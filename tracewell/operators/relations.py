@@ -131,7 +131,10 @@ def source_reference(fact_lines: DataFrame) -> DataFrame:
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """Each parent with the sorted array of its children, each with its ``ordinal`` from 1; an empty array without any."""
+    """Each parent with the sorted array of its children, each with its ``ordinal`` from 1; an empty array without any.
+
+    A parent's children are one row by design, as a reader of one parent wants them; parents without a bound on their children need ``join``.
+    """
     rest = [c for c in children.columns if c not in (key, *order)]
     rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, *rest))), lambda x, i: x.withField("ordinal", i + 1))
     made = children.groupBy(key).agg(rows.alias(name))

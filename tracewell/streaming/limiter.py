@@ -25,7 +25,8 @@ def limit_events(events: DataFrame, key: str, ts: str, order: str, limit: int, w
     """``key, order, allowed, wait_s`` for every event, by key in time order.
 
     A pause of a whole window forgets everything, so a key's events are cut there and its parts are dealt out apart. A
-    task walks through its sorted rows and holds the window of one part, at most ``limit`` times.
+    task walks through its sorted rows and holds the window of one part, at most ``limit`` times. Finding the pauses sorts each key's times
+    in one task, on disk if need be: a key with a third of all events takes as long as its sort.
     """
     window = window_s * 1_000_000
     own = Window.partitionBy(key).orderBy("t", order)
