@@ -39,6 +39,18 @@ def test_one_id_with_two_vectors_and_large_components(spark):
         topk.exact_top_k(data.selectExpr("vec_id", "array(1e15, embedding[0]) AS embedding"), data.where("vec_id = 100")).collect()
 
 
+def test_vectors_far_beyond_the_others(spark):
+    """Scores up to 62 bits, of vectors and of queries, are exact; one outlier ends nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 3)]) for i in range(300)]
+    rows += [(400, [3e5] + [1.0] * 7), (401, [-3e5] * 8), (402, [1e6, -1e6] + [0.0] * 6), (500, [2e5] * 8)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(data, data.where("vec_id % 100 = 0"), 10)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 10)
+    with pytest.raises(TypeError, match="integer"):
+        topk.exact_top_k(data.selectExpr("cast(vec_id as string) AS vec_id", "embedding"), data)
+
+
 def test_index_stops_early_and_stays_exact():
     rng = np.random.default_rng(2)
     vectors = np.floor(1024 * rng.normal(size=(500, 32))).astype(np.int64)

@@ -11,8 +11,9 @@ are scored exactly. Queries meet vectors block by block, and the blocks' tops ar
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 with a null id; only vectors of the same length are compared; ties go to the smaller id; all rows with the
 query's id are its own and no candidates; a repeated query row is one query, one id with several vectors is as many
-queries, each with its own ranks, repeated candidates each count; components so large that a score could exceed
-64 bits raise an error; empty tables give no rows; other columns are never read.
+queries, each with its own ranks, repeated candidates each count; vectors with components so large that sums of their products could
+exceed 64 bits are left out of the index and scored one by one in Python's integers, and only a score that is beyond 64 bits itself is an error; ids
+must be integers; empty tables give no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table
+from .common import integral, partitions, saved, table
 
 #: Vectors of a block at most, and at least if there are fewer blocks than partitions; queries of a block. Each pair of blocks makes one index.
 VECTORS, LEAST_VECTORS, QUERY_BLOCK, LEVELS, FEW = 32_768, 4096, 32_768, 16, 8
@@ -94,18 +95,43 @@ class ImpactIndex:
 
 def integer_vectors(rows: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
     x = F.col(vec_col)
-    whole = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
+    scaled = lambda v: F.lit(float(scale)) * v.cast("double")
+    whole = F.transform(x, lambda v: F.when(F.abs(scaled(v)) < F.lit(2.0**62), F.floor(scaled(v))).otherwise(F.raise_error(F.lit("components are too large: one is beyond 64 bits")).cast("long")))
     fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    return rows.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), F.size(x).alias("dims"))
+    return rows.where(fine).select(integral(rows, id_col).alias("vec_id"), whole.alias("v"), F.size(x).alias("dims"))
 
 
 def _arrays(rows: pa.Table, ids: str) -> tuple[np.ndarray, np.ndarray]:
     v = rows.column("v").combine_chunks()
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    out = v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    if out.size and float(np.abs(out.astype(np.float64)).max()) ** 2 * out.shape[1] >= 2.0**61:
-        raise ValueError("components are too large: a score could exceed 64 bits")
-    return rows.column(ids).to_numpy(), out
+    return rows.column(ids).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in Python's integers, for components of any size."""
+    scores = [sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in vectors]
+    if any(abs(x) >= 1 << 63 for x in scores):
+        raise ValueError("components are too large: a score exceeds 64 bits")
+    return np.array(scores, np.int64)
+
+
+class Block:
+    """A block of vectors: an index of those whose sums of products stay within 64 bits, and the few others beside it."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.most = ids, vectors, int((2**61 // vectors.shape[1]) ** 0.5)
+        self.wide = np.abs(vectors).max(axis=1) > self.most
+        self.index = ImpactIndex(ids[~self.wide], vectors[~self.wide]) if not self.wide.all() else None
+
+    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        apart = self.wide if np.abs(query).max() <= self.most else np.ones(len(self.ids), bool)
+        apart = apart & (self.ids != query_id)
+        parts = [(self.ids[apart], exact_scores(self.vectors[apart], query))]
+        if self.index is not None and np.abs(query).max() <= self.most:
+            parts.append(self.index.top(query, query_id, k))
+        ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -123,9 +149,9 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float =
 
         out = []
         if len(block) and len(batch):
-            index = ImpactIndex(*_arrays(block, "vec_id"))
+            own = Block(*_arrays(block, "vec_id"))
             for query_id, query in zip(*_arrays(batch, "query_id"), strict=True):
-                out.append((query_id, *index.top(query, query_id, k), xxh3_64_intdigest(query.tobytes()) >> 1))
+                out.append((query_id, *own.top(query, query_id, k), xxh3_64_intdigest(query.tobytes()) >> 1))
         sizes = [len(x[1]) for x in out]
         flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *[x[c] for x in out]])
         return pa.table({"query_id": np.repeat(np.array([x[0] for x in out], np.int64), sizes), "query": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "vec_id": flat(1, np.int64), "score": flat(2, np.int64)})
