@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integral, table
 from .neardup import mix
 
 GRAM, SHALLOW, BLOCK_BYTES, BUCKET_BYTES = 24, 16, 3 << 20, 3 << 20
@@ -363,7 +363,7 @@ def repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     text = F.col(text_col).cast("string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    by_block = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text)), F.lit(blocks)).alias("block"))
+    by_block = docs.select(integral(docs, id_col).alias("doc_id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text)), F.lit(blocks)).alias("block"))
     names = by_block.groupBy("block").applyInArrow(lambda t: tell_names(t, width, buckets), NAMES)
     shared = _met(names, blocks, answer_names, merge_names, NAMES, pass_names)
     runs = by_block.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, a: send_runs(t, a, width, buckets), RUNS)
