@@ -282,4 +282,8 @@ def test_constraints_at_and_over_their_limits(spark):
         sources = sources.withColumn(name, F.lit(None).cast("int"))
     both = constraints.check_all({"fact_sources": (sources, "k"), "sessions": (spark.createDataFrame([(1, 2, 2)], "k int, created_at int, expires_at int"), "k")})
     assert rows_of(both) == sorted([("fact_sources", "2", "extraction_id_with_ref_kind"), ("fact_sources", "2", "evidence_id_with_ref_kind"), ("fact_sources", "2", "ordinal_range"), ("fact_sources", "3", "entity_id_only_with_ref_kind"), ("sessions", "1", "created_at_before_expires_at")], key=repr)
-    assert sum(map(len, constraints.RULES.values())) > 60 and constraints.check(sources.limit(0), "fact_sources", "k").count() == 0
+    levels = spark.createDataFrame([(1, 'HIGH', True, False, 'G2-v1'), (2, 'LOW', False, True, 'G2-v1'), (3, 'LOW', True, True, 'G1')], 'k int, level string, signal_u1_financial_loss boolean, signal_u2_credential_exposure boolean, rule_version string')
+    assert rows_of(constraints.check(levels, 'urgency_assessments', 'k')) == [(2, 'level_fits_signals')]
+    voided = spark.createDataFrame([(1, None), (1, 'x'), (2, None), (2, None), (None, None), (None, None)], 'report_id int, voided_at string')
+    assert rows_of(constraints.more_than_one(voided, 'review_confirmations')) == [(2, 2)]
+    assert sum(map(len, constraints.RULES.values())) > 100 and constraints.check(sources.limit(0), "fact_sources", "k").count() == 0

@@ -460,6 +460,23 @@ def evidence_constraints(spark, sf_dir):
     return constraints.check(rows, "evidence_items", "doc_id")
 
 
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 3 AS s, l_partkey % 2 AS filled, l_linenumber % 4 AS k FROM lineitem)
+SELECT id, failed_check, count(*) AS n FROM (SELECT id, unnest([CASE WHEN s < 2 AND filled = 0 THEN 'computed_sha256_with_result' END, CASE WHEN s = 2 AND filled = 1 THEN 'computed_sha256_with_result' END, CASE WHEN (s = 2) <> (k = 0) THEN 'failure_code_with_result' END, CASE WHEN filled = 1 AND s < 2 AND (s = 0) <> (k < 2) THEN 'result_fits_hashes' END]) AS failed_check FROM r) WHERE failed_check IS NOT NULL GROUP BY ALL""")
+def integrity_constraints(spark, sf_dir):
+    """Lines as verifications of files, against the rules for such."""
+    s, filled, k = F.col("l_suppkey") % 3, F.col("l_partkey") % 2 == 1, F.col("l_linenumber") % 4
+    recorded = F.sha2(F.lit("a"), 256)
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(s == 0, "MATCH").when(s == 1, "MISMATCH").otherwise("COULD_NOT_COMPLETE").alias("result"), recorded.alias("recorded_sha256"), F.when(filled, F.when(k < 2, recorded).otherwise(F.sha2(F.lit("b"), 256))).alias("computed_sha256"), F.when(k == 0, "NO_FILE").alias("failure_code"))
+    return constraints.check(rows, "integrity_verifications", "id").groupBy("id", "failed_check").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS case_id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) > 1")
+def runs_at_once(spark, sf_dir):
+    """Cases with more than one run that is not over."""
+    runs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("SUCCEEDED").alias("status"))
+    return constraints.more_than_one(runs, "analysis_runs")
+
+
 @query("""WITH e AS (SELECT o_custkey AS c, count(*) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS failed FROM orders GROUP BY 1),
 r AS (SELECT o_custkey AS c, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1),
 p AS (SELECT l_suppkey AS c, l_orderkey AS v, CASE WHEN max(l_linenumber) % 2 = 0 THEN 'GENERATED' ELSE 'INVALIDATED' END AS status FROM lineitem GROUP BY 1, 2),
