@@ -8,7 +8,8 @@ what the span touches (context). What Spark counts over all documents is how oft
 of votes: ``KINDS * 3^7`` rows at most. From these counts expectation-maximisation estimates how often each labeler
 says what about true and false spans, by kind, without any label. The probabilities it gives train the final classifier, a
 logistic regression over votes, shape and surrounding words, on a bounded ``SAMPLE`` of different candidates (those with the
-smallest hash) and on all combinations of votes. It adds a wider span where its probability is ``MIN_P`` or more; spans of the fixed
+smallest hash) and on all combinations of votes. It adds a wider span where its probability is ``MIN_P`` or more and no checksum
+speaks against it, which in a small corpus weighs too little; spans of the fixed
 patterns always stay, and what overlaps them is no candidate.
 
 Offsets count code points, ends are exclusive. Defined cases: null or empty texts have no spans; repeated rows
@@ -71,6 +72,7 @@ SAMPLE, FEATURES, MIN_P, STEPS, L2 = 20_000, 4096, 0.9, 300, 1e-4
 #: Hashes of candidates with their surroundings are below this.
 HASHES = 1 << 56
 LABELERS = ("pattern", "shape", "checksum", "gazetteer", "cue", "against", "touching")
+CHECKSUM = LABELERS.index("checksum")
 #: What a labeler is taken to say before anything is counted, about a true span: for, nothing, against; turned round about a false one (a checksum fails by chance alone). So many spans' worth.
 PRIOR, CHECKSUM_PRIOR, WEIGHT, ROUNDS = (0.5, 0.45, 0.05), (0.5, 0.499, 0.001), 20.0, 100
 
@@ -307,7 +309,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], classifier: SpanClassifier) -> list[tuple[int, int, int]]:
-    return [(s, k, e) for s, k, e in wide_spans(text, base) if classifier(features_of(text, s, k, e, votes_of(text, s, k, e, False))) >= MIN_P]
+    judged = [(span, votes_of(text, *span, False)) for span in wide_spans(text, base)]
+    return [span for span, votes in judged if votes[CHECKSUM] >= 0 and classifier(features_of(text, *span, votes)) >= MIN_P]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
