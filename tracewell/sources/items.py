@@ -7,6 +7,9 @@ as empty. Everything is native but for Unicode forms and entities, which are Arr
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,7 @@ HEADER_FIELD = "^[!-9;-~]+:"
 #: Tags after which a new line starts.
 BLOCKS = r"(?i)</?(?:br|hr|p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)\b[^>]*>"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+WHOLE_ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 LINK = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 
@@ -35,6 +39,12 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(StringType())
+def unescape_whole(text: pd.Series) -> pd.Series:
+    """As ``unescape``, but for entities whose semicolon is missing, which stay."""
+    return text.map(lambda x: None if x is None else WHOLE_ENTITY.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html5 else m[0], x))
+
+
 def canonical_paste(text: Column) -> Column:
     """What a pasted text's fingerprint covers: form C, line feeds only."""
     return F.regexp_replace(form_c(text), "\r\n?", "\n")
@@ -79,12 +89,12 @@ def is_pasted_url(text: Column) -> Column:
     return F.coalesce((text != "") & ~text.rlike(S) & (absolute | bare), F.lit(False))
 
 
-def html_text(page: Column) -> Column:
-    """Readable text of a page: hidden parts go, links keep their target in brackets, blocks end lines, entities are decoded."""
+def html_text(page: Column, decode: Callable[[Column], Column] = unescape) -> Column:
+    """Readable text of a page: hidden parts go, links keep their target in brackets, blocks end lines, entities are decoded, as browsers do or by ``unescape_whole``."""
     shown = F.regexp_replace(F.coalesce(page, F.lit("")), HIDDEN, "")
     linked = F.regexp_replace(shown, LINK, "$2 ($1)")
     bare = F.regexp_replace(F.regexp_replace(linked, BLOCKS, "\n"), "<[^>]+>", "")
-    return F.when(bare.contains("&"), unescape(bare)).otherwise(bare)
+    return F.when(bare.contains("&"), decode(bare)).otherwise(bare)
 
 
 def html_lines(page: Column) -> Column:
