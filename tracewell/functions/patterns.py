@@ -32,6 +32,8 @@ DEBITED_FROM = rf"{B}[Dd]ebited{S}+from{S}+(?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank
 
 # What is redacted before anything else reads a line.
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Cards that stand as words: no letter or digit touches them, as one does within a key of hex digits.
+CARD_WORD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
 ACCOUNT_CUE = rf"(?i)(?:{B}a/c(?:{S}*no\.?)?|{B}account{S}*(?:no|number)\.?|{B}acct(?:{S}*no\.?)?){S}*[:.#-]?{S}*\d{{9,18}}(?!\d)"
 OTP_CUE = rf"(?i){B}(?:otp|one[ -]time password|verification code|security code|code is|pin is){B}"
 DIGIT_RUN = r"(?<!\d)\d+(?:[ -]\d+)?(?!\d)"

@@ -39,8 +39,8 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def card_spans(text: Column) -> Column:
-    return F.filter(find_spans(text, P.CARD), lambda s: F.call_function("luhn_check", digits_of(s["value"])))
+def card_spans(text: Column, pattern: str = P.CARD) -> Column:
+    return F.filter(find_spans(text, pattern), lambda s: F.call_function("luhn_check", digits_of(s["value"])))
 
 
 def account_spans(text: Column) -> Column:

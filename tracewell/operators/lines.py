@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.patterns import NOT_S, OTP_CUE, PHONE_LIKE
+from ..functions.patterns import CARD, NOT_S, OTP_CUE, PHONE_LIKE
 from ..functions.unicode import form_c
 
 MAX_LINE = 1000
@@ -39,29 +39,29 @@ def not_blank(text: Column) -> Column:
     return F.filter(F.split(ends, "\n"), lambda x: x.rlike(f"{NOT_S}]"))
 
 
-def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_number, text`` in Unicode form C."""
+def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``doc_id, line_number, text`` in Unicode form C; with ``whole`` lines keep their full length."""
     some = not_blank(form_c(F.col(text_col)))
-    cut = F.flatten(F.transform(some, lambda x: F.when(is_long(x), segments(x)).otherwise(F.array(x))))
+    cut = some if whole else F.flatten(F.transform(some, lambda x: F.when(is_long(x), segments(x)).otherwise(F.array(x))))
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("line_number", "text")).withColumn("line_number", F.col("line_number") + 1)
 
 
-def sensitive_spans(text: Column) -> Column:
+def sensitive_spans(text: Column, card: str = CARD, accounts: bool = True) -> Column:
     """Cards, accounts (as cards) and one-time codes of a line, in order: ``kind, start, end``."""
-    cards, cues, phones = T.card_spans(text), T.find_spans(text, OTP_CUE), T.find_spans(text, PHONE_LIKE)
-    accounts = F.filter(T.account_spans(text), lambda s: ~T.overlaps(s, cards))
-    numbers = F.concat(cards, accounts)
+    cards, cues, phones = T.card_spans(text, card), T.find_spans(text, OTP_CUE), T.find_spans(text, PHONE_LIKE)
+    numbers = F.concat(cards, F.filter(T.account_spans(text), lambda s: ~T.overlaps(s, cards))) if accounts else cards
     codes = F.when(F.size(cues) > 0, T.otp_spans(text, cues, phones, numbers)).otherwise(F.array().cast(T.SPANS))
     tag = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     return F.array_sort(F.concat(tag(numbers, "CARD_NUMBER"), tag(codes, "OTP")))
 
 
-def redact(lines: DataFrame) -> DataFrame:
+def redact(lines: DataFrame, card: str = CARD, accounts: bool = True) -> DataFrame:
     """Lines with tokens in place of sensitive spans, and ``detections`` (kind, start, end) that point at the tokens.
 
-    Lines without four digits and their cues are left to one cheap test; only others run the span search.
+    ``card`` is the pattern of cards: anywhere, or with ``CARD_WORD`` as words only. Without ``accounts`` numbers behind an
+    account's cue stay, unless they are cards. Lines without four digits and their cues are left to one cheap test; only others run the span search.
     """
-    spans = F.when(F.col("text").rlike(r"\d{4}|\d(?:[ -]?\d){3}"), sensitive_spans(T.plain(F.col("text")))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    spans = F.when(F.col("text").rlike(r"\d{4}|\d(?:[ -]?\d){3}"), sensitive_spans(T.plain(F.col("text")), card, accounts)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     token = lambda kind: F.when(kind == "OTP", TOKENS["OTP"]).otherwise(TOKENS["CARD_NUMBER"])
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("found"))
 
