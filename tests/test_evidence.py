@@ -287,3 +287,15 @@ def test_constraints_at_and_over_their_limits(spark):
     voided = spark.createDataFrame([(1, None), (1, 'x'), (2, None), (2, None), (None, None), (None, None)], 'report_id int, voided_at string')
     assert rows_of(constraints.more_than_one(voided, 'review_confirmations')) == [(2, 2)]
     assert sum(map(len, constraints.RULES.values())) > 100 and constraints.check(sources.limit(0), "fact_sources", "k").count() == 0
+
+
+def test_a_message_is_one_row_and_its_headers_are_parsed_once(spark, monkeypatch):
+    row = b"From: A <a@x.example>\r\nSubject: s\r\nContent-Type: text/plain\r\n\r\n \r\nbody\r\n"
+    seen, real = [], mail.policy.EmailPolicy.header_fetch_parse
+    monkeypatch.setattr(mail.policy.EmailPolicy, "header_fetch_parse", lambda self, name, value: seen.append(name) or real(self, name, value))
+    mail._header.cache_clear()
+    first = mail.walk(row)
+    assert mail.walk(row) == first and len(seen) == len(set(seen)) == 3
+    got = mail.mail_items(spark.createDataFrame([(1, row), (1, row), (2, None)], "item_id int, content binary")).collect()
+    assert [(r.item_id, r.body) for r in got if r.failure is None] == [(1, ["body"])] * 2
+    assert [r.failure for r in got if r.item_id == 2] == ["EMAIL_UNPARSEABLE"]

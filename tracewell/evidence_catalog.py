@@ -169,12 +169,11 @@ SELECT doc_id AS item_id, CASE n WHEN 4 THEN 'EMAIL_ENCRYPTED' WHEN 5 THEN 'EMAI
  CASE WHEN n = 2 THEN 1 WHEN n = 3 THEN 2 ELSE 0 END AS n_attachments, CASE WHEN n = 2 THEN 5 WHEN n = 3 THEN 3 ELSE 0 END AS attached_bytes, CASE WHEN n < 4 THEN 'No ' || doc_id END AS subject FROM d""")
 def mail_trees(spark, sf_dir):
     """What each message holds: its body without white space, as a hash, its subject and attachments, or why it can't be read."""
-    found, attached, failed = mail.parsed_mail(mails(spark, sf_dir))
-    body = F.array_sort(F.collect_list(F.when(F.col("location") == "EMAIL_BODY_LINE", F.struct("line_number", "text"))))
-    per = found.groupBy("item_id").agg(F.md5(F.regexp_replace(F.array_join(F.transform(body, lambda x: x["text"]), ""), r"\s+", "")).alias("body_hash"), F.max(F.when(F.col("header_name") == "Subject", F.col("text"))).alias("subject"))
-    more = attached.groupBy("item_id").agg(F.count("*").alias("n_attachments"), F.sum("size_bytes").alias("attached_bytes"))
-    every = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
-    return every.join(per, "item_id", "left").join(more, "item_id", "left").join(failed, "item_id", "left").select("item_id", "failure", "body_hash", F.coalesce("n_attachments", F.lit(0)).alias("n_attachments"), F.coalesce("attached_bytes", F.lit(0)).alias("attached_bytes"), "subject")
+    own = mail.mail_items(mails(spark, sf_dir))
+    size = F.aggregate("attached", F.lit(0).cast("bigint"), lambda a, x: a + x["size_bytes"])
+    subject = F.filter("headers", lambda h: h["name"] == "Subject")
+    hash_ = F.when(F.col("failure").isNull(), F.md5(F.regexp_replace(F.array_join("body", ""), r"\s+", "")))
+    return own.select("item_id", "failure", hash_.alias("body_hash"), F.size("attached").cast("bigint").alias("n_attachments"), size.alias("attached_bytes"), F.get(subject, F.lit(0))["text"].alias("subject"))
 
 
 @query("SELECT doc_id, text IS DISTINCT FROM nfc_normalize(text) AS changed, md5(nfc_normalize(text)) AS hash FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(replace(replace(text, 'é', 'e' || chr(769)), 'ö', 'o' || chr(776)), 'K', chr(8490)) ELSE text END AS text FROM documents)")

@@ -1,12 +1,15 @@
 """Mail as a tree of parts: headers and body become lines, attachments are listed, never opened.
 
-One Arrow-fed pass walks each message's parts; HTML bodies then become text natively, as pages do. A message that is
+One Arrow-fed pass walks each message's parts, once; HTML bodies then become text natively, as pages do. A message that is
 encrypted or can't be read fails with a code and has no lines. Headers come in a fixed order; a plain body is
 preferred, wherever in the tree it is, else the first HTML one. Null and empty messages can't be read; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from email import message_from_bytes, policy
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +22,29 @@ REQUIRED = ("From", "Date", "Subject")
 PARTS = "item_id string, part int, kind string, name string, content_type string, size_bytes long, text string"
 
 
+@lru_cache(maxsize=4096)
+def _header(name: str, value: str):
+    return policy.default.header_fetch_parse(name, value)
+
+
+class Headers(policy.EmailPolicy):
+    """The default policy; a header's text is parsed once, not at each look, and types and senders of mails are mostly alike."""
+
+    def header_fetch_parse(self, name: str, value: str):
+        return _header(name, value)
+
+
+READ = Headers()
+
+
 def walk(data: bytes) -> list[tuple]:
     """``kind, name, content_type, size, text`` of the parts of a message: HEADER, PLAIN, HTML, ATTACHMENT, or one FAILURE."""
-    from email import message_from_bytes, policy
-
     try:
-        mail = message_from_bytes(data, policy=policy.default)
+        mail = message_from_bytes(data, policy=READ)
         if mail.get_content_type() == "multipart/encrypted" or mail.get_content_type().endswith("pkcs7-mime"):
             return [("FAILURE", "EMAIL_ENCRYPTED", None, None, None)]
-        headers = [("HEADER", h, None, None, " ".join(str(mail[h]).split())) for h in HEADERS if mail[h] is not None and str(mail[h]).strip()]
+        said = [(h, mail[h]) for h in HEADERS if h in mail]
+        headers = [("HEADER", h, None, None, " ".join(str(x).split())) for h, x in said if str(x).strip()]
         if not {h for _, h, *_ in headers} & set(REQUIRED):
             return [("FAILURE", "EMAIL_UNPARSEABLE", None, None, None)]
         return headers + [_leaf(part) for part in leaves(mail)]
@@ -79,18 +96,39 @@ def mail_parts(mails: DataFrame, id_col: str = "item_id", content_col: str = "co
     return mails.select(F.col(id_col).alias("item_id"), F.col(content_col).cast("binary").alias("content")).mapInPandas(run, PARTS.replace("item_id string", f"item_id {kind}"))
 
 
-def parsed_mail(mails: DataFrame, id_col: str = "item_id", content_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (``item_id, line_number, location, header_name, text``), attachments (``item_id, ordinal, filename, content_type, size_bytes``) and failures (``item_id, failure``)."""
-    parts = mail_parts(mails, id_col, content_col)
-    failures = parts.where("kind = 'FAILURE'").select("item_id", F.col("name").alias("failure"))
-    attached = parts.where("kind = 'ATTACHMENT'").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("part", F.col("name").alias("filename"), "content_type", "size_bytes"))).alias("all"))
-    attached = attached.select("item_id", F.posexplode("all").alias("ordinal", "a")).select("item_id", (F.col("ordinal") + 1).alias("ordinal"), "a.filename", "a.content_type", "a.size_bytes")
-    plain, html = (F.min_by(F.when(F.col("kind") == k, F.col("text")), F.when((F.col("kind") == k) & (F.trim("text") != ""), F.col("part"))) for k in ("PLAIN", "HTML"))
-    headers = F.array_sort(F.collect_list(F.when(F.col("kind") == "HEADER", F.struct("part", "name", "text"))))
-    own = parts.where("kind in ('HEADER', 'PLAIN', 'HTML')").groupBy("item_id").agg(headers.alias("headers"), plain.alias("plain"), html.alias("html"))
+def mail_items(mails: DataFrame, id_col: str = "item_id", content_col: str = "content") -> DataFrame:
+    """``item_id, failure, headers, body, attached``: one row for each message, which is parsed once; the body as lines, in order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for i, content in zip(batch["item_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                parts = walk(content) if content is not None else [("FAILURE", "EMAIL_UNPARSEABLE", None, None, None)]
+                own = {k: [p for p in parts if p[0] == k] for k in ("FAILURE", "HEADER", "PLAIN", "HTML", "ATTACHMENT")}
+                first = lambda k: next((p[4] for p in own[k] if p[4].strip(" ")), None)  # noqa: B023, E731
+                rows.append((i, own["FAILURE"][0][1] if own["FAILURE"] else None, [p[1::3] for p in own["HEADER"]], first("PLAIN"), first("HTML"), [p[1:4] for p in own["ATTACHMENT"]]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            nested = lambda values, schema: pa.array([[dict(zip(schema.names, x, strict=True)) for x in v] for v in values], pa.list_(pa.struct(schema)))
+            text = lambda values: pa.array(values, pa.string())
+            headers = nested(columns[2], pa.schema([("name", pa.string()), ("text", pa.string())]))
+            attached = nested(columns[5], pa.schema([("filename", pa.string()), ("content_type", pa.string()), ("size_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch["item_id"], text(columns[1]), headers, text(columns[3]), text(columns[4]), attached], ["item_id", "failure", "headers", "plain", "html", "attached"])
+
+    schema = f"item_id {dict(mails.dtypes)[id_col]}, failure string, headers array<struct<name: string, text: string>>, plain string, html string, attached array<struct<filename: string, content_type: string, size_bytes: long>>"
+    own = mails.select(F.col(id_col).alias("item_id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, schema)
     body = F.when(F.col("plain").isNotNull(), not_blank(F.col("plain"))).otherwise(html_lines(F.col("html")))
     cut = F.flatten(F.transform(body, lambda x: F.when(is_long(x), segments(x)).otherwise(F.array(x))))
+    return own.select("item_id", "failure", "headers", cut.alias("body"), "attached")
+
+
+def parsed_mail(mails: DataFrame, id_col: str = "item_id", content_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (``item_id, line_number, location, header_name, text``), attachments (``item_id, ordinal, filename, content_type, size_bytes``) and failures (``item_id, failure``)."""
+    own = mail_items(mails, id_col, content_col)
+    failures = own.where("failure is not null").select("item_id", "failure")
+    attached = own.select("item_id", F.posexplode_outer("attached").alias("ordinal", "a")).where("ordinal is not null").select("item_id", (F.col("ordinal") + 1).alias("ordinal"), "a.filename", "a.content_type", "a.size_bytes")
     line = lambda location, name, text: F.struct(F.lit(location).alias("location"), name.alias("header_name"), text.alias("text"))
-    every = F.concat(F.transform("headers", lambda h: line("EMAIL_HEADER", h["name"], h["text"])), F.transform(cut, lambda x: line("EMAIL_BODY_LINE", F.lit(None).cast("string"), x)))
-    lines = own.select("item_id", F.posexplode(every).alias("line_number", "line")).select("item_id", (F.col("line_number") + 1).alias("line_number"), "line.location", "line.header_name", "line.text")
+    every = F.concat(F.transform("headers", lambda h: line("EMAIL_HEADER", h["name"], h["text"])), F.transform("body", lambda x: line("EMAIL_BODY_LINE", F.lit(None).cast("string"), x)))
+    lines = own.select("item_id", F.posexplode_outer(every).alias("line_number", "line")).where("line_number is not null").select("item_id", (F.col("line_number") + 1).alias("line_number"), "line.location", "line.header_name", "line.text")
     return lines, attached, failures
