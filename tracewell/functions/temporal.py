@@ -41,6 +41,18 @@ def _clock(text: Column) -> Column:
     return F.when(minute <= 59, F.concat(F.lpad(full.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
 
 
+def canonical(raw: Column) -> Column:
+    """The ``value`` of ``normalize`` alone."""
+
+    def of(text):
+        parts = F.struct(text.rlike(rf"(?i)^{DATE}").alias("dated"), text.rlike(rf"(?i){TIME}$").alias("timed"), text.alias("text"))
+        day, clock = lambda x: _date(x["text"]), lambda x: _clock(x["text"])
+        value = lambda x: F.when(x["dated"] & x["timed"], F.concat(day(x), F.lit("T"), clock(x), F.lit(ZONE))).when(x["dated"], day(x)).when(x["timed"], F.concat(F.lit("T"), clock(x)))
+        return F.transform(F.array(parts), value)[0]
+
+    return F.transform(F.array(F.regexp_replace(F.trim(raw), r"\s+", " ")), of)[0]
+
+
 def normalize(raw: Column) -> Column:
     """``(value, kind, precision, at)``: canonical text, DATETIME, DATE or TIME, how exact, and the instant of a full one; null if invalid."""
     text = F.regexp_replace(F.trim(raw), r"\s+", " ")

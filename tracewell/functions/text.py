@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +19,30 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{OPEN}{CLOSE}]", " ")
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), made)[0]
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All matches as ``(value, start, end)`` in code points from 0; stays in the JVM and keeps look-around."""
-    pieces = F.split(F.regexp_replace(plain(text), pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+    return spans_in(plain(text), pattern)
+
+
+def spans_in(text: Column, pattern: str) -> Column:
+    """As ``find_spans``, of text that is ``plain`` already."""
+    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
     def step(acc, piece):
-        value = F.substring_index(piece, CLOSE, 1)
-        rest = F.length(piece) - F.when(F.instr(piece, CLOSE) > 0, 1).otherwise(0)
-        hit = F.array(F.struct(value.alias("value"), acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end")))
-        return F.struct((acc["at"] + rest).cast("int").alias("at"), F.when(F.instr(piece, CLOSE) > 0, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+        end = acc["at"] + F.instr(piece, CLOSE) - 1
+        hit = F.struct(F.substring_index(piece, CLOSE, 1).alias("value"), acc["at"].alias("start"), end.alias("end"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    return F.aggregate(pieces, zero, step, lambda a: a["found"])
+    def placed(pieces):
+        zero = F.struct(F.length(pieces[0]).alias("at"), F.array().cast(SPANS).alias("found"))
+        return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), zero, step, lambda a: a["found"])).otherwise(F.array().cast(SPANS))
+
+    return let(pieces, placed)
 
 
 def overlaps(a: Column, spans: Column) -> Column:
@@ -77,10 +91,17 @@ def normal_url(raw: Column) -> Column:
 
     A bare host counts with a known ending only; behind a scheme any ending of letters does.
     """
-    full = F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    return let(F.struct(raw.alias("raw"), F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw)).alias("full")), lambda x: _normal_url(x["raw"], x["full"]))
+
+
+def _normal_url(raw: Column, full: Column) -> Column:
     scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z]+)://", 1))
     authority = F.regexp_extract(full, r"^[A-Za-z]+://([^/?#]*)", 1)
-    host, port = F.lower(F.regexp_extract(authority, r"^([^:]*)", 1)), F.regexp_extract(authority, r":(\d+)$", 1)
+    return let(F.struct(scheme.alias("scheme"), authority.alias("authority"), F.lower(F.regexp_extract(authority, r"^([^:]*)", 1)).alias("host")), lambda x: _shown_url(raw, full, x["scheme"], x["authority"], x["host"]))
+
+
+def _shown_url(raw: Column, full: Column, scheme: Column, authority: Column, host: Column) -> Column:
+    port = F.regexp_extract(authority, r":(\d+)$", 1)
     path = F.regexp_extract(full, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").when(path.endswith("/") & (path != "/"), F.regexp_replace(path, "/$", "")).otherwise(path)
     query = F.regexp_extract(full, r"^[^?#]*\?([^#]*)", 1)
