@@ -54,10 +54,15 @@ def message_senders(items: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def messages_contained(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """Edges from each item's sender to what it holds, with the items that support them."""
-    held = facts.where(F.col("field_type").isin(*CONTAINED)).select("evidence_id", F.col("entity_id").alias("to_entity")).distinct()
-    found = message_senders(items, facts).join(held, "evidence_id")
-    return found.groupBy(F.col("sender").alias("from_entity"), "to_entity").agg(F.count("*").alias("n_items"), F.min("evidence_id").alias("first_item"))
+    """Edges from each item's sender, as ``message_senders`` has it, to the entities it holds, with the items that support them; one pass over the facts."""
+    kind, entity = F.col("field_type"), F.col("entity_id")
+    sms, on_from, held = kind == "SMS_SENDER_HEADER", F.coalesce(F.lower("header_name") == "from", F.lit(False)), kind.isin(*CONTAINED)
+    ends = lambda test, x, name: [F.min(F.when(test, x)).alias(f"{name}0"), F.max(F.when(test, x)).alias(f"{name}1")]
+    per = facts.where(sms | on_from | held).groupBy("evidence_id").agg(F.count_if(sms).alias("n_sms"), F.max(F.when(sms, entity)).alias("sms"), *ends(on_from, F.col("line_number"), "line"), *ends(on_from & (kind == "EMAIL"), entity, "mail"), F.collect_set(F.when(held, entity)).alias("held"))
+    mail = F.col("kind") == "EML"
+    own = items.join(per, "evidence_id").where((~mail & (F.col("n_sms") == 1)) | (mail & (F.col("line0") == F.col("line1")) & (F.col("mail0") == F.col("mail1"))))
+    found = own.select("evidence_id", F.when(mail, F.col("mail0")).otherwise(F.col("sms")).alias("from_entity"), F.explode("held").alias("to_entity"))
+    return found.groupBy("from_entity", "to_entity").agg(F.count("*").alias("n_items"), F.min("evidence_id").alias("first_item"))
 
 
 #: What a cue must say for each relation that rests on one; ``item_cues`` finds them.
