@@ -49,3 +49,12 @@ def test_proposals_send_no_table_through_the_driver(spark):
     asked = spark.createDataFrame([(7, 1, [2], "TRANSACTION", "AB12345678", None)], "proposal_id int, doc_id int, line_numbers array<int>, field_type string, value string, at int")
     got = literal.validate_spans(asked, lines)
     assert "Broadcast" not in plan(got) and [(r.rejection, r.matched) for r in got.collect()] == [(None, "AB12345678")]
+
+
+def test_words_are_laid_out_once(spark, tmp_path):
+    from tracewell import evidence_catalog
+
+    spark.createDataFrame([(1, "<p>One two</p>"), (2, "12"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    texts, _ = evidence_catalog.laid_out(spark, str(tmp_path))
+    assert plan(texts).count("regexp_extract_all") == 1
+    assert sorted(r.text for r in texts.collect()) == ["One", "p", "p", "two"]

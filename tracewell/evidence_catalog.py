@@ -27,7 +27,7 @@ from .streaming import limiter
 def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The words of each page as items: seven places a row, fifty rows a sheet, baselines that waver by a third of a unit."""
     k, word = F.col("ordinal"), F.col("text")
-    words = read(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.posexplode(F.regexp_extract_all("html", F.lit("[A-Za-z]+"), F.lit(0))).alias("ordinal", "text"))
+    words = read(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.posexplode_outer(F.regexp_extract_all("html", F.lit("[A-Za-z]+"), F.lit(0))).alias("ordinal", "text")).where("ordinal is not null")
     x = (k % 350) % 7 * F.lit(4.0) + (k * 13) % 10 * F.lit(0.1)
     texts = words.select("item_id", (F.floor(k / 350) + 1).cast("int").alias("page"), "ordinal", x.alias("x"), (F.floor((k % 350) / 7) * F.lit(0.6) + (k * 37) % 5 * F.lit(0.08)).alias("y"), (x + F.length(word) * F.lit(0.4)).alias("end_x"), (k % 3 * 2 + 8).cast("double").alias("size"), "text")
     return texts, texts.select("item_id", "page", F.lit(30.0).alias("width"), F.lit(32.0).alias("height")).distinct()
