@@ -104,6 +104,14 @@ def test_every_training_window_is_learnt_from(spark, monkeypatch):
     assert all(not np.array_equal(learn(x)[0], learn("the cat sat")[0]) for x in ("sat cat the", "cat the sat"))
 
 
+def test_sums_by_key():
+    rng = np.random.default_rng(9)
+    keys, rows = rng.integers(0, 40, 300) * 1600, rng.normal(size=(300, 5))
+    got, n, sums = language_model.summed_rows(keys, rows)
+    assert got.tolist() == sorted(set(keys.tolist())) and n.tolist() == [int((keys == k).sum()) for k in got]
+    assert np.allclose(sums, [rows[keys == k].sum(axis=0) for k in got])
+
+
 def test_gradient_and_training():
     counts, (cls, _, mass) = small_model()
     flat = language_model.first_weights(mass).astype(np.float64)
