@@ -176,6 +176,16 @@ def test_functions_in_sql(spark):
     assert tuple(row) == ("é", "xn--bcher-kva.example", "bücher.example", None)
 
 
+def test_function_in_sql_is_called_for_rows_asked_for_only(spark):
+    sql.register(spark)
+    said = spark.createDataFrame([(n, t) for n, t in enumerate(SAID)], "line_number int, text string")
+    got = spark.sql("SELECT d.line_number, f.raw_value FROM {d} d, LATERAL extract_entities(d.text, 'EMAIL') f WHERE d.text LIKE '%@%'", d=said)
+    want = facts.candidates(said.withColumn("doc_id", F.lit(1))).where("field_type = 'EMAIL'").select("line_number", "raw_value")
+    assert rows_of(got) == rows_of(want) and got.count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("PythonUDTF") < plan.index("Filter")  # texts without an @ are gone before Python is called
+
+
 # ---- kept analyses
 
 

@@ -431,7 +431,7 @@ def monthly_sketches(spark, sf_dir):
 def entities_in_sql(spark, sf_dir):
     """The table function in SQL, over all documents that hold an @."""
     sql.register(spark)
-    return spark.sql("SELECT d.doc_id, f.raw_value FROM {docs} d, LATERAL extract_entities(d.text) f WHERE d.text LIKE '%@%' AND f.field_type = 'EMAIL'", docs=read(spark, sf_dir, "documents"))
+    return spark.sql("SELECT d.doc_id, f.raw_value FROM {docs} d, LATERAL extract_entities(d.text, 'EMAIL') f WHERE d.text LIKE '%@%'", docs=read(spark, sf_dir, "documents"))
 
 
 @query(URL_SQL + """ SELECT 'URL' AS field_type, normalized_url AS canonical_value, count(*) AS n_facts, count(DISTINCT page_id) AS n_docs FROM u GROUP BY ALL UNION ALL SELECT 'DOMAIN', host, count(*), count(DISTINCT page_id) FROM u GROUP BY ALL""")

@@ -1,7 +1,8 @@
 """The library from SQL: a table function that finds facts in a text, and scalar functions, registered for a session.
 
 ``SELECT d.doc_id, f.* FROM documents d, LATERAL extract_entities(d.text) f`` gives what ``facts.candidates`` gives for one line
-at a time. It calls Python once a row and is meant for looking into texts from SQL; jobs over whole corpora use the DataFrame functions.
+at a time; ``extract_entities(d.text, 'EMAIL')`` looks for facts of that type only. It calls Python once a row and is meant for looking into
+texts from SQL; jobs over whole corpora use the DataFrame functions.
 """
 
 from __future__ import annotations
@@ -55,9 +56,9 @@ def finders() -> list:
 
 
 class ExtractEntities:
-    def eval(self, text: str):
+    def eval(self, text: str, only: str = None):
         for kind, pattern, take in finders():
-            for m in pattern.finditer(text or ""):
+            for m in pattern.finditer(text or "") if only in (None, kind) else ():
                 if hit := take(m):
                     yield kind, hit[1], hit[0], hit[0] + len(hit[1])
 
@@ -74,7 +75,8 @@ def _readable(hosts):
 
 def register(spark: SparkSession) -> None:
     """Give the session ``extract_entities(text)``, ``form_c(text)``, ``idn_to_ascii(host)`` and ``idn_to_unicode(host)``."""
-    spark.udtf.register("extract_entities", F.udtf(ExtractEntities, returnType=FOUND))
+    # deterministic: conditions on the rows it is applied to hold before Python is called
+    spark.udtf.register("extract_entities", F.udtf(ExtractEntities, returnType=FOUND).asDeterministic())
     spark.udf.register("form_c", _form_c)
     spark.udf.register("idn_to_ascii", _ascii)
     spark.udf.register("idn_to_unicode", _readable)
