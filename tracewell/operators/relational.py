@@ -54,6 +54,16 @@ def decode_cursor(cursor: str) -> tuple[str, str]:
     return found[0], found[1]
 
 
+#: Rows of a task, about, where what a task holds would grow with the table.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *by: str, like: DataFrame | None = None) -> DataFrame:
+    """``rows`` dealt by key to as many tasks as the table ``like`` (``rows`` itself) has times ``TASK_ROWS`` rows, the session's number of them at least."""
+    n = -(-(rows if like is None else like).count() // TASK_ROWS)  # Parquet has it in its footers
+    return rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def exactly_one(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Groups with exactly one distinct value, and that value."""
     return rows.groupBy(by).agg(F.count_distinct(value).alias("_n"), F.max(value).alias(value)).where("_n = 1").drop("_n")
