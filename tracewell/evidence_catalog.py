@@ -17,7 +17,7 @@ from .catalog import URL_SQL, word_cards
 from .catalog import WHITE as SPACE
 from .functions import hosts, sql
 from .functions import text as T
-from .operators import facts, lines, relations, sketches
+from .operators import facts, lines, relational, relations, sketches
 from .plans import analysis, case, constraints, graph, lifecycle, rules
 from .sources import items, layout, mail
 from .streaming import limiter
@@ -490,8 +490,8 @@ def case_overviews(spark, sf_dir):
     evidence = o.select(F.col("o_custkey").alias("case_id"), F.when(key % 3 == 0, "FAILED").otherwise("PROCESSED").alias("processing_status"))
     runs = o.select(F.col("o_custkey").alias("case_id"), key.alias("run_id"), F.lit("FAILED").alias("status"), F.col("o_orderdate").alias("created_at"), (key % 4).alias("failed_step_id"))
     steps = o.select((key % 2).alias("step_id")).distinct().withColumn("step_name", F.concat(F.lit("STEP "), F.col("step_id").cast("string")))
-    reports = l.groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_orderkey").alias("version")).agg(F.when(F.max("l_linenumber") % 2 == 0, "GENERATED").otherwise("INVALIDATED").alias("status")).withColumn("report_id", F.concat_ws("-", "case_id", "version"))
-    confirmed = reports.select("report_id", F.when(F.col("version") % 5 == 0, "2026-01-01").alias("voided_at"))
+    reports = relational.dealt(l.select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", "l_orderkey").groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_orderkey").alias("version")).agg(F.when(F.max("l_linenumber") % 2 == 0, "GENERATED").otherwise("INVALIDATED").alias("status")).withColumn("report_id", F.concat_ws("-", "case_id", "version"))
+    confirmed = relational.dealt(reports.select("report_id", F.when(F.col("version") % 5 == 0, "2026-01-01").alias("voided_at")), "report_id", like=l)
     urgency = c.select(k.alias("case_id"), F.lit("HIGH").alias("level"), (k % 2 == 0).alias("is_current"))
     entities = c.select(k.alias("case_id"), F.lit("URL").alias("field_type")).limit(0)
     out = case.full_overview(cases, evidence, runs, entities, steps, reports, confirmed, urgency)
