@@ -104,6 +104,17 @@ def test_every_training_window_is_learnt_from(spark, monkeypatch):
     assert all(not np.array_equal(learn(x)[0], learn("the cat sat")[0]) for x in ("sat cat the", "cat the sat"))
 
 
+def test_training_is_dealt_to_all_cores(spark):
+    sizes = lambda n, shards, cores: [len(s) for s in language_model.shards_of([f"{k:03}" for k in range(n)], shards * language_model.SHARD, cores)]
+    assert sizes(36, 8, 6) == [6] * 6 and sizes(8, 3, 4) == [4, 4] and sizes(72, 5, 6) == [18] * 4 and sizes(3, 9, 6) == [3]
+    assert sizes(40, 10, 4) == [4] * 10
+    # a core that gets no file, or two where others get one, waits or is waited for
+    docs = spark.createDataFrame([(k, "the cat sat " * (k % 7)) for k in range(403)], "doc_id long, text string").coalesce(1)
+    ready = language_model.dealt(language_model.prepare(language_model._source(docs, "doc_id", "text", F.lit(True)), language_model.tokenizer_path(language_model.VOCABULARY)))
+    rows = [r["count"] for r in ready.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) == spark.sparkContext.defaultParallelism and max(rows) - min(rows) <= 1 and sum(rows) == 405
+
+
 def test_sums_by_key():
     rng = np.random.default_rng(9)
     keys, rows = rng.integers(0, 40, 300) * 1600, rng.normal(size=(300, 5))
