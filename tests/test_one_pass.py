@@ -58,3 +58,29 @@ def test_words_are_laid_out_once(spark, tmp_path):
     texts, _ = evidence_catalog.laid_out(spark, str(tmp_path))
     assert plan(texts).count("regexp_extract_all") == 1
     assert sorted(r.text for r in texts.collect()) == ["One", "p", "p", "two"]
+
+
+def test_rules_and_model_search_lines_once(spark, tmp_path):
+    from tracewell import case_catalog
+
+    rows = [(1, 5, '{"k": 3}'), (2, 6, '{"k": 4}')]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = case_catalog.rule_and_model_facts(spark, str(tmp_path))
+    assert plan(got).count("FileScan") == 1 and "Union" not in plan(got)
+    assert "REPARTITION_BY_NUM" in plan(got).split("ArrowEvalPython")[-1]  # events are dealt before lines are searched
+    assert {(r.field_type, r.n) for r in got.collect()} == {(k, 2) for k in (*relations.IDENTIFIERS, "PERSON", "BANK_OR_WALLET")}
+
+
+def test_facts_with_their_methods_unite_as_two_tables_do(spark):
+    rows = [(1, 1, "PERSON", "a", 0, 5, "RULE"), (1, 1, "PERSON", "b", 4, 6, "LLM"), (1, 1, "PERSON", "c", 7, 9, "LLM"), (1, 1, "PERSON", "c", 7, 9, "LLM")]
+    both = spark.createDataFrame(rows, "doc_id int, line_number int, field_type string, raw_value string, start int, end int, method string")
+    assert sorted((r.method, r.raw_value) for r in literal.united(both).collect()) == [("LLM", "c"), ("RULE", "a")]
+
+
+def test_places_of_one_and_of_several_matches(spark):
+    from tracewell.functions import patterns as P
+    from tracewell.functions import text as T
+
+    said = spark.createDataFrame([("é a@b.co x",), ("a@b.co, ç@d.eu a.b@c.de",), ("none",), ("😀 me@x.org",)], "text string")
+    got = [[(s.value, s.start, s.end) for s in r[0]] for r in said.select(T.find_spans(F.col("text"), P.EMAIL)).collect()]
+    assert got == [[("a@b.co", 2, 8)], [("a@b.co", 0, 6), ("a.b@c.de", 15, 23)], [], [("me@x.org", 2, 10)]]

@@ -63,7 +63,9 @@ def _host_to_ascii(host: str | None) -> str | None:
 
 
 def both_forms(hosts: pd.Series) -> pd.DataFrame:
-    """A host as it is looked up, and as it is read; null where it can't be either."""
+    """A host as it is looked up, and as it is read; null where it can't be either. Most batches hold none."""
+    if not len(hosts.dropna()):
+        return pd.DataFrame({"ascii": None, "read": None}, index=hosts.index, dtype=object)
     ascii_ = hosts.map(_host_to_ascii)
     read = ascii_.map(lambda h: None if h is None else ".".join(map(label_to_unicode, h.split("."))))
     return pd.DataFrame({"ascii": ascii_, "read": read})

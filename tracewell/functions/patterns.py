@@ -8,27 +8,34 @@ B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 S = r"[\s   -     　﻿]"
 NOT_S = r"[^\s   -     　﻿"
 
-# Identifiers as they are written in evidence.
-PHONE = r"(?<![\w+])(?:(?:\+91|91)[ -]?|0)?[6-9]\d{4}[ -]?\d{5}(?!\d)|(?<![\w+])\+(?!91)\d{8,15}(?!\d)"
-URL = rf"(?i){B}https?://{NOT_S}<>\"'`]+"
-BARE_HOST = rf"(?i)(?<![\w.@/:-])((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+([a-z]{{2,24}}))(?![\w@-])(?::\d{{2,5}})?(?:/{NOT_S}<>\"'`]*)?"
+
+
+def word(first: str) -> str:
+    """``B`` before a word that starts with one of these letters; a look at the letter settles most places."""
+    return rf"(?=[{first}])(?<!\w)"
+
+
+# Identifiers as they are written in evidence. A leading ``(?=...)`` changes no match: it fails early where the rest would.
+PHONE = r"(?=[+\d])(?:(?<![\w+])(?:(?:\+91|91)[ -]?|0)?[6-9]\d{4}[ -]?\d{5}(?!\d)|(?<![\w+])\+(?!91)\d{8,15}(?!\d))"
+URL = rf"(?i){word('h')}https?://{NOT_S}<>\"'`]+"
+BARE_HOST = rf"(?i)(?<![\w.@/:-])(?=[a-z0-9-]++\.)((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+([a-z]{{2,24}}))(?![\w@-])(?::\d{{2,5}})?(?:/{NOT_S}<>\"'`]*)?"
 URL_TAIL = r"[.,;:!?)\]}>'\"]+$"
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
-UPI_ID = r"(?<![\w.-])[A-Za-z0-9._-]{2,}@[A-Za-z][A-Za-z0-9]{1,}(?![A-Za-z0-9@-])(?!\.[A-Za-z0-9])"
-AMOUNT = rf"(?i)(?<![A-Za-z0-9])(?:₹|Rs\.?|INR){S}?(?:\d{{1,3}}(?:,\d{{2}})*,\d{{3}}|\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d{{2}})?(?!\d)(?!,\d)"
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
+UPI_ID = r"(?<![\w.-])[A-Za-z0-9._-]{2,}+@[A-Za-z][A-Za-z0-9]{1,}(?![A-Za-z0-9@-])(?!\.[A-Za-z0-9])"
+AMOUNT = rf"(?i)(?=[₹ri])(?<![A-Za-z0-9])(?:₹|Rs\.?|INR){S}?(?:\d{{1,3}}(?:,\d{{2}})*,\d{{3}}|\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d{{2}})?(?!\d)(?!,\d)"
 TRANSACTION_LABEL = r"(?:UTR|UPI Ref No|Ref No|Reference No|RRN|Transaction ID|Txn ID)"
-TRANSACTION = rf"(?i){B}{TRANSACTION_LABEL}{B}\.?{S}*[:.#]?{S}*([A-Z0-9]{{8,22}})(?![A-Z0-9])"
-ACCOUNT_HINT = rf"(?i){B}(?:A/c|Acct|account)(?:{S}+(?:ending{S}+in|ending|no\.?|number))?{S}*[:.#-]?{S}*[Xx*]{{2,}}\d{{3,4}}(?!\d)|{B}ending{S}+(?:in{S}+)?\d{{4}}(?!\d)"
+TRANSACTION = rf"(?i){word('urt')}{TRANSACTION_LABEL}{B}\.?{S}*[:.#]?{S}*([A-Z0-9]{{8,22}})(?![A-Z0-9])"
+ACCOUNT_HINT = rf"(?i){word('ae')}(?:(?:A/c|Acct|account)(?:{S}+(?:ending{S}+in|ending|no\.?|number))?{S}*[:.#-]?{S}*[Xx*]{{2,}}\d{{3,4}}(?!\d)|ending{S}+(?:in{S}+)?\d{{4}}(?!\d))"
 SMS_SENDER = r"^[A-Z]{2}-[A-Z0-9]{3,9}$"
-HANDLE = rf"(?<![\w.@/-])@[A-Za-z0-9_][A-Za-z0-9_.]{{2,31}}(?<!\.)(?![\w@])|{B}t\.me/[A-Za-z0-9_]{{3,32}}(?!\w)"
+HANDLE = rf"(?=[@t])(?:(?<![\w.@/-])@[A-Za-z0-9_][A-Za-z0-9_.]{{2,31}}(?<!\.)(?![\w@])|(?<!\w)t\.me/[A-Za-z0-9_]{{3,32}}(?!\w))"
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src)$"
 
 # Names after their labels.
 NAME = r"(?-i:\p{L}[\p{L}\p{M}.'&-]*(?: \p{Lu}[\p{L}\p{M}.'&-]*){0,4})"
-PERSON_LABEL = rf"(?i){B}(?:Paid by|Paid to|Name){S}*:{S}*"
-BANK_LABEL = rf"(?i){B}(?:Bank(?:{S}+name)?|Wallet){S}*:{S}*"
+PERSON_LABEL = rf"(?i){word('pn')}(?:Paid by|Paid to|Name){S}*:{S}*"
+BANK_LABEL = rf"(?i){word('bw')}(?:Bank(?:{S}+name)?|Wallet){S}*:{S}*"
 DEBITED_NAME = rf"((?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank)$"
-DEBITED_FROM = rf"{B}[Dd]ebited{S}+from{S}+(?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank{B}"
+DEBITED_FROM = rf"{word('Dd')}[Dd]ebited{S}+from{S}+(?:[A-Z][A-Za-z&.'-]*{S}+){{1,4}}Bank{B}"
 
 # What is redacted before anything else reads a line.
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"

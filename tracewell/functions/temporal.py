@@ -12,7 +12,7 @@ WEEKDAY = r"(?:(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?\.
 DATE = rf"(?:{WEEKDAY}?\d{{1,2}}\s+(?:{MONTH_NAMES})\.?,?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[-/]\d{{1,2}}[-/](?:\d{{4}}|\d{{2}}))"
 CUE = r"(?:approximately|approx\.?|around|about|roughly|~)\s*"
 TIME = r"\d{1,2}:\d{2}(?:\s*(?:[AaPp]\.\s?[Mm]\.|[AaPp][Mm])(?![A-Za-z]))?"
-TEMPORAL = rf"(?i)(?<![\w:/-])(?:{DATE}(?:,\s*|\s+)(?:at\s+)?(?:{CUE})?{TIME}|{DATE}|(?:{CUE})?{TIME})(?![\w:]|[-/]\d)"
+TEMPORAL = rf"(?i)(?=[\dmtwfsar~])(?<![\w:/-])(?:{DATE}(?:,\s*|\s+)(?:at\s+)?(?:{CUE})?{TIME}|{DATE}|(?:{CUE})?{TIME})(?![\w:]|[-/]\d)"
 ZONE = "+05:30"
 # The parts of a date by name, by numbers with the day first and as ISO has it, and of a time.
 NAMED_DATE = rf"(?i)^{WEEKDAY}?(\d{{1,2}})\s+([A-Za-z]+)\.?,?\s+(\d{{4}})"

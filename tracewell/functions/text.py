@@ -33,14 +33,18 @@ def spans_in(text: Column, pattern: str) -> Column:
     """As ``find_spans``, of text that is ``plain`` already."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
+    def hit(at, piece):
+        return F.struct(F.substring_index(piece, CLOSE, 1).alias("value"), at.alias("start"), (at + F.instr(piece, CLOSE) - 1).alias("end"))
+
     def step(acc, piece):
-        end = acc["at"] + F.instr(piece, CLOSE) - 1
-        hit = F.struct(F.substring_index(piece, CLOSE, 1).alias("value"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(hit(acc["at"], piece))).alias("found"))
 
     def placed(pieces):
         zero = F.struct(F.length(pieces[0]).alias("at"), F.array().cast(SPANS).alias("found"))
-        return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), zero, step, lambda a: a["found"])).otherwise(F.array().cast(SPANS))
+        every = F.aggregate(F.slice(pieces, 2, F.size(pieces)), zero, step, lambda a: a["found"])
+        # most texts with a match have one, whose place needs no running sum
+        one = F.array(hit(F.length(pieces[0]), pieces[1]))
+        return F.when(F.size(pieces) == 1, F.array().cast(SPANS)).when(F.size(pieces) == 2, one).otherwise(every)
 
     return let(pieces, placed)
 
